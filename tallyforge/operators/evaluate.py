@@ -101,7 +101,7 @@ def ks(df: DataFrame, label: str, score: str, digits: int = 6, direct_rows: int
     pos, rows = totals.select("p").scalar(), totals.select("n").scalar()
     distance = F.try_divide(F.col("cum_pos").cast("double"), pos) - F.try_divide(
         F.col("cum_neg").cast("double"), rows - pos)
-    return curve.agg(F.round(F.max(distance), digits).alias("ks"))
+    return curve.select(distance.alias("_distance")).agg(F.round(F.max("_distance"), digits).alias("ks"))
 
 
 def auc(df: DataFrame, label: str, score: str, digits: int = 6, direct_rows: int = DIRECT_ROWS,

@@ -44,6 +44,10 @@ class LinearFit:
         return df.sparkSession.createDataFrame(rows, "term string, estimate double, std_error double, p_value double")
 
 
+def _floats(values: Sequence) -> list[float]:
+    return [float(v) for v in values]
+
+
 def with_features(df: DataFrame, xs: Sequence[str], out: str = FEATURES) -> DataFrame:
     return VectorAssembler(inputCols=list(xs), outputCol=out, handleInvalid="skip").transform(df)
 
@@ -57,8 +61,8 @@ def fit_ols(df: DataFrame, y: str, xs: Sequence[str]) -> LinearFit:
     data = with_features(df.select(F.col(y).cast("double").alias(y), *xs), xs)
     model = LinearRegression(labelCol=y, featuresCol=FEATURES, solver="normal").fit(data)
     s = model.summary
-    return LinearFit("ols", list(xs), [*model.coefficients, model.intercept], list(s.coefficientStandardErrors),
-                     list(s.pValues), {"r2": s.r2, "r2_adjusted": s.r2adj}, model)
+    return LinearFit("ols", list(xs), _floats([*model.coefficients, model.intercept]), _floats(s.coefficientStandardErrors),
+                     _floats(s.pValues), {"r2": s.r2, "r2_adjusted": s.r2adj}, model)
 
 
 def fit_logit(df: DataFrame, y: str, xs: Sequence[str], max_iter: int = 25) -> LinearFit:
@@ -67,8 +71,8 @@ def fit_logit(df: DataFrame, y: str, xs: Sequence[str], max_iter: int = 25) -> L
     model = GeneralizedLinearRegression(labelCol=y, featuresCol=FEATURES, family="binomial", link="logit",
                                         maxIter=max_iter).fit(data)
     s = model.summary
-    return LinearFit("logit", list(xs), [*model.coefficients, model.intercept], list(s.coefficientStandardErrors),
-                     list(s.pValues), {"aic": s.aic, "deviance": s.deviance}, model)
+    return LinearFit("logit", list(xs), _floats([*model.coefficients, model.intercept]), _floats(s.coefficientStandardErrors),
+                     _floats(s.pValues), {"aic": s.aic, "deviance": s.deviance}, model)
 
 
 def linear_score(fit: LinearFit) -> Column:

@@ -119,8 +119,8 @@ def quantile_bin_counts(t: Tables) -> DataFrame:
 
 
 @query("stacked_share", f"""
-WITH {SQL_BASE} SELECT c_mktsegment, bad, count(*)::BIGINT AS n_rows,
-round(100 * count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY c_mktsegment), 4) AS pct FROM base GROUP BY ALL""")
+WITH {SQL_BASE}, c AS (SELECT c_mktsegment, bad, count(*)::BIGINT AS n_rows FROM base GROUP BY ALL)
+SELECT *, round(100 * n_rows::DOUBLE / sum(n_rows) OVER (PARTITION BY c_mktsegment), 4) AS pct FROM c""")
 def stacked_share(t: Tables) -> DataFrame:
     return charts.stack_share(t.customer.withColumn("bad", (F.col("c_acctbal") < 0).cast("int")), "c_mktsegment", "bad")
 
@@ -131,13 +131,14 @@ _EDGES = ", ".join(str(i / BINS) for i in range(1, BINS))
 
 
 def _sql_bin(c: str) -> str:
-    return (f"CASE WHEN {c} IS NULL THEN 'NA' ELSE (1 + len(list_filter((SELECT list_distinct(quantile_cont({c}, [{_EDGES}])) "
-            f"FROM base WHERE {c} IS NOT NULL), lambda x: x < {c} AND x > (SELECT min({c}) FROM base))))::VARCHAR END")
+    return f"CASE WHEN {c} IS NULL THEN 'NA' ELSE (1 + len(list_filter(e_{c}, lambda x: x < {c} AND x > low_{c})))::VARCHAR END"
 
 
-SQL_WOE = f"""{SQL_BASE}, long AS (
-SELECT c_custkey, bad, 'n_orders' AS variable, {_sql_bin('n_orders')} AS bin FROM base
-UNION ALL SELECT c_custkey, bad, 'avg_total', {_sql_bin('avg_total')} FROM base
+SQL_WOE = f"""{SQL_BASE}, edges AS (SELECT list_distinct(quantile_cont(n_orders, [{_EDGES}])) AS e_n_orders, min(n_orders) AS low_n_orders,
+list_distinct(quantile_cont(avg_total, [{_EDGES}])) AS e_avg_total, min(avg_total) AS low_avg_total FROM base),
+long AS (
+SELECT c_custkey, bad, 'n_orders' AS variable, {_sql_bin('n_orders')} AS bin FROM base, edges
+UNION ALL SELECT c_custkey, bad, 'avg_total', {_sql_bin('avg_total')} FROM base, edges
 UNION ALL SELECT c_custkey, bad, 'c_mktsegment', c_mktsegment FROM base
 UNION ALL SELECT c_custkey, bad, 'c_nationkey', c_nationkey::VARCHAR FROM base),
 counts AS (SELECT variable, bin, count(*)::BIGINT AS n_rows, sum(bad)::BIGINT AS n_events,

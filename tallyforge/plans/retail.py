@@ -78,20 +78,20 @@ def star_join_filtered(t: Tables) -> DataFrame:
 
 
 @query("profit_by_category", f"""
-SELECT p_type, round(sum({SQL_PROFIT}), 2) AS profit FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
+SELECT p_type, round(sum({SQL_PROFIT}), 4) AS profit FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
 def profit_by_category(t: Tables) -> DataFrame:
     per_part = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.sum(profit()).alias("profit"))
     return per_part.join(t.part.select("p_partkey", "p_type"), "p_partkey").groupBy("p_type").agg(
-        F.round(F.sum("profit"), 2).alias("profit"))
+        F.round(F.sum("profit"), 4).alias("profit"))
 
 
 @query("profit_by_category_and_sub", f"""
-SELECT p_type, p_brand, round(sum({SQL_PROFIT}), 2) AS profit FROM lineitem JOIN part ON l_partkey = p_partkey
+SELECT p_type, p_brand, round(sum({SQL_PROFIT}), 4) AS profit FROM lineitem JOIN part ON l_partkey = p_partkey
 GROUP BY ALL""")
 def profit_by_category_and_sub(t: Tables) -> DataFrame:
     per_part = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.sum(profit()).alias("profit"))
     return per_part.join(t.part.select("p_partkey", "p_type", "p_brand"), "p_partkey").groupBy("p_type", "p_brand").agg(
-        F.round(F.sum("profit"), 2).alias("profit"))
+        F.round(F.sum("profit"), 4).alias("profit"))
 
 
 @query("worst_category_drilldown", f"""
@@ -99,7 +99,7 @@ WITH f AS (SELECT p_brand, r_name AS region, {SQL_PROFIT} AS profit FROM lineite
   JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
   JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 worst AS (SELECT p_brand FROM f GROUP BY 1 ORDER BY sum(profit), 1 LIMIT 1)
-SELECT p_brand, region, count(*)::BIGINT AS n_rows, round(sum(profit), 2) AS total FROM f
+SELECT p_brand, region, count(*)::BIGINT AS n_rows, round(sum(profit), 4) AS total FROM f
 WHERE p_brand = (FROM worst) GROUP BY ALL""")
 def worst_category_drilldown(t: Tables) -> DataFrame:
     lines = t.lineitem.select(F.col("l_partkey").alias("p_partkey"), F.col("l_orderkey").alias("o_orderkey"),
@@ -109,7 +109,7 @@ def worst_category_drilldown(t: Tables) -> DataFrame:
     per_owner = per_order.join(t.orders.select("o_orderkey", "o_custkey"), "o_orderkey").groupBy(
         F.col("o_custkey").alias("c_custkey"), "p_brand").agg(F.sum("profit").alias("profit"), F.sum("n").alias("n"))
     placed = per_owner.join(customers_with_region(t).select("c_custkey", "region"), "c_custkey")
-    return aggregates.drilldown_worst(placed, "p_brand", "region", "profit", rows=F.sum("n"))
+    return aggregates.drilldown_worst(placed, "p_brand", "region", "profit", rows=F.sum("n"), digits=4)
 
 
 @query("merge_by_key", """

@@ -262,8 +262,8 @@ def replace_code_with_mode(t: Tables) -> DataFrame:
 
 @query("priced_top_k", f"""
 WITH p(o_orderpriority, price) AS (VALUES {', '.join(f"('{c}', {v}::DOUBLE)" for c, v in PRICES)}),
-c AS (SELECT {SQL_FY} AS fiscal_year, o_orderpriority, count(*)::BIGINT AS n_rows FROM orders GROUP BY ALL
-      QUALIFY row_number() OVER (PARTITION BY fiscal_year ORDER BY n_rows DESC, o_orderpriority) <= 3)
+a AS (SELECT {SQL_FY} AS fiscal_year, o_orderpriority, count(*)::BIGINT AS n_rows FROM orders GROUP BY ALL),
+c AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY fiscal_year ORDER BY n_rows DESC, o_orderpriority) <= 3)
 SELECT fiscal_year, o_orderpriority, n_rows, price, n_rows * price AS amount FROM c JOIN p USING (o_orderpriority)""")
 def priced_top_k(t: Tables) -> DataFrame:
     prices = t.spark.createDataFrame(PRICES, "o_orderpriority string, price double")
