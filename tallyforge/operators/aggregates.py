@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.operators.joins import null_safe_join
 from tallyforge.operators.ranking import quantile_table
 
 def count_by(df: DataFrame, keys: Sequence[str], name: str = "n_rows") -> DataFrame:
@@ -87,13 +88,10 @@ def summary(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), digit
             F.max(c).cast("double").alias("max_value"), F.count(F.when(F.col(c).isNull(), 1)).alias("n_null"))
         spread = quantile_table(df, c, list(names), by).groupBy(*by).agg(
             *[F.round(F.max(F.when(F.col("q") == q, F.col("value"))), digits).alias(n) for q, n in names.items()])
-        basic, spread = basic.withColumn("column_name", F.lit(c)), spread.withColumn("column_name", F.lit(c))
-        on = F.lit(True)
-        for key in [*by, "column_name"]:
-            on = on & basic[key].eqNullSafe(spread[key])
-        part = basic.join(spread, on, "left").select(
-            *[basic[k] for k in by], basic["column_name"], "min_value", "q1", "median", "mean_value", "q3",
-            "max_value", "n_null")
+        keyed = [*by, "column_name"]
+        part = null_safe_join(basic.withColumn("column_name", F.lit(c)), spread.withColumn("column_name", F.lit(c)),
+                              keyed, "left")
+        part = part.select(*keyed, "min_value", "q1", "median", "mean_value", "q3", "max_value", "n_null")
         result = part if result is None else result.unionByName(part)
     return result
 

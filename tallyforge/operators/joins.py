@@ -16,6 +16,19 @@ HOT_SHARE = 0.005
 PROBE_ROWS = 5_000_000
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
+                   few: bool = False) -> DataFrame:
+    """Join on keys of the same name where null matches null; the keys appear once. ``few`` marks a
+    right side whose size is bounded by construction.
+    """
+    names = {k: f"_right_{i}" for i, k in enumerate(keys)}
+    right = right.withColumnsRenamed(names)
+    condition = F.lit(True)
+    for key, name in names.items():
+        condition = condition & F.col(key).eqNullSafe(F.col(name))
+    return left.join(F.broadcast(right) if few else right, condition, how).drop(*names.values())
+
+
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, min_rows: int = PROBE_ROWS) -> list:
     """Keys holding at least ``share`` of all rows: one pass with a fixed-size sketch, at most ``1 / share`` keys."""
     tracked = max(1024, int(8 / share))

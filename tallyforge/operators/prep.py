@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.bands import clamp as clamp_value
 from tallyforge.functions.bands import cut, cut_labels
 from tallyforge.operators.aggregates import mode_of
+from tallyforge.operators.joins import null_safe_join
 from tallyforge.operators.ranking import quantile_table, quantiles
 
 MAX_LEVELS = 10_000
@@ -41,13 +42,9 @@ def boxplot_stats(df: DataFrame, column: str, by: Sequence[str], digits: int = 4
     spread = F.col("q3") - F.col("q1")
     fences = wide.withColumns({"low_fence": F.col("q1") - 1.5 * spread, "high_fence": F.col("q3") + 1.5 * spread})
     values = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
-    same = F.lit(True)
-    for key in by:
-        same = same & values[key].eqNullSafe(fences[key])
     outside = (F.col(column) < F.col("low_fence")) | (F.col(column) > F.col("high_fence"))
-    keys = [values[k] for k in by]
     stats = ["q1", "median", "q3", "low_fence", "high_fence"]
-    joined = values.join(fences, same).select(*keys, column, "_n", *stats)
+    joined = null_safe_join(values, fences, by)
     return joined.groupBy(*by).agg(
         *[F.round(F.first(s), digits).alias(s) for s in stats],
         F.sum(F.when(outside, F.col("_n")).otherwise(0)).alias("n_outlier"))

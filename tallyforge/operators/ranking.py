@@ -17,30 +17,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyforge.operators.joins import null_safe_join
+
 DIRECT_ROWS = 1_000_000      # below this many rows (or distinct values) one task is enough
 ROWS_PER_RANGE = 2_000_000   # aimed at beyond it
 MAX_RANGES = 20_000
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
-
-
 def _range_count(size: int, rows_per_range: int) -> int:
     return max(2, min(MAX_RANGES, -(-size // rows_per_range)))
 
 
-def _percent_points(df: DataFrame, column: str, ranges: int) -> list[float]:
+def percent_points(df: DataFrame, column: str, ranges: int) -> list[float]:
     """Approximate cut points, ``ranges - 1`` of them, repeated where one value fills several ranges."""
     shares = [i / ranges for i in range(1, ranges)]
     points = df.agg(F.percentile_approx(F.col(column).cast("double"), shares, max(1000, 8 * ranges))).first()[0]
     return [float(p) for p in points or []]
 
 
-def _into_ranges(df: DataFrame, column: str, edges: Sequence[float], out: str) -> DataFrame:
+def into_ranges(df: DataFrame, column: str, edges: Sequence[float], out: str) -> DataFrame:
     """Number of the range ``[edge, next edge)`` each value falls in; the lookup runs inside the JVM."""
     if not edges:
         return df.withColumn(out, F.lit(0.0))
@@ -68,8 +63,8 @@ def running_totals(df: DataFrame, order_by: str, totals: Mapping[str, Column], b
         span = W.partitionBy(*by).orderBy(order).rowsBetween(*upto)
         return collapsed.withColumns({f"cum_{n}": F.sum(n).over(span) for n in totals})
 
-    edges = sorted(set(_percent_points(df, order_by, _range_count(distinct, rows_per_range))))
-    ranged = _into_ranges(collapsed, order_by, edges, "_range")
+    edges = sorted(set(percent_points(df, order_by, _range_count(distinct, rows_per_range))))
+    ranged = into_ranges(collapsed, order_by, edges, "_range")
     per_range = ranged.groupBy(*by, "_range").agg(*[F.sum(n).alias(f"_sum_{n}") for n in totals])
     range_order = F.col("_range").desc() if descending else F.col("_range").asc()
     earlier = W.partitionBy(*by).orderBy(range_order).rowsBetween(W.unboundedPreceding, -1)
@@ -77,8 +72,8 @@ def running_totals(df: DataFrame, order_by: str, totals: Mapping[str, Column], b
         *by, "_range", *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in totals])
     within = W.partitionBy(*by, "_range").orderBy(order).rowsBetween(*upto)
     summed = ranged.withColumns({f"_cum_{n}": F.sum(n).over(within) for n in totals})
-    return summed.join(offsets, _same(summed, offsets, [*by, "_range"])).select(
-        *[summed[k] for k in by], summed[order_by], *[F.col(n) for n in totals],
+    return null_safe_join(summed, offsets, [*by, "_range"]).select(
+        *by, order_by, *totals,
         *[(F.col(f"_cum_{n}") + F.col(f"_before_{n}")).alias(f"cum_{n}") for n in totals])
 
 
@@ -95,12 +90,12 @@ def row_positions(df: DataFrame, score: str, key: str, descending: bool = True,
         return df.withColumn(out, F.row_number().over(W.orderBy(*order)).cast("bigint"))
 
     ranges = _range_count(rows, rows_per_range)
-    points = _percent_points(df, score, ranges)
+    points = percent_points(df, score, ranges)
     edges = sorted(set(points))
     repeats = Counter(points)
     weight = [repeats[e] for e in edges]
-    key_edges = sorted(set(_percent_points(df, key, ranges)))
-    cut = _into_ranges(_into_ranges(df, score, edges, "_range"), key, key_edges, "_key_range")
+    key_edges = sorted(set(percent_points(df, key, ranges)))
+    cut = into_ranges(into_ranges(df, score, edges, "_range"), key, key_edges, "_key_range")
     slot = F.col("_range").cast("int")
     edge_value = F.get(F.lit(edges).cast("array<double>"), slot - 1)
     edge_weight = F.get(F.lit(weight).cast("array<int>"), slot - 1)
@@ -157,8 +152,8 @@ def quantile_table(df: DataFrame, column: str, qs: Sequence[float], by: Sequence
         found = df.groupBy(*by).agg(F.percentile("_v", wanted).alias("_values"))
         return _spell_out(found, by, qs)
 
-    edges = sorted(set(_percent_points(df, "_v", _range_count(distinct, rows_per_range))))
-    collapsed = _into_ranges(df.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")), "_v", edges, "_range")
+    edges = sorted(set(percent_points(df, "_v", _range_count(distinct, rows_per_range))))
+    collapsed = into_ranges(df.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")), "_v", edges, "_range")
     per_range = collapsed.groupBy(*by, "_range").agg(F.sum("_n").alias("_size"))
     group = W.partitionBy(*by)
     upto = group.orderBy("_range").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -174,8 +169,7 @@ def quantile_table(df: DataFrame, column: str, qs: Sequence[float], by: Sequence
               .where(inside(low, "_size") | inside(high, "_size"))
               .select(*by, "_range", "_start", "_rows").distinct())
     within = W.partitionBy(*by, "_range").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    near = collapsed.join(needed, _same(collapsed, needed, [*by, "_range"])).select(
-        *[collapsed[k] for k in by], collapsed["_range"], "_v", "_n", "_start", "_rows")
+    near = null_safe_join(collapsed, needed, [*by, "_range"])
     near = near.withColumn("_start", F.col("_start") + F.sum("_n").over(within) - F.col("_n"))
     hits = (near.select("*", place).withColumn("_at", F.col("q") * (F.col("_rows") - 1))
             .where(inside(low, "_n") | inside(high, "_n")))

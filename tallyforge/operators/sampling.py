@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyforge.operators.joins import null_safe_join
+
 HASH_SPACE = 1 << 32
 SLICES = 1 << 16
 
@@ -55,10 +57,7 @@ def _cutoffs(df: DataFrame, key: str, by: Sequence[str], quota: Column, seed: in
         (F.col("_quota") > F.col("_before")) & (F.col("_quota") <= F.col("_before") + F.col("_n")))
     ends = _few_rows(ends.select(*by, "_slice", (F.col("_quota") - F.col("_before")).alias("_rest")),
                      max_strata, "strata")
-    same = hashed["_slice"] == ends["_slice"]
-    for c in by:
-        same = same & hashed[c].eqNullSafe(ends[c])
-    last = hashed.join(F.broadcast(ends), same).select(*[hashed[c] for c in by], "_hash", "_key", "_rest")
+    last = null_safe_join(hashed, ends, [*by, "_slice"], few=True)
     place = F.row_number().over(group.orderBy("_hash", "_key"))
     found = last.withColumn("_place", place).where(F.col("_place") == F.col("_rest")).select(
         *by, F.col("_hash").alias("_cut_hash"), F.col("_key").alias("_cut_key"))
@@ -76,8 +75,8 @@ def stratified_split(df: DataFrame, key: str, by: str, ratio: float = 0.7, seed:
 
     The cut-offs, one row per stratum, are read first and checked to be few; the rows themselves are not shuffled.
     """
-    found = _cutoffs(df, key, [by], F.floor(F.col("_rows") * F.lit(ratio)), seed, max_strata)
-    kept = df.join(F.broadcast(found), df[by].eqNullSafe(found[by]), "left").drop(found[by])
+    found = _cutoffs(df, key, [by], F.floor(F.col("_rows") * F.lit(ratio) + 1e-9), seed, max_strata)
+    kept = null_safe_join(df, found, [by], "left", few=True)
     chosen = F.coalesce(_below_cutoff(df, key, seed), F.lit(False))
     return kept.withColumn(out, F.when(chosen, "train").otherwise("test")).drop("_cut_hash", "_cut_key")
 

@@ -8,6 +8,7 @@ compared as well. A task holds two blocks at a time and hands on the best ``k``
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyforge.operators.ranking import row_positions
+from tallyforge.operators.ranking import into_ranges, row_positions
 from tallyforge.operators.sampling import sample_n
 
 BLOCK_ROWS = 2048
@@ -49,6 +50,25 @@ def _nearest(rows: pd.DataFrame, others: pd.DataFrame, k: int, n_num: int, n_cat
     return result[np.isfinite(result["d2"])]
 
 
+def _blocks_within_reach(wide: DataFrame, lows: list[float], highs: list[float]) -> DataFrame:
+    """One row per row and other block whose interval is closer than the row's reach.
+
+    Both lists ascend, so the blocks are a run; its ends are looked up like bin numbers.
+    """
+    def count_upto(df: DataFrame, point: Column, values: list[float], out: str) -> DataFrame:
+        edges = sorted(set(values))
+        upto = F.lit([0] + [bisect_right(values, e) for e in edges]).cast("array<int>")
+        found = into_ranges(df.withColumn("_point", point), "_point", edges, "_slot")
+        return found.withColumn(out, F.get(upto, F.col("_slot").cast("int"))).drop("_slot", "_point")
+
+    last = count_upto(wide, F.col("axis") + F.col("reach"), lows, "_last")
+    run = count_upto(last, F.col("axis") - F.col("reach"), highs, "_first").where("_last > _first")
+    low, high = (F.lit(v).cast("array<double>") for v in (lows, highs))
+    targets = run.withColumn("target", F.explode(F.sequence("_first", F.col("_last") - 1)))
+    closer = (F.get(low, "target") < F.col("axis") + F.col("reach")) & (F.get(high, "target") > F.col("axis") - F.col("reach"))
+    return targets.where((F.col("target") != F.col("block")) & closer).drop("reach", "axis", "_first", "_last")
+
+
 def nearest_rows(points: DataFrame, n_num: int, n_cat: int, k: int, block_rows: int = BLOCK_ROWS,
                  spread_feature: int = 0, **ranking: int) -> DataFrame:
     """The ``k`` nearest other points of each point, as rows of ``NEAR`` plus their order ``place``.
@@ -63,10 +83,8 @@ def nearest_rows(points: DataFrame, n_num: int, n_cat: int, k: int, block_rows:
     def own(rows: pd.DataFrame) -> pd.DataFrame:
         return _nearest(rows, rows, k, n_num, n_cat)
 
-    def other(rows: pd.DataFrame, target: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) == 0 or len(target) == 0:
-            return pd.DataFrame({c: pd.Series(dtype="object") for c in ("vid", "d2", "n_mult", "n_num", "n_cat")})
-        return _nearest(rows, target, k, n_num, n_cat)
+    def other(both: pd.DataFrame) -> pd.DataFrame:
+        return _nearest(both[both["asking"]], both[~both["asking"]], k, n_num, n_cat)
 
     first = blocks.groupBy("block").applyInPandas(own, NEAR)
     # one row per block: its interval on the axis
@@ -74,16 +92,12 @@ def nearest_rows(points: DataFrame, n_num: int, n_cat: int, k: int, block_rows:
     if len(spans) > 1:
         reach = first.groupBy("vid").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("d2"))).otherwise(
             F.lit(float("inf"))).alias("reach"))
-        lows = F.lit([float(s["low"]) for s in spans]).cast("array<double>")
-        highs = F.lit([float(s["high"]) for s in spans]).cast("array<double>")
-        wide = blocks.join(reach, "vid").where("reach > 0")
-        wanted = F.filter(F.sequence(F.lit(0), F.lit(len(spans) - 1)), lambda j: (
-            (j != F.col("block")) & (F.get(lows, j) < F.col("axis") + F.col("reach"))
-            & (F.get(highs, j) > F.col("axis") - F.col("reach"))))
-        asks = wide.withColumn("target", F.explode(wanted)).drop("reach")
+        wide = blocks.join(reach, "vid", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
+        asks = _blocks_within_reach(wide.where("reach > 0"), [s["low"] for s in spans], [s["high"] for s in spans])
         pairs = asks.select("block", "target").distinct()
-        targets = blocks.withColumnRenamed("block", "target").join(pairs, "target")
-        second = asks.groupBy("block", "target").cogroup(targets.groupBy("block", "target")).applyInPandas(other, NEAR)
+        targets = blocks.drop("axis").withColumnRenamed("block", "target").join(pairs, "target")
+        both = asks.withColumn("asking", F.lit(True)).unionByName(targets.withColumn("asking", F.lit(False)))
+        second = both.groupBy("block", "target").applyInPandas(other, NEAR)
         first = first.withColumn("_round", F.lit(0)).unionByName(second.withColumn("_round", F.lit(1)))
     else:
         first = first.withColumn("_round", F.lit(0))

@@ -194,7 +194,7 @@ def hash_split_counts(t: Tables) -> DataFrame:
 @query("stratified_split_counts", f"""
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {_sql_hash('o_orderkey', 7)}, o_orderkey) AS rn,
 count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)
-SELECT o_orderpriority, CASE WHEN rn <= floor(0.7::DOUBLE * n) THEN 'train' ELSE 'test' END AS part,
+SELECT o_orderpriority, CASE WHEN rn <= floor(0.7::DOUBLE * n + 1e-9::DOUBLE) THEN 'train' ELSE 'test' END AS part,
 count(*)::BIGINT AS n_rows, round(avg(o_totalprice), 2) AS avg_price FROM r GROUP BY ALL""")
 def stratified_split_counts(t: Tables) -> DataFrame:
     parts = sampling.stratified_split(t.orders, "o_orderkey", "o_orderpriority", 0.7, 7)
