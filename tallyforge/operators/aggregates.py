@@ -103,18 +103,16 @@ def share_of_total(df: DataFrame, key: str, column: str, digits: int = 4) -> Dat
     return shared.select(key, F.round("_sum", 2).alias("sum_value"), F.round("_avg", digits).alias("avg_value"), "pct")
 
 
-def drilldown_worst(df: DataFrame, pick: str, by: str, measure: str, rows: Column | None = None,
+def drilldown_worst(totals: DataFrame, detail: DataFrame, pick: str, by: str, measure: str, rows: Column | None = None,
                     digits: int = 2) -> DataFrame:
-    """Take the member of ``pick`` with the smallest total and split its rows by ``by``.
+    """Take the member of ``pick`` with the smallest total and split its rows of ``detail`` by ``by``.
 
-    One aggregate on both columns answers both questions; only aggregated cells are compared. ``rows`` counts rows,
-    for input that is already aggregated.
+    ``totals`` has one row per member with its ``total`` and may come from a cheaper plan than ``detail``; the member found is
+    a scalar, so the filter on it reaches the scans below ``detail``. ``rows`` counts rows, for input already aggregated.
     """
-    rows = F.count(F.lit(1)) if rows is None else rows
-    cells = df.groupBy(pick, by).agg(F.sum(measure).alias("_sum"), rows.alias("n_rows"))
-    worst = cells.groupBy(pick).agg(F.sum("_sum").alias("_total")).orderBy("_total", pick).limit(1)
-    chosen = worst.select(pick).scalar()
-    return cells.where(F.col(pick) == chosen).select(pick, by, "n_rows", F.round("_sum", digits).alias("total"))
+    chosen = totals.orderBy("total", pick).limit(1).select(pick).scalar()
+    return detail.where(F.col(pick) == chosen).groupBy(pick, by).agg(
+        (F.count(F.lit(1)) if rows is None else rows).alias("n_rows"), F.round(F.sum(measure), digits).alias("total"))
 
 
 def sum_where(df: DataFrame, member: str, members: Sequence[object], column: str, digits: int = 2) -> DataFrame:

@@ -31,12 +31,12 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, min_rows: int = PROBE_ROWS) -> list:
     """Keys holding at least ``share`` of all rows: one pass with a fixed-size sketch, at most ``1 / share`` keys."""
-    tracked = max(1024, int(8 / share))
-    found = df.agg(F.count(F.lit(1)).alias("rows"), F.expr(f"approx_top_k(`{key}`, {int(1 / share)}, {tracked})")
-                   .alias("top")).first()
-    if found["rows"] < min_rows:
+    rows = df.count()
+    if rows < min_rows:
         return []
-    return [t["item"] for t in found["top"] if t["item"] is not None and t["count"] >= share * found["rows"]]
+    tracked = max(1024, int(8 / share))
+    top = df.agg(F.expr(f"approx_top_k(`{key}`, {int(1 / share)}, {tracked})").alias("top")).first()["top"]
+    return [t["item"] for t in top if t["item"] is not None and t["count"] >= share * rows]
 
 
 def lookup_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner", share: float = HOT_SHARE,

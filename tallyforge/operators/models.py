@@ -16,14 +16,14 @@ from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, OneVsR
 from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, PolynomialExpansion, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
-from pyspark.ml.stat import Correlation
+from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 FEATURES = "features"
+PAIRWISE_COLUMNS = 12
 
 
 @dataclass(frozen=True)
@@ -36,7 +36,6 @@ class LinearFit:
     std_errors: list[float]
     p_values: list[float]
     measures: dict[str, float]
-    model: Model
 
     def table(self, df: DataFrame, digits: int = 6) -> DataFrame:
         rows = [(n, round(c, digits), round(s, digits), round(p, digits)) for n, c, s, p in
@@ -56,13 +55,104 @@ def array_features(df: DataFrame, column: str, out: str = FEATURES) -> DataFrame
     return df.withColumn(out, array_to_vector(F.col(column).cast("array<double>")))
 
 
+@dataclass(frozen=True)
+class Gram:
+    """Row count, means and centred cross products of named columns."""
+
+    names: list[str]
+    rows: int
+    means: np.ndarray
+    cross: np.ndarray
+
+
+def gram(df: DataFrame, columns: Sequence[str]) -> Gram:
+    """Moments of the complete rows in two passes: means, then products of the centred columns.
+
+    The products of few columns are plain sums inside the JVM. With more, each task sums its Arrow batches into a
+    small matrix; those are added up entry by entry on the executors. Only p-by-p numbers are collected.
+    """
+    columns = list(columns)
+    df = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).na.drop()
+    p = len(columns)
+    first = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"c{i}").alias(f"m{i}") for i in range(p)]).first()
+    rows = first["n"]
+    if not rows:
+        raise ValueError("no complete rows")
+    centre, cross = np.array([first[f"m{i}"] for i in range(p)]), np.zeros((p, p))
+    if p <= PAIRWISE_COLUMNS:
+        pairs = [(i, j) for i in range(p) for j in range(i, p)]
+        off = [F.col(f"c{i}") - float(centre[i]) for i in range(p)]
+        for (i, j), v in zip(pairs, df.agg(*[F.sum(off[i] * off[j]) for i, j in pairs]).first()):
+            cross[i, j] = cross[j, i] = v
+    else:
+        def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((p, p))
+            for part in parts:
+                x = part.to_numpy(dtype=float) - centre
+                total += x.T @ x
+            i, j = np.indices((p, p))
+            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
+
+        summed = df.mapInPandas(partial, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+        for row in summed.collect():
+            cross[row["i"], row["j"]] = row["v"]
+    return Gram(columns, rows, centre, cross)
+
+
 def fit_ols(df: DataFrame, y: str, xs: Sequence[str]) -> LinearFit:
-    """Ordinary least squares by the normal equations: one pass over the rows."""
-    data = with_features(df.select(F.col(y).cast("double").alias(y), *xs), xs)
-    model = LinearRegression(labelCol=y, featuresCol=FEATURES, solver="normal").fit(data)
-    s = model.summary
-    return LinearFit("ols", list(xs), _floats([*model.coefficients, model.intercept]), _floats(s.coefficientStandardErrors),
-                     _floats(s.pValues), {"r2": s.r2, "r2_adjusted": s.r2adj}, model)
+    """Ordinary least squares by the normal equations: one pass over the complete rows."""
+    return _solve(gram(df, [y, *xs]), list(xs))
+
+
+def _solve(moments: Gram, xs: list[str]) -> LinearFit:
+    """Least squares of the first column on ``xs`` from centred cross products; small matrices only."""
+    at = [moments.names.index(x) for x in xs]
+    cross, means, rows = moments.cross, moments.means, moments.rows
+    inverse = np.linalg.pinv(cross[np.ix_(at, at)], hermitian=True)
+    beta = inverse @ cross[at, 0]
+    total = float(cross[0, 0])
+    rss = max(total - float(beta @ cross[at, 0]), 0.0)
+    freedom = rows - len(xs) - 1
+    sigma2 = rss / freedom if freedom > 0 else math.nan
+    m = means[at]
+    errors = np.sqrt(np.append(np.diag(inverse) * sigma2, sigma2 * (1 / rows + m @ inverse @ m)))
+    estimates = np.append(beta, means[0] - beta @ m)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p_values = [two_sided_p(float(t), freedom) for t in estimates / errors]
+    r2 = 1 - rss / total if total else math.nan
+    return LinearFit("ols", xs, _floats(estimates), _floats(errors), p_values,
+                     {"r2": r2, "r2_adjusted": 1 - (1 - r2) * (rows - 1) / freedom if freedom > 0 else math.nan,
+                      "rss": rss, "rows": rows})
+
+
+def two_sided_p(t: float, freedom: int) -> float:
+    """Two-sided p-value of a t statistic, by the continued fraction of the incomplete beta function."""
+    if math.isnan(t) or freedom <= 0:
+        return math.nan
+    if math.isinf(t):
+        return 0.0
+    x, a, b = freedom / (freedom + t * t), freedom / 2, 0.5
+    if x >= 1:
+        return 1.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    if x < (a + 1) / (a + b + 2):
+        return front * _beta_fraction(x, a, b) / a
+    return 1 - front * _beta_fraction(1 - x, b, a) / b
+
+
+def _beta_fraction(x: float, a: float, b: float) -> float:
+    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (d or tiny)
+    result = d
+    for m in range(1, 10_000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / ((1 + step * d) or tiny)
+            c = (1 + step / c) or tiny
+            result *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return result
 
 
 def fit_logit(df: DataFrame, y: str, xs: Sequence[str], max_iter: int = 25) -> LinearFit:
@@ -72,7 +162,7 @@ def fit_logit(df: DataFrame, y: str, xs: Sequence[str], max_iter: int = 25) -> L
                                         maxIter=max_iter).fit(data)
     s = model.summary
     return LinearFit("logit", list(xs), _floats([*model.coefficients, model.intercept]), _floats(s.coefficientStandardErrors),
-                     _floats(s.pValues), {"aic": s.aic, "deviance": s.deviance}, model)
+                     _floats(s.pValues), {"aic": s.aic, "deviance": s.deviance})
 
 
 def linear_score(fit: LinearFit) -> Column:
@@ -91,57 +181,23 @@ def score(model: Model, df: DataFrame, out: str = "p", positive: int = 1) -> Dat
     return scored
 
 
-def gram(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """Row count, means, and cross products of the centred columns.
-
-    Each task sums its own batches; what is shuffled and collected is one small matrix per task, added up
-    entry by entry on the executors.
-    """
-    columns = list(columns)
-    df = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
-    first = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in columns]).first()
-    rows = first["n"]
-    if not rows:
-        raise ValueError("no complete rows")
-    means = np.array([first[c] for c in columns])
-    p = len(columns)
-
-    def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((p, p))
-        for part in parts:
-            x = part.to_numpy(dtype=float) - means
-            total += x.T @ x
-        i, j = np.indices((p, p))
-        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
-
-    sums = df.mapInPandas(partial, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
-    cross = np.zeros((p, p))
-    for row in sums:
-        cross[row["i"], row["j"]] = row["v"]
-    return rows, means, cross
-
-
-def vif_values(df: DataFrame, xs: Sequence[str]) -> dict[str, float]:
-    """Variance inflation factors: the diagonal of the inverse correlation matrix, from one job."""
-    if len(xs) < 2:
-        return {x: 1.0 for x in xs}
-    data = with_features(df.select(*xs), xs)
-    matrix = Correlation.corr(data, FEATURES).head()[0].toArray()
-    return {x: float(v) for x, v in zip(xs, np.diag(np.linalg.pinv(matrix, hermitian=True)))}
+def vif_values(moments: Gram, xs: Sequence[str]) -> dict[str, float]:
+    """Variance inflation factors: the diagonal of the inverse correlation matrix."""
+    at = [moments.names.index(x) for x in xs]
+    cross = moments.cross[np.ix_(at, at)]
+    scale = np.sqrt(np.diag(cross))
+    scale[scale == 0] = 1.0
+    return {x: float(v) for x, v in zip(xs, np.diag(np.linalg.pinv(cross / np.outer(scale, scale), hermitian=True)))}
 
 
 def vif(df: DataFrame, xs: Sequence[str], digits: int = 5) -> DataFrame:
-    rows = [(x, round(v, digits)) for x, v in vif_values(df, xs).items()]
+    rows = [(x, round(v, digits)) for x, v in vif_values(gram(df, xs), xs).items()]
     return df.sparkSession.createDataFrame(rows, "term string, vif double")
 
 
-def _ols_aic(rows: int, cross: np.ndarray, y: int, chosen: Sequence[int]) -> float:
-    chosen = list(chosen)
-    rss = cross[y, y]
-    if chosen:
-        xty = cross[np.ix_(chosen, [y])].ravel()
-        rss -= float(xty @ np.linalg.lstsq(cross[np.ix_(chosen, chosen)], xty, rcond=None)[0])
-    return rows * math.log(max(rss, 1e-300) / rows) + 2 * (len(chosen) + 1)
+def _ols_aic(moments: Gram, names: Sequence[str]) -> float:
+    rss = _solve(moments, list(names)).measures["rss"] if names else float(moments.cross[0, 0])
+    return moments.rows * math.log(max(rss, 1e-300) / moments.rows) + 2 * (len(names) + 1)
 
 
 def step_aic(df: DataFrame, y: str, xs: Sequence[str], kind: str = "ols") -> list[dict]:
@@ -151,12 +207,8 @@ def step_aic(df: DataFrame, y: str, xs: Sequence[str], kind: str = "ols") -> lis
     """
     xs = list(xs)
     if kind == "ols":
-        rows, _, cross = gram(df, [y, *xs])
-
-        def criterion(names: Sequence[str]) -> float:
-            return _ols_aic(rows, cross, 0, [xs.index(n) + 1 for n in names])
-
-        return _search(xs, criterion)
+        moments = gram(df, [y, *xs])
+        return _search(xs, lambda names: _ols_aic(moments, names))
     held = df.select(y, *xs).na.drop().persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _search(xs, lambda names: _logit_aic(held, y, names))
@@ -192,16 +244,19 @@ def eliminate(df: DataFrame, y: str, xs: Sequence[str], kind: str = "ols", vif_m
               p_max: float = 0.05) -> tuple[LinearFit, list[dict]]:
     """Drop the variable with the largest inflation factor above ``vif_max`` that is not significant, else
     the least significant one, and refit until all are significant and inflation is within bounds.
+
+    Inflation, and for least squares every refit as well, comes from the moments of one pass; a logistic model takes
+    one fit per step.
     """
     names = list(xs)
-    held = df.select(y, *names).na.drop().persist(StorageLevel.MEMORY_AND_DISK)
-    fitter = fit_ols if kind == "ols" else fit_logit
+    moments = gram(df, [y, *names])
+    held = df.select(y, *names).na.drop().persist(StorageLevel.MEMORY_AND_DISK) if kind != "ols" else None
     path: list[dict] = []
     try:
         while True:
-            fit = fitter(held, y, names)
+            fit = _solve(moments, list(names)) if held is None else fit_logit(held, y, names)
             p = dict(zip(names, fit.p_values))
-            inflated = {x: v for x, v in vif_values(held, names).items() if v > vif_max}
+            inflated = {x: v for x, v in vif_values(moments, names).items() if v > vif_max}
             weak = {x: v for x, v in p.items() if not v <= p_max}
             both = [x for x in inflated if x in weak]
             if len(names) == 1 or not (inflated or weak):
@@ -216,7 +271,8 @@ def eliminate(df: DataFrame, y: str, xs: Sequence[str], kind: str = "ols", vif_m
                          "p_value": p[term]})
             names.remove(term)
     finally:
-        held.unpersist()
+        if held is not None:
+            held.unpersist()
 
 
 def fit_tree(df: DataFrame, y: str, xs: Sequence[str], min_leaf: int = 10, min_gain: float = 0.0, max_depth: int = 5,

@@ -22,6 +22,9 @@ from tallyforge.operators.joins import null_safe_join
 DIRECT_ROWS = 1_000_000      # below this many rows (or distinct values) one task is enough
 ROWS_PER_RANGE = 2_000_000   # aimed at beyond it
 MAX_RANGES = 20_000
+DIRECT_VALUES = 50_000       # distinct values the built-in percentile may hold in one buffer
+FINE_ROWS = 10_000_000_000   # beyond it the sketch is made finer
+MAX_GROUPS = 10_000          # groups whose brackets may travel as a broadcast
 
 
 def _range_count(size: int, rows_per_range: int) -> int:
@@ -135,11 +138,14 @@ def tiles(df: DataFrame, score: str, key: str, n: int = 10, descending: bool = T
 
 
 def quantile_table(df: DataFrame, column: str, qs: Sequence[float], by: Sequence[str] = (), exact: bool = True,
-                   accuracy: int = 10_000, direct_rows: int = DIRECT_ROWS,
-                   rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+                   accuracy: int = 10_000, direct_rows: int = DIRECT_VALUES, rows_per_range: int = ROWS_PER_RANGE,
+                   max_groups: int = MAX_GROUPS) -> DataFrame:
     """Percentiles of ``column`` per group, as rows ``(by..., q, value)``; nulls are ignored.
 
-    Exact ones interpolate linearly. ``exact=False`` uses the bounded-size sketch of ``percentile_approx``.
+    Exact ones interpolate linearly. Few distinct values go to the built-in aggregate, whose state is one count per
+    value. With more, a sketch first tells between which two values each percentile lies; everything
+    outside those brackets is merely counted. Very many groups are cut into value ranges instead.
+    ``exact=False`` stops at the sketch.
     """
     by, qs = list(by), [float(q) for q in qs]
     df = df.select(*by, F.col(column).alias("_v")).where(F.col("_v").isNotNull())
@@ -147,37 +153,123 @@ def quantile_table(df: DataFrame, column: str, qs: Sequence[float], by: Sequence
     if not exact:
         found = df.groupBy(*by).agg(F.percentile_approx("_v", wanted, accuracy).alias("_values"))
         return _spell_out(found, by, qs)
-    distinct = df.agg(F.approx_count_distinct(F.struct(*by, "_v"))).first()[0]
-    if distinct <= direct_rows:
+    sketch = _sketch(df, qs, by, max_groups, 10_000)
+    if sketch is None:
+        values = df.agg(F.approx_count_distinct(F.struct(*by, "_v"))).first()[0]
+        return _ranged_quantiles(df, qs, by, values, rows_per_range)
+    if sum(row["_values"] for row in sketch) <= direct_rows:
         found = df.groupBy(*by).agg(F.percentile("_v", wanted).alias("_values"))
         return _spell_out(found, by, qs)
+    rows = sum(row["_rows"] for row in sketch)
+    if rows > FINE_ROWS:
+        accuracy = min(1_000_000, rows // 1_000_000)
+        sketch = _sketch(df, qs, by, max_groups, accuracy)
+    else:
+        accuracy = 10_000
+    found = _bracketed_quantiles(df, qs, by, sketch, accuracy)
+    if found is None:
+        return _ranged_quantiles(df, qs, by, sum(row["_values"] for row in sketch), rows_per_range)
+    return found
+
+
+def _sketch(df: DataFrame, qs: list[float], by: list[str], max_groups: int, accuracy: int) -> list | None:
+    """Per group its size, about how many values it has, and brackets around each percentile; None if
+    there are more than ``max_groups`` groups.
+    """
+    margin = 2.0 / accuracy
+    ends = [min(1.0, max(0.0, q + side)) for q in qs for side in (-margin, margin)]
+    found = df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_rows"), F.approx_count_distinct("_v").alias("_values"), F.min("_v").alias("_min"),
+        F.max("_v").alias("_max"), F.percentile_approx("_v", ends, accuracy).alias("_ends"))
+    rows = (found.limit(max_groups + 1) if by else found).collect()
+    return None if len(rows) > max_groups else [r for r in rows if r["_rows"]]
+
+
+def _bracketed_quantiles(df: DataFrame, qs: list[float], by: list[str], sketch: list, accuracy: int) -> DataFrame | None:
+    """Exact percentiles of few groups from a sketch and one counting pass; None if a bracket misses its rank.
+
+    The sketch errs by at most ``rows / accuracy`` ranks, so brackets twice as wide hold a share of
+    about ``4 / accuracy`` of a group. Only their values reach the shuffle one by one.
+    """
+    margin = 2.0 / accuracy
+    merged = []
+    for row in sketch:
+        pairs = [(row["_min"] if q <= margin else low, row["_max"] if q >= 1 - margin else high)
+                 for q, low, high in zip(qs, row["_ends"][::2], row["_ends"][1::2])]
+        lows, highs = [], []
+        for low, high in sorted(pairs):
+            if highs and low <= highs[-1]:
+                highs[-1] = max(highs[-1], high)
+            else:
+                lows.append(low)
+                highs.append(high)
+        merged.append((*[row[k] for k in by], row["_rows"], lows, highs))
+    kind = df.schema["_v"].dataType.simpleString()
+    keys = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in by]
+    if by:
+        brackets = df.sparkSession.createDataFrame(
+            merged, ", ".join([*keys, "_rows long", f"_lows array<{kind}>", f"_highs array<{kind}>"]))
+        placed = null_safe_join(df, brackets, by, few=True)
+    elif merged:
+        rows, lows, highs = merged[0]
+        placed = df.withColumns({"_rows": F.lit(rows).cast("long"), "_lows": F.lit(lows).cast(f"array<{kind}>"),
+                                 "_highs": F.lit(highs).cast(f"array<{kind}>")})
+    else:
+        return None
+    placed = placed.withColumn("_slot", F.size(F.filter("_highs", lambda h: h < F.col("_v"))))
+    inside = F.col("_v") >= F.get("_lows", F.col("_slot"))
+    cells = placed.groupBy(*by, "_rows", "_slot", F.when(inside, F.col("_v")).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    upto = W.partitionBy(*by).orderBy("_slot", F.col("_v").asc_nulls_first()).rowsBetween(
+        W.unboundedPreceding, W.currentRow)
+    cells = cells.withColumn("_start", F.sum("_n").over(upto) - F.col("_n")).where(F.col("_v").isNotNull())
+    found = _at_ranks(cells, qs, by).where("_reached").select(*by, "q", "value").collect()
+    if len(found) < len(qs) * len(merged):
+        return None
+    return df.sparkSession.createDataFrame([tuple(r) for r in found], ", ".join([*keys, "q double", "value double"]))
+
+
+def _at_ranks(cells: DataFrame, qs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """Interpolated percentiles from value counts with their first rank ``_start``; ``_reached`` tells
+    whether both ranks that matter were among the cells.
+    """
+    wanted = F.array(*[F.lit(q) for q in qs])
+    low, high = F.floor(F.col("_at")), F.ceil(F.col("_at"))
+
+    def holds(rank: Column) -> Column:
+        return (rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_n"))
 
-    edges = sorted(set(percent_points(df, "_v", _range_count(distinct, rows_per_range))))
+    placed = cells.select("*", F.explode(wanted).alias("q")).withColumn("_at", F.col("q") * (F.col("_rows") - 1))
+    ends = placed.where(holds(low) | holds(high)).groupBy(*by, "q", "_at").agg(
+        F.min("_v").alias("_low"), F.max("_v").alias("_high"),
+        (F.bool_or(holds(low)) & F.bool_or(holds(high))).alias("_reached"))
+    share = F.col("_at") - F.floor(F.col("_at"))
+    between = F.col("_low") * (1 - share) + F.col("_high") * share
+    return ends.withColumn("value", F.when(F.col("_low") == F.col("_high"), F.col("_low").cast("double")).otherwise(between))
+
+
+def _ranged_quantiles(df: DataFrame, qs: Sequence[float], by: Sequence[str], values: int, rows_per_range: int) -> DataFrame:
+    """Exact percentiles of any number of groups: count per value range, then order the ranges that matter."""
+    edges = sorted(set(percent_points(df, "_v", _range_count(values, rows_per_range))))
     collapsed = into_ranges(df.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")), "_v", edges, "_range")
     per_range = collapsed.groupBy(*by, "_range").agg(F.sum("_n").alias("_size"))
     group = W.partitionBy(*by)
     upto = group.orderBy("_range").rowsBetween(W.unboundedPreceding, W.currentRow)
     spans = per_range.select(*by, "_range", (F.sum("_size").over(upto) - F.col("_size")).alias("_start"),
                              "_size", F.sum("_size").over(group).alias("_rows"))
-    place = F.explode(wanted).alias("q")
-    low, high = F.floor(F.col("_at")), F.ceil(F.col("_at"))
 
-    def inside(rank: Column, size: str) -> Column:
-        return (rank >= F.col("_start")) & (rank < F.col("_start") + F.col(size))
+    def holds(rank: Column) -> Column:
+        return (rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_size"))
 
-    needed = (spans.select("*", place).withColumn("_at", F.col("q") * (F.col("_rows") - 1))
-              .where(inside(low, "_size") | inside(high, "_size"))
-              .select(*by, "_range", "_start", "_rows").distinct())
+    matters = F.lit(False)
+    for q in qs:
+        at = F.lit(q) * (F.col("_rows") - 1)
+        matters = matters | holds(F.floor(at)) | holds(F.ceil(at))
+    needed = spans.where(matters).select(*by, "_range", "_start", "_rows")
     within = W.partitionBy(*by, "_range").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
     near = null_safe_join(collapsed, needed, [*by, "_range"])
     near = near.withColumn("_start", F.col("_start") + F.sum("_n").over(within) - F.col("_n"))
-    hits = (near.select("*", place).withColumn("_at", F.col("q") * (F.col("_rows") - 1))
-            .where(inside(low, "_n") | inside(high, "_n")))
-    ends = hits.groupBy(*by, "q", "_at").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-    share = F.col("_at") - F.floor(F.col("_at"))
-    between = F.col("_low") * (1 - share) + F.col("_high") * share
-    return ends.select(*by, "q", F.when(F.col("_low") == F.col("_high"), F.col("_low").cast("double"))
-                       .otherwise(between).alias("value"))
+    return _at_ranks(near, qs, by).select(*by, "q", "value")
 
 
 def _spell_out(found: DataFrame, by: Sequence[str], qs: Sequence[float]) -> DataFrame:
@@ -190,3 +282,17 @@ def quantiles(df: DataFrame, column: str, qs: Sequence[float], **options: object
     """Percentiles of one whole column as plain numbers, for use as literals in later expressions."""
     found = {row["q"]: row["value"] for row in quantile_table(df, column, qs, **options).collect()}
     return [found.get(float(q)) for q in qs]
+
+
+def quantiles_of(df: DataFrame, columns: Sequence[str], qs: Sequence[float], exact: bool = True,
+                 direct_rows: int = DIRECT_VALUES) -> dict[str, list[float]]:
+    """Percentiles of several columns; all columns with few distinct values share one pass."""
+    if not exact:
+        return {c: quantiles(df, c, qs, exact=False) for c in columns}
+    distinct = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    few = [c for c in columns if distinct[c] <= direct_rows]
+    found = {}
+    if few:
+        row = df.agg(*[F.percentile(c, F.array(*[F.lit(float(q)) for q in qs])).alias(c) for c in few]).first()
+        found = {c: list(row[c]) if row[c] is not None else [None] * len(qs) for c in few}
+    return {c: found[c] if c in found else quantiles(df, c, qs, direct_rows=direct_rows) for c in columns}

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tallyforge.operators.joins import null_safe_join
 
 HASH_SPACE = 1 << 32
-SLICES = 1 << 16
+ROWS_PER_SLICE = 500_000
+MAX_SLICE_BITS = 20
 
 
 def key_hash(key: Column | str, seed: int = 0) -> Column:
@@ -40,14 +41,22 @@ def _few_rows(df: DataFrame, limit: int, what: str) -> DataFrame:
 
 
 def _cutoffs(df: DataFrame, key: str, by: Sequence[str], quota: Column, seed: int,
-             max_strata: int = 10_000) -> DataFrame:
+             max_strata: int = 10_000, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Per stratum the hash and key of the last row inside the quota.
 
-    Rows are counted per stratum and hash slice; only the slice in which the quota ends is ordered, which is about
-    ``1 / SLICES`` of a stratum however large that is.
+    Rows are counted per stratum and hash slice; only the slice in which the quota ends is ordered. There are as many
+    slices as it takes to keep one at about ``ROWS_PER_SLICE`` rows.
     """
+    rows = df.count()
     hashed = df.select(*by, F.col(key).alias("_key"), key_hash(key, seed).alias("_hash"))
-    hashed = hashed.withColumn("_slice", F.shiftright("_hash", 16))
+    if rows <= rows_per_slice:
+        span = W.partitionBy(*by)
+        ranked = hashed.select(*by, "_hash", "_key", F.row_number().over(span.orderBy("_hash", "_key")).alias("_place"),
+                               F.count(F.lit(1)).over(span).alias("_rows")).where(F.col("_place") == quota)
+        return _few_rows(ranked.select(*by, F.col("_hash").alias("_cut_hash"), F.col("_key").alias("_cut_key")),
+                         max_strata, "strata")
+    bits = min(MAX_SLICE_BITS, (rows // rows_per_slice).bit_length())
+    hashed = hashed.withColumn("_slice", F.shiftright("_hash", 32 - bits))
     sizes = hashed.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     group = W.partitionBy(*by)
     upto = group.orderBy("_slice").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -70,20 +79,21 @@ def _below_cutoff(df: DataFrame, key: str, seed: int) -> Column:
 
 
 def stratified_split(df: DataFrame, key: str, by: str, ratio: float = 0.7, seed: int = 0, out: str = "part",
-                     max_strata: int = 10_000) -> DataFrame:
+                     max_strata: int = 10_000, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Exactly ``floor(ratio * n)`` training rows in every stratum, ``key`` being unique.
 
     The cut-offs, one row per stratum, are read first and checked to be few; the rows themselves are not shuffled.
     """
-    found = _cutoffs(df, key, [by], F.floor(F.col("_rows") * F.lit(ratio) + 1e-9), seed, max_strata)
+    found = _cutoffs(df, key, [by], F.floor(F.col("_rows") * F.lit(ratio) + 1e-9), seed, max_strata, rows_per_slice)
     kept = null_safe_join(df, found, [by], "left", few=True)
     chosen = F.coalesce(_below_cutoff(df, key, seed), F.lit(False))
     return kept.withColumn(out, F.when(chosen, "train").otherwise("test")).drop("_cut_hash", "_cut_key")
 
 
-def sample_n(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+def sample_n(df: DataFrame, key: str, n: int, seed: int = 0, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """``n`` rows (all, if there are fewer) with the smallest key hashes; ``key`` is unique."""
-    cut = _cutoffs(df, key, [], F.least(F.col("_rows"), F.lit(n)), seed).first()
+    cut = _cutoffs(df, key, [], F.least(F.col("_rows"), F.lit(n)), seed,
+                   rows_per_slice=rows_per_slice).first()
     if cut is None:
         return df.limit(0)
     h = key_hash(key, seed)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.bands import cut, cut_labels
-from tallyforge.operators.prep import quantile_edges
+from tallyforge.operators.ranking import quantiles_of
 
 
 def bin_columns(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), bins: int = 10,
@@ -19,8 +19,9 @@ def bin_columns(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
     the range seen here fall into them. Nulls get the level ``NA``.
     """
     found: dict[str, Column] = {}
+    cuts = quantiles_of(df, numeric, [i / bins for i in range(bins + 1)]) if numeric else {}
     for c in numeric:
-        edges = quantile_edges(df, c, bins)
+        edges = sorted({e for e in cuts[c] if e is not None})
         if len(edges) < 2:
             found[c] = F.when(F.col(c).isNull(), "NA").otherwise("1" if numbered else "all")
             continue

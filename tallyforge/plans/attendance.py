@@ -39,10 +39,10 @@ def daily_hours(t: Tables) -> DataFrame:
 
 
 @query("hours_and_absences", f"""
-WITH {SQL_DAYS} SELECT user_id, round(avg(hours), 4) AS mean_value, count(*) FILTER (WHERE hours IS NULL)::BIGINT AS n_missing,
+WITH {SQL_DAYS} SELECT user_id, round(avg(hours), 8) AS mean_value, count(*) FILTER (WHERE hours IS NULL)::BIGINT AS n_missing,
 (avg(hours) > 8)::INT AS over_time, (avg(hours) < 8)::INT AS short_time FROM long GROUP BY 1""")
 def hours_and_absences(t: Tables) -> DataFrame:
-    return reshape.attendance_features(hours_long(t), "user_id", "hours", standard=8)
+    return reshape.attendance_features(hours_long(t), "user_id", "hours", standard=8, digits=8)
 
 
 @query("active_days", f"""

@@ -403,7 +403,6 @@ def forest_importance(t: Tables) -> DataFrame:
 @query("model_comparison")
 def model_comparison(t: Tables) -> DataFrame:
     train, test = train_test(t)
-    train = train.persist()
     logit = models.fit_logit(train, "bad", PREDICTORS)
     tree = models.fit_tree(train, "bad", PREDICTORS)
     return evaluate.compare_models({

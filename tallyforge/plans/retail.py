@@ -102,14 +102,17 @@ worst AS (SELECT p_brand FROM f GROUP BY 1 ORDER BY sum(profit), 1 LIMIT 1)
 SELECT p_brand, region, count(*)::BIGINT AS n_rows, round(sum(profit), 4) AS total FROM f
 WHERE p_brand = (FROM worst) GROUP BY ALL""")
 def worst_category_drilldown(t: Tables) -> DataFrame:
+    brands = t.part.select("p_partkey", "p_brand")
     lines = t.lineitem.select(F.col("l_partkey").alias("p_partkey"), F.col("l_orderkey").alias("o_orderkey"),
                               profit().alias("profit"))
-    branded = joins.lookup_join(lines, t.part.select("p_partkey", "p_brand"), "p_partkey").drop("p_partkey")
+    per_part = lines.groupBy("p_partkey").agg(F.sum("profit").alias("profit"))
+    totals = per_part.join(brands, "p_partkey").groupBy("p_brand").agg(F.sum("profit").alias("total"))
+    branded = joins.lookup_join(lines, brands, "p_partkey").drop("p_partkey")
     per_order = branded.groupBy("o_orderkey", "p_brand").agg(F.sum("profit").alias("profit"), F.count(F.lit(1)).alias("n"))
     per_owner = per_order.join(t.orders.select("o_orderkey", "o_custkey"), "o_orderkey").groupBy(
         F.col("o_custkey").alias("c_custkey"), "p_brand").agg(F.sum("profit").alias("profit"), F.sum("n").alias("n"))
     placed = per_owner.join(customers_with_region(t).select("c_custkey", "region"), "c_custkey")
-    return aggregates.drilldown_worst(placed, "p_brand", "region", "profit", rows=F.sum("n"), digits=4)
+    return aggregates.drilldown_worst(totals, placed, "p_brand", "region", "profit", rows=F.sum("n"), digits=4)
 
 
 @query("merge_by_key", """

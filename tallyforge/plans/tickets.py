@@ -24,8 +24,10 @@ def by_state(t: Tables, orders: DataFrame | None = None) -> DataFrame:
 
 def with_time_text(t: Tables) -> DataFrame:
     """Events with a 12-hour time text such as ``0953A``."""
+    hour, two = F.hour("ts"), lambda c: F.lpad(c.cast("string"), 2, "0")
+    half = F.when(hour < 12, "A").otherwise("P")
     return t.events.select("event_id", "event_type", F.concat(
-        F.date_format("ts", "hhmm"), F.substring(F.date_format("ts", "a"), 1, 1)).alias("violation_time"))
+        two((hour + 11) % 12 + 1), two(F.minute("ts")), half).alias("violation_time"))
 
 
 SQL_BIN = """CASE WHEN h BETWEEN 0 AND 3 THEN '0to3' WHEN h BETWEEN 4 AND 7 THEN '4to7' WHEN h BETWEEN 8 AND 11 THEN '8to11'

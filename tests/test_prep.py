@@ -104,12 +104,16 @@ def test_split_is_stable(spark):
     assert one != {r["id"]: r["part"] for r in sampling.split(df, "id", 0.7, 2).collect()}
 
 
-def test_stratified_split(spark):
+@pytest.mark.parametrize("rows_per_slice", [100_000, 50])
+def test_stratified_split(spark, rows_per_slice):
     df = spark.range(1000).withColumn("y", F.when(F.col("id") < 900, "common").when(F.col("id") < 990, "rare"))
-    got = sampling.stratified_split(df, "id", "y", 0.7, 5).groupBy("y", "part").count().collect()
+    got = sampling.stratified_split(df, "id", "y", 0.7, 5, rows_per_slice=rows_per_slice).groupBy("y", "part").count().collect()
     assert {(r["y"], r["part"]): r["count"] for r in got} == {
         ("common", "train"): 630, ("common", "test"): 270, ("rare", "train"): 63, ("rare", "test"): 27,
         (None, "train"): 7, (None, "test"): 3}
+    one = sampling.stratified_split(df, "id", "y", 0.7, 5)
+    two = sampling.stratified_split(df, "id", "y", 0.7, 5, rows_per_slice=20)
+    assert sorted(map(tuple, one.select("id", "part").collect())) == sorted(map(tuple, two.select("id", "part").collect()))
     with pytest.raises(ValueError):
         sampling.stratified_split(df, "id", "y", max_strata=1)
 
@@ -120,6 +124,7 @@ def test_sample_n(spark, n):
     got = {r["id"] for r in sampling.sample_n(df, "id", n, 3).collect()}
     ranked = [r["id"] for r in df.orderBy(sampling.key_hash("id", 3), "id").collect()]
     assert got == set(ranked[:n])
+    assert got == {r["id"] for r in sampling.sample_n(df, "id", n, 3, rows_per_slice=30).collect()}
 
 
 @pytest.mark.parametrize("block_rows", [1000, 25, 7])

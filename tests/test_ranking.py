@@ -83,7 +83,7 @@ def test_running_totals(table, options, by, descending):
     assert len(got) == len({(d[1], d[2] if by else 0) for d in data if d[1] is not None})
 
 
-@WAYS
+@pytest.mark.parametrize("options", [{}, {"direct_rows": 0}, {**LARGE, "max_groups": 0}], ids=["direct", "brackets", "ranges"])
 @pytest.mark.parametrize("by", [[], ["grp"]])
 def test_quantile_table(table, options, by):
     df, data = table
@@ -99,7 +99,8 @@ def test_quantile_table(table, options, by):
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert ranking.quantiles(df, "x", [0.5]) == [None]
-    assert ranking.quantiles(df, "x", [0.5], **LARGE) == [None]
+    assert ranking.quantiles(df, "x", [0.5], direct_rows=0) == [None]
+    assert ranking.quantiles(df, "x", [0.5], max_groups=0, **LARGE) == [None]
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -107,6 +108,18 @@ def test_quantiles_of_nothing(spark):
 def test_quantiles_property(spark, values):
     df = spark.createDataFrame([(float(v),) for v in values], "x double")
     direct = ranking.quantiles(df, "x", [0.2, 0.5, 0.9])
-    ranged = ranking.quantiles(df, "x", [0.2, 0.5, 0.9], direct_rows=0, rows_per_range=3)
+    ranged = ranking.quantiles(df, "x", [0.2, 0.5, 0.9], direct_rows=0, max_groups=0, rows_per_range=3)
+    assert ranking.quantiles(df, "x", [0.2, 0.5, 0.9], direct_rows=0) == pytest.approx(direct)
     assert direct == pytest.approx(list(np.quantile(values, [0.2, 0.5, 0.9])))
     assert ranged == pytest.approx(direct)
+
+
+def test_brackets_on_many_values(spark):
+    """More rows than the sketch keeps: brackets hold a few values each and the result is still exact."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=60_000), np.full(30_000, 0.25)])
+    df = spark.createDataFrame(__import__("pandas").DataFrame({"x": x, "g": np.arange(len(x)) % 3})).repartition(8)
+    qs = [0.0, 0.001, 0.3, 0.31, 0.5, 0.9999, 1.0]
+    assert ranking.quantiles(df, "x", qs, direct_rows=0) == pytest.approx(list(np.quantile(x, qs)), abs=1e-12)
+    for row in ranking.quantile_table(df, "x", qs, ["g"], direct_rows=0).collect():
+        assert row["value"] == pytest.approx(np.quantile(x[np.arange(len(x)) % 3 == row["g"]], row["q"]), abs=1e-12)
