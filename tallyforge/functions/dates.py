@@ -83,6 +83,13 @@ def weekday_label(ts: Column | str) -> Column:
     return F.get(names, F.dayofweek(_col(ts)) - 1)
 
 
+def time_text(ts: Column | str) -> Column:
+    """``HH:mm:ss`` of a timestamp."""
+    ts = _col(ts)
+    two = [F.lpad(part.cast("int").cast("string"), 2, "0") for part in (F.hour(ts), F.minute(ts), F.second(ts))]
+    return F.concat_ws(":", *two)
+
+
 def elapsed_seconds(start: Column | str, end: Column | str) -> Column:
     return F.timestamp_diff("SECOND", _col(start), _col(end))
 

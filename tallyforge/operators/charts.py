@@ -43,3 +43,9 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 def facets(df: DataFrame, columns: Sequence[str]) -> dict[str, DataFrame]:
     """One bar table per column."""
     return {c: bar_counts(df, c) for c in columns}
+
+
+def bars_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Counts of every level of several columns as rows ``(column_name, level, n_rows)``, all from one pass."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("level")) for c in columns])
+    return df.select(F.inline(cells)).groupBy("column_name", "level").agg(F.count(F.lit(1)).alias("n_rows"))

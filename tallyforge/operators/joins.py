@@ -29,6 +29,14 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(F.broadcast(right) if few else right, condition, how).drop(*names.values())
 
 
+def small_table(df: DataFrame, limit: int) -> DataFrame | None:
+    """A table of at most ``limit`` rows, read once and put into the plan; None if it is larger."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return None
+    return df.sparkSession.createDataFrame([tuple(r) for r in rows], df.schema)
+
+
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, min_rows: int = PROBE_ROWS) -> list:
     """Keys holding at least ``share`` of all rows: one pass with a fixed-size sketch, at most ``1 / share`` keys."""
     rows = df.count()

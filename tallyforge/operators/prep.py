@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tallyforge.functions.bands import clamp as clamp_value
 from tallyforge.functions.bands import cut, cut_labels
 from tallyforge.operators.aggregates import mode_of
-from tallyforge.operators.joins import null_safe_join
-from tallyforge.operators.ranking import quantile_table, quantiles
+from tallyforge.operators.joins import lookup_join, null_safe_join, small_table
+from tallyforge.operators.ranking import MAX_GROUPS, quantile_table, quantiles
 
 MAX_LEVELS = 10_000
 
@@ -31,9 +31,10 @@ def clamp_at_percentiles(df: DataFrame, column: str, low: float = 0.02, high: fl
 
 
 def boxplot_stats(df: DataFrame, column: str, by: Sequence[str], digits: int = 4) -> DataFrame:
-    """Quartiles, fences at 1.5 times the quartile distance, and rows outside them, per group.
+    """Quartiles, fences at 1.5 times the quartile distance, and number of rows outside them, per group.
 
-    Outliers are counted on value counts, so the second pass over a group is as small as its distinct values.
+    The fences of few groups travel to the rows, which are counted where they are. With very many groups values are counted
+    first and hot groups are kept out of the shuffle of the join.
     """
     by = list(by)
     wide = quantile_table(df, column, [0.25, 0.5, 0.75], by).groupBy(*by).agg(
@@ -41,13 +42,18 @@ def boxplot_stats(df: DataFrame, column: str, by: Sequence[str], digits: int = 4
           for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
     spread = F.col("q3") - F.col("q1")
     fences = wide.withColumns({"low_fence": F.col("q1") - 1.5 * spread, "high_fence": F.col("q3") + 1.5 * spread})
-    values = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
-    outside = (F.col(column) < F.col("low_fence")) | (F.col(column) > F.col("high_fence"))
     stats = ["q1", "median", "q3", "low_fence", "high_fence"]
-    joined = null_safe_join(values, fences, by)
+    rows = df.where(F.col(column).isNotNull()).select(*by, column)
+    few = small_table(fences, MAX_GROUPS)
+    if few is not None:
+        joined = null_safe_join(rows.withColumn("_n", F.lit(1)), few, by, few=True)
+    else:
+        counted = rows.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
+        joined = lookup_join(counted, fences, by[0]) if len(by) == 1 else null_safe_join(counted, fences, by)
+    outside = (F.col(column) < F.col("low_fence")) | (F.col(column) > F.col("high_fence"))
     return joined.groupBy(*by).agg(
-        *[F.round(F.first(s), digits).alias(s) for s in stats],
-        F.sum(F.when(outside, F.col("_n")).otherwise(0)).alias("n_outlier"))
+        *[F.round(F.max(s), digits).alias(s) for s in stats],
+        F.sum(F.when(outside, F.col("_n")).otherwise(0)).cast("bigint").alias("n_outlier"))
 
 
 def impute(df: DataFrame, how: Mapping[str, object]) -> DataFrame:

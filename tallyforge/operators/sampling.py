@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyforge.operators.joins import null_safe_join
+from tallyforge.operators.joins import null_safe_join, small_table
 
 HASH_SPACE = 1 << 32
 ROWS_PER_SLICE = 500_000
@@ -33,11 +33,10 @@ def split(df: DataFrame, key: str, ratio: float = 0.7, seed: int = 0, out: str =
 
 
 def _few_rows(df: DataFrame, limit: int, what: str) -> DataFrame:
-    """A checked-small table, read once and put into the plan; safe to broadcast."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
+    found = small_table(df, limit)
+    if found is None:
         raise ValueError(f"more than {limit} {what}")
-    return df.sparkSession.createDataFrame([tuple(r) for r in rows], df.schema)
+    return found
 
 
 def _cutoffs(df: DataFrame, key: str, by: Sequence[str], quota: Column, seed: int,

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators.ranking import into_ranges, row_positions
 from tallyforge.operators.sampling import sample_n
+from tallyforge.session import materialise
 
 BLOCK_ROWS = 2048
 CHUNK = 10_000
@@ -77,8 +78,14 @@ def nearest_rows(points: DataFrame, n_num: int, n_cat: int, k: int, block_rows:
     points those of the own block come first.
     """
     axis = F.get(F.col("num"), F.lit(spread_feature)) if n_num else F.lit(0.0)
-    placed = row_positions(points.withColumn("axis", axis), "axis", "vid", False, "_position", **ranking)
-    blocks = placed.withColumn("block", F.floor((F.col("_position") - 1) / block_rows).cast("int")).drop("_position")
+    points = points.withColumn("axis", axis)
+    single = points.count() <= block_rows
+    if single:
+        blocks = points.withColumn("block", F.lit(0))
+    else:
+        placed = row_positions(points, "axis", "vid", False, "_position", **ranking)
+        blocks = materialise(placed.withColumn("block", F.floor((F.col("_position") - 1) / block_rows).cast("int"))
+                             .drop("_position"), "blocks")
 
     def own(rows: pd.DataFrame) -> pd.DataFrame:
         return _nearest(rows, rows, k, n_num, n_cat)
@@ -87,9 +94,11 @@ def nearest_rows(points: DataFrame, n_num: int, n_cat: int, k: int, block_rows:
         return _nearest(both[both["asking"]], both[~both["asking"]], k, n_num, n_cat)
 
     first = blocks.groupBy("block").applyInPandas(own, NEAR)
-    # one row per block: its interval on the axis
-    spans = blocks.groupBy("block").agg(F.min("axis").alias("low"), F.max("axis").alias("high")).orderBy("block").collect()
-    if len(spans) > 1:
+    if not single:
+        first = materialise(first, "near")
+        # one row per block: its interval on the axis
+        spans = blocks.groupBy("block").agg(F.min("axis").alias("low"), F.max("axis").alias("high")).orderBy(
+            "block").collect()
         reach = first.groupBy("vid").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("d2"))).otherwise(
             F.lit(float("inf"))).alias("reach"))
         wide = blocks.join(reach, "vid", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))

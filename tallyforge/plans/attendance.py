@@ -8,7 +8,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.operators import aggregates, prep, ranking, reshape
+from tallyforge.operators import aggregates, charts, prep, ranking, reshape
 from tallyforge.plans.registry import Tables, query
 
 SQL_DAYS = """days AS (SELECT strftime(d, '%Y-%m-%d') AS day FROM (SELECT unnest(generate_series(
@@ -101,3 +101,11 @@ SELECT (l_linestatus = (SELECT max(l_linestatus) FROM lineitem))::INT AS l_lines
 FROM lineitem GROUP BY 1""")
 def binary_encode_counts(t: Tables) -> DataFrame:
     return aggregates.count_by(prep.binary_encode(t.lineitem.select("l_linestatus"), "l_linestatus"), ["l_linestatus"])
+
+
+@query("leavers_by_category", """
+WITH l AS (SELECT c_mktsegment, c_nationkey::VARCHAR AS c_nationkey FROM customer WHERE c_acctbal < 0)
+SELECT 'c_mktsegment' AS column_name, c_mktsegment AS level, count(*)::BIGINT AS n_rows FROM l GROUP BY ALL
+UNION ALL SELECT 'c_nationkey', c_nationkey, count(*)::BIGINT FROM l GROUP BY ALL""")
+def leavers_by_category(t: Tables) -> DataFrame:
+    return charts.bars_long(t.customer.where("c_acctbal < 0"), ["c_mktsegment", "c_nationkey"])

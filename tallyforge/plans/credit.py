@@ -10,6 +10,7 @@ from tallyforge.functions import bands
 from tallyforge.operators import aggregates, charts, evaluate, models, prep, quality, ranking, sampling, windows, woe
 from tallyforge.operators.smote import smote
 from tallyforge.plans.registry import Tables, query
+from tallyforge.session import materialise
 
 SQL_BASE = """base AS (SELECT c_custkey, c_nationkey, c_mktsegment, c_acctbal, (c_acctbal < 0)::INT AS bad,
 coalesce(n_orders, 0) AS n_orders, avg_total, max_total,
@@ -150,7 +151,7 @@ woe AS (SELECT variable, bin, n_rows, n_events, round(pe, 6) AS pct_events, roun
 
 
 def woe_parts(t: Tables) -> tuple[DataFrame, dict[str, Column], DataFrame]:
-    base = applicants(t)
+    base = materialise(applicants(t), "applicants")
     bins = woe.bin_columns(base, ["n_orders", "avg_total"], ["c_mktsegment", "c_nationkey"], BINS, numbered=True)
     return base, bins, woe.woe_table(base, bins, F.col("bad"))
 
@@ -213,7 +214,7 @@ WITH n AS (SELECT count(*) FILTER (WHERE c_acctbal < 0) AS bad FROM customer)
 SELECT 1 AS bad, (11 * bad)::BIGINT AS n_rows FROM n UNION ALL SELECT 0, (20 * bad)::BIGINT FROM n""")
 def smote_class_counts(t: Tables) -> DataFrame:
     # customers without orders have no average, so they take part with zeros
-    features = applicants(t).fillna(0.0, ["avg_total", "max_total"])
+    features = materialise(applicants(t).fillna(0.0, ["avg_total", "max_total"]), "applicants")
     balanced = smote(features, "bad", "c_custkey", ["n_orders", "avg_total", "max_total"], ["c_mktsegment"],
                      over=1000, under=200, k=5, seed=1, minority=1)
     return aggregates.count_by(balanced, ["bad"])
@@ -363,13 +364,15 @@ PREDICTORS = ["n_orders", "avg_total", "max_total", "c_nationkey"]
 def train_test(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Stratified halves with the rare class of the training half oversampled."""
     rows = applicants(t).fillna(0.0, ["avg_total", "max_total"]).select("c_custkey", "bad", *PREDICTORS)
-    parts = sampling.stratified_split(rows, "c_custkey", "bad", 0.7, 3)
+    rows = materialise(rows, "applicants")
+    parts = materialise(sampling.stratified_split(rows, "c_custkey", "bad", 0.7, 3), "parts")
     train = smote(parts.where("part = 'train'"), "bad", "c_custkey", PREDICTORS, over=200, under=150, seed=3, minority=1)
-    return train, parts.where("part = 'test'").drop("part")
+    return materialise(train, "train"), parts.where("part = 'test'").drop("part")
 
 
 def metrics(name: str, rows: DataFrame) -> DataFrame:
     """Class metrics with KS and AUC of the probability as one row."""
+    rows = materialise(rows.select("bad", "p"), f"scored_{name}")
     table = evaluate.confusion(rows.withColumn("said", (F.col("p") >= 0.5).cast("int")), "bad", "said", 1)
     return table.withColumns({"model": F.lit(name), "ks": evaluate.ks(rows, "bad", "p").scalar(),
                               "auc": evaluate.auc(rows, "bad", "p").scalar()})
@@ -412,6 +415,7 @@ def model_comparison(t: Tables) -> DataFrame:
 
 @query("logit_step_path")
 def logit_step_path(t: Tables) -> DataFrame:
-    path = models.step_aic(applicants(t).fillna(0.0), "bad", ["n_orders", "avg_total", "max_total"], "logit")
+    rows = materialise(applicants(t).fillna(0.0), "applicants")
+    path = models.step_aic(rows, "bad", ["n_orders", "avg_total", "max_total"], "logit")
     rows = [(p["step"], p["action"], p["term"], round(p["aic"], 4)) for p in path]
     return t.spark.createDataFrame(rows, "step int, action string, term string, aic double")

@@ -138,3 +138,11 @@ SELECT hour(ts)::BIGINT AS hr, count(*)::BIGINT AS n_rows FROM events GROUP BY 1
 def busiest_hour(t: Tables) -> DataFrame:
     hours = t.events.select(F.hour("ts").cast("bigint").alias("hr"))
     return aggregates.top_groups(hours, ["hr"], F.count(F.lit(1)), 1, "n_rows")
+
+
+@query("split_datetime", """
+SELECT event_id, strftime(ts, '%Y-%m-%d') AS request_date, strftime(ts, '%H:%M:%S') AS request_time,
+hour(ts)::BIGINT AS request_hour FROM events""")
+def split_datetime(t: Tables) -> DataFrame:
+    return t.events.select("event_id", F.to_date("ts").cast("string").alias("request_date"),
+                           dates.time_text("ts").alias("request_time"), F.hour("ts").cast("bigint").alias("request_hour"))

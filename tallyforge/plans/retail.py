@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import aggregates, columns, joins, quality, reshape, windows
 from tallyforge.plans.registry import Tables, query
+from tallyforge.session import scratch_path
+from tallyforge.sources import files
 
 SQL_PROFIT = "(l_extendedprice * (0.3::DOUBLE - l_discount) - l_quantity * 200)"
 
@@ -217,3 +219,30 @@ def onehot_to_label_join(t: Tables) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
     return joins.onehot_lookup(per_part, matrix, "p_partkey").groupBy("label").agg(
         F.sum("n").alias("n_rows"), F.round(F.sum("q"), 2).alias("quantity"))
+
+
+@query("tolerant_cast", """
+SELECT o_orderkey, TRY_CAST(substr(o_orderpriority, 1, 1) AS INTEGER)::BIGINT AS rank_no,
+TRY_CAST(o_orderpriority AS INTEGER)::BIGINT AS bad_number FROM orders""")
+def tolerant_cast(t: Tables) -> DataFrame:
+    texts = t.orders.select("o_orderkey", F.substring("o_orderpriority", 1, 1).alias("rank_no"),
+                            F.col("o_orderpriority").alias("bad_number"))
+    return columns.cast_columns(texts, {"rank_no": "bigint", "bad_number": "bigint"})
+
+
+@query("csv_roundtrip", """
+SELECT p_type, count(*)::BIGINT AS n_rows, round(sum(p_retailprice), 2) AS total FROM part GROUP BY 1""")
+def csv_roundtrip(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "part_csv")
+    files.write_csv(t.part, path)
+    stored = files.read_csv(t.spark, path, t.part.schema)
+    return stored.groupBy("p_type").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("p_retailprice"), 2).alias("total"))
+
+
+@query("view_in_sql", """
+SELECT o_orderstatus, count(*)::BIGINT AS n_rows, round(sum(o_totalprice), 2) AS total FROM orders
+WHERE o_totalprice > 100000 GROUP BY 1""")
+def view_in_sql(t: Tables) -> DataFrame:
+    files.view(t.orders, "tallyforge_orders")
+    return t.spark.sql("""SELECT o_orderstatus, count(*) AS n_rows, round(sum(o_totalprice), 2) AS total
+                          FROM tallyforge_orders WHERE o_totalprice > 100000 GROUP BY o_orderstatus""")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -35,9 +34,23 @@ def build_session(master: str | None = None, **settings: str) -> SparkSession:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent, as in local tests, a temporary folder stands in for it.
+    Only a local session without that setting falls back to a temporary folder; on a cluster, where executors would not
+    share it, its absence is an error.
     """
     root = spark.conf.get(CHECKPOINT_SETTING, None)
     if not root:
-        root = os.environ.get("TALLYFORGE_SCRATCH") or tempfile.mkdtemp(prefix="tallyforge-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
+        root = tempfile.mkdtemp(prefix="tallyforge-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the scratch folder and read it back.
+
+    For results that several jobs need: they are computed once, and losing an executor later costs a read, not
+    a recomputation.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
