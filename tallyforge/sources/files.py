@@ -65,7 +65,7 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str], fmt: str = "o
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
-    df.write.mode("overwrite").option("header", header).csv(path)
+    df.write.mode("overwrite").option("header", header).option("escape", '"').csv(path)
 
 
 def register_external(spark: SparkSession, name: str, path: str, schema: str, fmt: str = "csv",
