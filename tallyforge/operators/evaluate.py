@@ -95,12 +95,10 @@ def _score_curve(df: DataFrame, label: str, score: str, direct_rows: int, rows_p
 def ks(df: DataFrame, label: str, score: str, digits: int = 6, direct_rows: int = DIRECT_ROWS,
        rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Largest distance between the cumulative shares of events and non-events over all scores."""
+    pos, rows = df.where(F.col(score).isNotNull()).agg(F.sum(F.col(label).cast("bigint")), F.count(label)).first()
     curve = _score_curve(df, label, score, direct_rows, rows_per_range)
-    totals = df.where(F.col(score).isNotNull()).agg(
-        F.sum(F.col(label).cast("bigint")).alias("p"), F.count(label).alias("n"))
-    pos, rows = totals.select("p").scalar(), totals.select("n").scalar()
-    distance = F.try_divide(F.col("cum_pos").cast("double"), pos) - F.try_divide(
-        F.col("cum_neg").cast("double"), rows - pos)
+    distance = F.try_divide(F.col("cum_pos").cast("double"), F.lit(pos)) - F.try_divide(
+        F.col("cum_neg").cast("double"), F.lit(rows - (pos or 0)))
     return curve.select(distance.alias("_distance")).agg(F.round(F.max("_distance"), digits).alias("ks"))
 
 

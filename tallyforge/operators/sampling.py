@@ -14,21 +14,25 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators.joins import null_safe_join, small_table
 
-HASH_SPACE = 1 << 32
+DIGITS = 8
 ROWS_PER_SLICE = 500_000
-MAX_SLICE_BITS = 20
+MAX_SLICE_DIGITS = 5
 
 
 def key_hash(key: Column | str, seed: int = 0) -> Column:
-    """Whole number in ``0 .. 2**32 - 1`` from the first eight hex digits of MD5 of ``key:seed``."""
+    """First eight hex digits of MD5 of ``key:seed``; as text they sort like the numbers they stand for."""
     key = F.col(key) if isinstance(key, str) else key
-    digest = F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+    return F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{seed}"))), 1, DIGITS)
+
+
+def share_of_hashes(share: float) -> str:
+    """The text below which about ``share`` of all hashes lie."""
+    return "g" if share >= 1 else f"{int(max(share, 0) * 16 ** DIGITS):0{DIGITS}x}"
 
 
 def split(df: DataFrame, key: str, ratio: float = 0.7, seed: int = 0, out: str = "part") -> DataFrame:
     """Label each row ``train`` with probability ``ratio``, else ``test``. Maps rows, shuffles nothing."""
-    chosen = key_hash(key, seed) < int(ratio * HASH_SPACE)
+    chosen = key_hash(key, seed) < share_of_hashes(ratio)
     return df.withColumn(out, F.when(chosen, "train").otherwise("test"))
 
 
@@ -54,8 +58,8 @@ def _cutoffs(df: DataFrame, key: str, by: Sequence[str], quota: Column, seed: in
                                F.count(F.lit(1)).over(span).alias("_rows")).where(F.col("_place") == quota)
         return _few_rows(ranked.select(*by, F.col("_hash").alias("_cut_hash"), F.col("_key").alias("_cut_key")),
                          max_strata, "strata")
-    bits = min(MAX_SLICE_BITS, (rows // rows_per_slice).bit_length())
-    hashed = hashed.withColumn("_slice", F.shiftright("_hash", 32 - bits))
+    digits = min(MAX_SLICE_DIGITS, -(-(rows // rows_per_slice).bit_length() // 4))
+    hashed = hashed.withColumn("_slice", F.substring("_hash", 1, digits))
     sizes = hashed.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     group = W.partitionBy(*by)
     upto = group.orderBy("_slice").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -100,4 +104,4 @@ def sample_n(df: DataFrame, key: str, n: int, seed: int = 0, rows_per_slice: int
 
 
 def sample_fraction(df: DataFrame, key: str, fraction: float, seed: int = 0) -> DataFrame:
-    return df.where(key_hash(key, seed) < int(fraction * HASH_SPACE))
+    return df.where(key_hash(key, seed) < share_of_hashes(fraction))

@@ -112,7 +112,7 @@ def residual_summary(t: Tables) -> DataFrame:
 
 @query("r2_gap", f"""
 WITH p AS (SELECT o_totalprice AS y, 100000 + 3 * o_custkey + 5000 * month(o_orderdate) AS yhat,
-('0x' || left(md5(o_orderkey::VARCHAR || ':5'), 8))::BIGINT < {int(0.7 * (1 << 32))} AS train FROM orders),
+left(md5(o_orderkey::VARCHAR || ':5'), 8) < '{sampling.share_of_hashes(0.7)}' AS train FROM orders),
 r AS (SELECT corr(y, yhat) FILTER (WHERE train) ** 2 AS a, corr(y, yhat) FILTER (WHERE NOT train) ** 2 AS b FROM p)
 SELECT round(a, 6) AS r2_train, round(b, 6) AS r2_test, round(a - b, 6) AS gap, abs(a - b) <= 0.05 AS within_limit FROM r""")
 def r2_gap(t: Tables) -> DataFrame:

@@ -96,6 +96,12 @@ def test_woe_of_interval_bins(spark):
     assert [r["b"] for r in later.select(bins["x"].alias("b")).collect()] == ["[0,24.75]", "(74.25,99]"]
 
 
+def test_shares_of_hashes(spark):
+    df = spark.range(100)
+    assert sampling.share_of_hashes(0.5) == "80000000"
+    assert [sampling.sample_fraction(df, "id", f).count() for f in (0.0, 1.0)] == [0, 100]
+
+
 def test_split_is_stable(spark):
     df = spark.range(2000)
     one = {r["id"]: r["part"] for r in sampling.split(df, "id", 0.7, 1).collect()}
