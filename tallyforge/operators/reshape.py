@@ -53,13 +53,13 @@ def interval_hours(starts: DataFrame, ends: DataFrame, key: str, days: Sequence[
     The wide rows are joined on the key before they are spelled out, so each table
     is shuffled once by key and later aggregates by key need no shuffle.
     """
-    left = starts.select(key, *[F.col(f"`{d}`").alias(f"s_{i}") for i, d in enumerate(days)])
-    right = ends.select(key, *[F.col(f"`{d}`").alias(f"e_{i}") for i, d in enumerate(days)])
-    cells = F.array(*[
-        F.struct(F.lit(d).alias("day"),
-                 (F.timestamp_diff("SECOND", F.col(f"s_{i}"), F.col(f"e_{i}")) / 3600.0).alias("hours"))
-        for i, d in enumerate(days)])
-    return left.join(right, key).select(key, F.inline(cells))
+    cells = [F.col(f"`{d}`") for d in days]
+    left = starts.select(key, F.array(*cells).alias("start_at"))
+    right = ends.select(key, F.array(*cells).alias("end_at"))
+    names = F.array(*[F.lit(d) for d in days]).alias("day")
+    long = left.join(right, key).select(key, F.inline(F.arrays_zip(names, "start_at", "end_at")))
+    hours = F.timestamp_diff("SECOND", F.col("start_at"), F.col("end_at")) / 3600.0
+    return long.select(key, "day", hours.alias("hours"))
 
 
 def row_mean_and_gaps(long: DataFrame, key: str, value: str, digits: int = 4) -> DataFrame:

@@ -22,6 +22,8 @@ from tallyforge.operators.sampling import sample_n
 from tallyforge.session import materialise
 
 BLOCK_ROWS = 2048
+MAX_BLOCKS = 10_000
+CELLS = 4_000_000
 CHUNK = 10_000
 NEAR = "vid long, d2 double, n_mult long, n_num array<double>, n_cat array<string>"
 
@@ -31,23 +33,33 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
 
 
 def _nearest(rows: pd.DataFrame, others: pd.DataFrame, k: int, n_num: int, n_cat: int) -> pd.DataFrame:
-    """The ``k`` rows of ``others`` nearest to each of ``rows``, a row never being its own neighbour."""
-    a, b = _matrix(rows["num"], n_num), _matrix(others["num"], n_num)
-    d2 = np.zeros((len(rows), len(others)))
-    for j in range(n_num):
-        d2 += np.subtract.outer(a[:, j], b[:, j]) ** 2
-    for j in range(n_cat):
-        left = rows["cat"].map(lambda c, j=j: c[j]).to_numpy()
-        right = others["cat"].map(lambda c, j=j: c[j]).to_numpy()
-        d2 += left[:, None] != right[None, :]
-    d2[rows["vid"].to_numpy()[:, None] == others["vid"].to_numpy()[None, :]] = np.inf
-    take = min(k, len(others))
-    best = np.argsort(d2, axis=1, kind="stable")[:, :take]
-    at = np.repeat(np.arange(len(rows)), take)
-    chosen = others.iloc[best.ravel()]
-    result = pd.DataFrame({
-        "vid": rows["vid"].to_numpy()[at], "d2": d2[at, best.ravel()], "n_mult": chosen["mult"].to_numpy(),
-        "n_num": chosen["num"].to_numpy(), "n_cat": chosen["cat"].to_numpy()})
+    """The ``k`` rows of ``others`` nearest to each of ``rows``, a row never being its own neighbour.
+
+    Distances are worked out for a slice of ``rows`` at a time, so memory does not grow with the square of a block. Ties
+    go to the smaller ``vid``, whatever order the rows arrive in.
+    """
+    others = others.sort_values("vid", ignore_index=True)
+    b, b_cat, b_vid = _matrix(others["num"], n_num), list(others["cat"]), others["vid"].to_numpy()
+    found = []
+    for start in range(0, len(rows), max(1, CELLS // max(1, len(others)))):
+        part = rows.iloc[start:start + max(1, CELLS // max(1, len(others)))]
+        a = _matrix(part["num"], n_num)
+        d2 = np.zeros((len(part), len(others)))
+        for j in range(n_num):
+            d2 += np.subtract.outer(a[:, j], b[:, j]) ** 2
+        for j in range(n_cat):
+            left = np.array([c[j] for c in part["cat"]], dtype=object)
+            d2 += left[:, None] != np.array([c[j] for c in b_cat], dtype=object)[None, :]
+        vid = part["vid"].to_numpy()
+        d2[vid[:, None] == b_vid[None, :]] = np.inf
+        take = min(k, len(others))
+        best = np.argsort(d2, axis=1, kind="stable")[:, :take]
+        at = np.repeat(np.arange(len(part)), take)
+        chosen = others.iloc[best.ravel()]
+        found.append(pd.DataFrame({
+            "vid": vid[at], "d2": d2[at, best.ravel()], "n_mult": chosen["mult"].to_numpy(),
+            "n_num": chosen["num"].to_numpy(), "n_cat": chosen["cat"].to_numpy()}))
+    result = pd.concat(found)
     return result[np.isfinite(result["d2"])]
 
 
@@ -79,7 +91,10 @@ def nearest_rows(points: DataFrame, n_num: int, n_cat: int, k: int, block_rows:
     """
     axis = F.get(F.col("num"), F.lit(spread_feature)) if n_num else F.lit(0.0)
     points = points.withColumn("axis", axis)
-    single = points.count() <= block_rows
+    size = points.count()
+    # the number of blocks, and with it the table of their intervals, stays bounded
+    block_rows = max(block_rows, -(-size // MAX_BLOCKS))
+    single = size <= block_rows
     if single:
         blocks = points.withColumn("block", F.lit(0))
     else:

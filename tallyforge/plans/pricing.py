@@ -129,3 +129,21 @@ def category_price_fit(t: Tables) -> DataFrame:
     coded = prep.dummies(t.part.select("p_retailprice", "p_type"), ["p_type"])
     fit = models.fit_ols(coded, "p_retailprice", [c for c in coded.columns if c != "p_retailprice"])
     return fit.table(coded, 4).select("term", "estimate")
+
+
+SQL_AIC = """m AS (SELECT count(*)::DOUBLE AS n, covar_pop(l_extendedprice, l_extendedprice) AS syy, covar_pop(l_quantity, l_quantity) AS s11,
+covar_pop(l_tax, l_tax) AS s22, covar_pop(l_quantity, l_tax) AS s12, covar_pop(l_quantity, l_extendedprice) AS s1y,
+covar_pop(l_tax, l_extendedprice) AS s2y FROM lineitem),
+a AS (SELECT n * ln(syy) + 2 AS a0, n * ln(syy - s1y * s1y / s11) + 4 AS a1, n * ln(syy - s2y * s2y / s22) + 4 AS a2,
+n * ln(syy - (s22 * s1y * s1y - 2 * s12 * s1y * s2y + s11 * s2y * s2y) / (s11 * s22 - s12 * s12)) + 6 AS a12 FROM m)"""
+
+
+@query("step_aic_two_terms", f"""
+WITH {SQL_AIC} SELECT 0 AS step, 'start' AS action, '' AS term, round(a12, 3) AS aic FROM a
+UNION ALL SELECT 1, 'drop', CASE WHEN a1 < a2 THEN 'l_tax' ELSE 'l_quantity' END, round(least(a1, a2), 3) FROM a WHERE least(a1, a2) < a12
+UNION ALL SELECT 2, 'drop', CASE WHEN a1 < a2 THEN 'l_quantity' ELSE 'l_tax' END, round(a0, 3) FROM a
+WHERE least(a1, a2) < a12 AND a0 < least(a1, a2)""")
+def step_aic_two_terms(t: Tables) -> DataFrame:
+    path = models.step_aic(t.lineitem, "l_extendedprice", ["l_quantity", "l_tax"])
+    rows = [(p["step"], p["action"], p["term"], round(p["aic"], 3)) for p in path]
+    return t.spark.createDataFrame(rows, "step int, action string, term string, aic double")
