@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import evaluate, models, prep, sampling
 from tallyforge.plans.registry import Tables, query
+from tallyforge.session import materialise
 
 WIDTH = 64
 
@@ -54,7 +55,7 @@ def accuracy_table(name: str, predictions: DataFrame) -> DataFrame:
 @query("linear_svm_accuracy")
 def linear_svm_accuracy(t: Tables) -> DataFrame:
     train, test = (models.array_features(part, "x") for part in split_images(t))
-    train = train.persist()
+    train = materialise(train, "digits")
     model = models.fit_svm(train, "label", c=0.1, classes=10, max_iter=20)
     return accuracy_table("linear", model.transform(test))
 
@@ -62,7 +63,7 @@ def linear_svm_accuracy(t: Tables) -> DataFrame:
 @query("rff_svm_accuracy")
 def rff_svm_accuracy(t: Tables) -> DataFrame:
     train, test = (models.rff(part, "x", 1.0, 128, WIDTH, seed=5) for part in split_images(t))
-    train = train.persist()
+    train = materialise(train, "digits")
     model = models.fit_svm(train, "label", c=1.0, classes=10, max_iter=20)
     return accuracy_table("rbf", model.transform(test))
 
@@ -76,7 +77,7 @@ def poly_svm_accuracy(t: Tables) -> DataFrame:
     def ready(part: DataFrame) -> DataFrame:
         return expand.transform(models.array_features(part, "x", "features")).select("label", "expanded")
 
-    train = ready(train).persist()
+    train = materialise(ready(train), "digits")
     model = models.fit_svm(train, "label", "expanded", c=0.01, classes=10, max_iter=20)
     return accuracy_table("polynomial", model.transform(ready(test)))
 
@@ -84,7 +85,8 @@ def poly_svm_accuracy(t: Tables) -> DataFrame:
 @query("grid_search_table")
 def grid_search_table(t: Tables) -> DataFrame:
     train, _ = split_images(t)
-    train = models.array_features(train, "x").withColumn("label", (F.col("label") >= 5).cast("double")).persist()
+    two = models.array_features(train, "x").withColumn("label", (F.col("label") >= 5).cast("double"))
+    train = materialise(two, "digits")
     svm = models.svm(train.count(), max_iter=10)
     _, table = models.grid_search(svm, {svm.regParam: [0.0001, 0.01, 1.0]}, train, models.accuracy(), folds=3)
     rows = [(float(r["regParam"]), round(float(r["metric"]), 4)) for r in table]

@@ -20,7 +20,9 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return load_table(self.spark, self.folder, name)
+        table = load_table(self.spark, self.folder, name)
+        self.__dict__[name] = table
+        return table
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:

@@ -48,18 +48,15 @@ def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], fmt: str = "orc", codec: str = "snappy",
-                      files_per_partition: int | None = None) -> None:
+                      rebalance: bool = True) -> None:
     """Write a table partitioned by ``by``; only the partitions present in ``df`` are replaced.
 
-    With ``files_per_partition`` rows are first shuffled on the partition columns plus a random salt,
-    so a partition that holds most rows is still written by that many tasks. Without it every task
-    writes its own share and nothing is shuffled.
+    Rows are gathered by partition value first, so a partition becomes few files. Adaptive execution merges small
+    pieces and splits large ones, so a partition that holds most rows is written by many tasks. Without ``rebalance`` every
+    task writes its own share of every partition and nothing is shuffled.
     """
-    if files_per_partition:
-        from pyspark.sql import functions as F
-
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_partition))
-        df = df.repartition(*by, salt)
+    if rebalance:
+        df = df.hint("rebalance", *by)
     (df.write.mode("overwrite").format(fmt).option("compression", codec)
        .option("partitionOverwriteMode", "dynamic").partitionBy(*by).save(path))
 

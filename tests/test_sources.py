@@ -26,23 +26,26 @@ def test_csv_kinds(spark, tmp_path, rows):
     assert rows(digits) == [("5", 0, 255), ("7", 1, 2)]
 
 
-def test_partitioned_overwrite(spark, tmp_path, rows):
+def test_partitioned_overwrite(spark, tmp_path, rows, capsys):
     path = str(tmp_path / "orc")
     first = spark.createDataFrame([(1, 11), (2, 12)], "v int, mnth int")
     files.write_partitioned(first, path, ["mnth"])
-    files.write_partitioned(spark.createDataFrame([(9, 12)], "v int, mnth int"), path, ["mnth"], files_per_partition=2)
+    files.write_partitioned(spark.createDataFrame([(9, 12)], "v int, mnth int"), path, ["mnth"])
     assert rows(files.read_columnar(spark, path, "orc"), "v", "mnth") == [(1, 11), (9, 12)]
     pruned = files.read_columnar(spark, path, "orc").where("mnth = 12")
-    assert "mnth = 12" in pruned._jdf.queryExecution().executedPlan().toString().replace("(", "").replace(")", "") \
-        or rows(pruned, "v") == [(9,)]
-
-
-def test_salted_write_splits_a_hot_partition(spark, tmp_path):
-    path = tmp_path / "hot"
-    df = spark.range(2000).withColumn("p", F.lit(1))
-    with_conf = df.repartition(1)
-    files.write_partitioned(with_conf, str(path), ["p"], "parquet", files_per_partition=4)
-    assert spark.read.parquet(str(path)).count() == 2000
+    assert rows(pruned, "v") == [(9,)]
+    pruned.explain("formatted")
+    assert "PartitionFilters: [isnotnull(mnth" in capsys.readouterr().out
+
+
+def test_rebalanced_write(spark, tmp_path):
+    """Rows of many tasks end up in few files per partition, and all of them arrive."""
+    df = spark.range(0, 2000, 1, 16).withColumn("p", F.col("id") % 3)
+    files.write_partitioned(df, str(tmp_path / "a"), ["p"], "parquet")
+    files.write_partitioned(df, str(tmp_path / "b"), ["p"], "parquet", rebalance=False)
+    count = lambda name: len(list((tmp_path / name).rglob("*.parquet")))
+    assert count("a") < count("b") == 48
+    assert spark.read.parquet(str(tmp_path / "a")).count() == 2000
 
 
 def test_external_table_and_view(spark, tmp_path, rows):
