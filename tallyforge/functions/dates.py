@@ -41,7 +41,7 @@ def time_bin(hour: Column | str, nulls_to_last: bool = False) -> Column:
 
 
 def day_slot(hour: Column | str) -> Column:
-    """Named part of the day; each slot excludes its first hour and includes its last."""
+    """Named part of the day; each slot excludes its first hour and includes its last. The names are fixed values."""
     hour = _col(hour)
     return (F.when(hour <= 4, "Mid Night").when(hour <= 8, "Early Morning").when(hour <= 12, "Late Morning")
              .when(hour <= 16, "Afternoon").when(hour <= 20, "Evening").when(hour <= 24, "Late Evening"))

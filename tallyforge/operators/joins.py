@@ -54,6 +54,8 @@ def lookup_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner", s
     Rows of hot keys would all meet in one task. They are joined where they are against the few
     matching ``dim`` rows (at most ``1 / share``, so safe to broadcast); all other rows take the ordinary shuffle.
     """
+    if how not in ("inner", "left"):
+        raise ValueError("a lookup is an inner or left join")
     hot = hot_keys(fact, key, share, min_rows)
     if not hot:
         return fact.join(dim, key, how)

@@ -44,16 +44,14 @@ def woe_table(df: DataFrame, bins: dict[str, Column], target: Column, adjust: fl
     long = df.select(event.alias("_event"), F.inline(pairs))
     counts = long.groupBy("variable", "bin").agg(
         F.count("_event").alias("n_rows"), F.sum("_event").cast("bigint").alias("n_events"))
-    # every row is in exactly one bin of a variable, so any variable gives the class totals
-    one = F.col("variable") == next(iter(bins))
-    totals = counts.where(one).agg(F.sum("n_events").alias("e"), F.sum("n_rows").alias("n"))
-    events, rows = totals.select("e").scalar(), totals.select("n").scalar()
+    # the class totals are two numbers from a pass over the target alone
+    events, rows = df.agg(F.coalesce(F.sum(event), F.lit(0)), F.count(event)).first()
     good = F.col("n_rows") - F.col("n_events")
     lacking = (good == 0) | (F.col("n_events") == 0)
     bump = F.when(lacking, F.lit(adjust)).otherwise(F.lit(0.0))
     shares = counts.withColumns({
-        "pct_events": (F.col("n_events") + bump) / events,
-        "pct_others": (good + bump) / (rows - events),
+        "pct_events": F.try_divide(F.col("n_events") + bump, F.lit(float(events))),
+        "pct_others": F.try_divide(good + bump, F.lit(float(rows - events))),
     })
     woe = F.ln(F.col("pct_events") / F.col("pct_others"))
     return shares.select(
