@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 # The six four-hour bins and their order.
 TIME_BINS = ["0to3", "4to7", "8to11", "12to15", "16to19", "20to23"]
+# The parts of the day and the seasons in order.
+DAY_SLOTS = ["Mid Night", "Early Morning", "Late Morning", "Afternoon", "Evening", "Late Evening"]
+SEASONS = ["winter", "spring", "summer", "fall"]
 
 
 def _col(c: Column | str) -> Column:
@@ -29,28 +32,25 @@ def in_fiscal_year(date: Column | str, year: int, first_month: int = 10) -> Colu
     return (date >= start) & (date < end)
 
 
+def _pick(names: Sequence[str], index: Column) -> Column:
+    """Name at an index, null outside; the index is worked out once, unlike in a chain of conditions."""
+    return F.get(F.array(*[F.lit(n) for n in names]), index)
+
+
 def time_bin(hour: Column | str, nulls_to_last: bool = False) -> Column:
     """Four-hour bin of an hour 0-23. Unknown hours stay null unless they should fall in the last bin."""
-    hour = _col(hour)
-    label = F.when(hour.between(0, 3), TIME_BINS[0])
-    for i, name in enumerate(TIME_BINS[1:-1], start=1):
-        label = label.when(hour.between(4 * i, 4 * i + 3), name)
-    if nulls_to_last:
-        return label.otherwise(TIME_BINS[-1])
-    return label.when(hour.between(20, 23), TIME_BINS[-1])
+    label = _pick(TIME_BINS, F.floor(_col(hour) / 4).cast("int"))
+    return F.coalesce(label, F.lit(TIME_BINS[-1])) if nulls_to_last else label
 
 
 def day_slot(hour: Column | str) -> Column:
-    """Named part of the day; each slot excludes its first hour and includes its last. The names are fixed values."""
-    hour = _col(hour)
-    return (F.when(hour <= 4, "Mid Night").when(hour <= 8, "Early Morning").when(hour <= 12, "Late Morning")
-             .when(hour <= 16, "Afternoon").when(hour <= 20, "Evening").when(hour <= 24, "Late Evening"))
+    """Named part of the day; each slot excludes its first hour and includes its last."""
+    return _pick([DAY_SLOTS[0], *DAY_SLOTS], F.ceil(_col(hour) / 4).cast("int"))
 
 
 def season(month: Column | str) -> Column:
-    month = _col(month)
-    return (F.when(month.isin(12, 1, 2), "winter").when(month.between(3, 5), "spring")
-             .when(month.between(6, 8), "summer").when(month.between(9, 11), "fall"))
+    """Season of a month; December belongs to winter."""
+    return _pick(SEASONS, F.floor(_col(month) % 12 / 3).cast("int"))
 
 
 def hour_from_12h_text(text: Column | str) -> Column:
@@ -79,8 +79,7 @@ def parse_date(text: Column | str, pattern: str = "MM/dd/yyyy") -> Column:
 
 def weekday_label(ts: Column | str) -> Column:
     """Sun, Mon, ... - built from the day number, so it does not depend on a locale."""
-    names = F.array(*[F.lit(n) for n in ("Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat")])
-    return F.get(names, F.dayofweek(_col(ts)) - 1)
+    return _pick(["Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat"], F.dayofweek(_col(ts)) - 1)
 
 
 def time_text(ts: Column | str) -> Column:
