@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+_WRITTEN: list[str] = []
 
 
 def build_session(master: str | None = None, **settings: str) -> SparkSession:
@@ -31,18 +31,27 @@ def build_session(master: str | None = None, **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the folder the cluster names in ``spark.checkpoint.dir``.
+def scratch_root(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; where that is unset, a folder of the warehouse.
 
-    Only a local session without that setting falls back to a temporary folder; on a cluster, where executors would not
-    share it, its absence is an error.
+    Both are shared by the driver and all executors.
     """
     root = spark.conf.get(CHECKPOINT_SETTING, None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="tallyforge-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return (root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch").rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the scratch folder; ``release`` deletes what this process has written there."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the scratch tables of this process. Frames that still read them can no longer be run."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
