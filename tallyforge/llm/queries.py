@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm import secrets, sharding
+from tallyforge.llm import decontaminate, neardup, secrets, sharding
 from tallyforge.llm.registry import ORACLES, QUERIES, query
+from tallyforge.sources.files import load_table
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -82,3 +83,44 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     return found.select("row.doc_id", *[count(r.kind) for r in secrets.BASE],
                         F.sha2(F.encode(secrets.listed(base), "UTF-8"), 256).alias("base_sha256"),
                         secrets.listed(F.col("spans")).alias("spans"))
+
+
+def _shingles_sql(table: str, key: str) -> str:
+    """Distinct five-word shingles per row of a table."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""(SELECT DISTINCT {key}, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(len(w) - 4),
+    lambda i: array_to_string(w[i + 1:i + 5], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle
+  FROM (SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'),
+        '[^\x20\x09-\x0D]+') AS w FROM {table}))"""
+
+
+SQL_NEAR = f"""
+WITH RECURSIVE shingles AS MATERIALIZED {_shingles_sql("documents", "doc_id")},
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b USING (shingle)
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id WHERE a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT a AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(b) AS component_id, a = min(b) AS kept
+FROM reach LEFT JOIN sizes ON sizes.doc_id = a GROUP BY a"""
+
+
+@query("op7_near_duplicates", "documents", SQL_NEAR)
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    return neardup.near_duplicates(docs.select("doc_id", "text"))
+
+
+SQL_CONTAINED = f"""
+WITH held AS {_shingles_sql("documents", "doc_id")}, items AS {_shingles_sql("benchmark", "item_id")},
+sizes AS (SELECT item_id, count(*)::BIGINT AS n_item FROM items GROUP BY item_id)
+SELECT doc_id, item_id, n_item, count(*)::BIGINT AS n_shared, count(*)::DOUBLE / n_item AS containment
+FROM held JOIN items USING (shingle) JOIN sizes USING (item_id) GROUP BY doc_id, item_id, n_item
+HAVING 100 * count(*) >= 75 * n_item"""
+
+
+def contained_items(spark, folder: str) -> DataFrame:
+    return decontaminate.contained(load_table(spark, folder, "documents"), load_table(spark, folder, "benchmark"))
+
+
+QUERIES["op10_contained_items"], ORACLES["op10_contained_items"] = contained_items, SQL_CONTAINED
