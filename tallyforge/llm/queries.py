@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontaminate, neardup, secrets, sharding
+from tallyforge.llm import decontaminate, neardup, packing, secrets, sharding
 from tallyforge.llm.registry import ORACLES, QUERIES, query
 from tallyforge.sources.files import load_table
 
@@ -124,3 +124,11 @@ def contained_items(spark, folder: str) -> DataFrame:
 
 
 QUERIES["op10_contained_items"], ORACLES["op10_contained_items"] = contained_items, SQL_CONTAINED
+
+
+@query("op6_retrieval_packing", "documents")
+def retrieval_packing(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
