@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontaminate, neardup, packing, secrets, sharding
+from tallyforge.llm import decontaminate, neardup, packing, secrets, sharding, warc
 from tallyforge.llm.registry import ORACLES, QUERIES, query
 from tallyforge.sources.files import load_table
 
@@ -132,3 +132,17 @@ def retrieval_packing(docs: DataFrame) -> DataFrame:
 
     pieces = packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+SQL_ARCHIVE = """
+WITH payloads AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages),
+firsts AS (SELECT payload_digest, min(page_id) AS first FROM payloads WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to, true AS complete
+FROM payloads LEFT JOIN firsts USING (payload_digest)"""
+
+
+@query("op9_warc_round_trip", "pages", SQL_ARCHIVE)
+def warc_round_trip(pages: DataFrame) -> DataFrame:
+    return warc.round_trip(pages.select("page_id", "url", "html"), payloads=False).drop("payload")
