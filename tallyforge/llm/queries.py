@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontaminate, neardup, packing, secrets, sharding, warc
+from tallyforge.llm import decontaminate, licenses, neardup, packing, secrets, sharding, warc
 from tallyforge.llm.registry import ORACLES, QUERIES, query
 from tallyforge.sources.files import load_table
 
@@ -146,3 +146,38 @@ FROM payloads LEFT JOIN firsts USING (payload_digest)"""
 @query("op9_warc_round_trip", "pages", SQL_ARCHIVE)
 def warc_round_trip(pages: DataFrame) -> DataFrame:
     return warc.round_trip(pages.select("page_id", "url", "html"), payloads=False).drop("payload")
+
+
+def _normal_sql(text: str) -> str:
+    return f"trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+def _bigrams_sql(w: str) -> str:
+    return f"CASE WHEN len({w}) > 1 THEN list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]) ELSE {w} END"
+
+
+SQL_LICENSES = rf"""
+WITH notices(template, license, text) AS (VALUES {", ".join(
+    "({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(licenses.TEMPLATES))}),
+texts AS (SELECT doc_id, coalesce(text, '') AS t, regexp_split_to_array(coalesce(text, ''), '\n[ \t]*\n') AS parts FROM documents),
+pieces AS (
+  SELECT doc_id, 'line' AS unit, unnest(range(1, len(lines) + 1)) AS number, unnest(lines) AS piece
+  FROM (SELECT doc_id, string_split(t, chr(10)) AS lines FROM texts)
+  UNION ALL SELECT * FROM (SELECT doc_id, 'paragraph', unnest(range(1, len(parts) + 1)), unnest(parts) AS piece FROM texts)
+            WHERE contains(piece, chr(10))
+  UNION ALL SELECT doc_id, 'text', 1, t FROM texts WHERE len(parts) > 1),
+worded AS (SELECT doc_id, unit, number, string_split({_normal_sql("piece")}, ' ') AS w FROM pieces WHERE {_normal_sql("piece")} <> ''),
+grams AS (SELECT doc_id, unit, number, len(g) AS n, unnest(g) AS gram FROM (SELECT *, {_bigrams_sql("w")} AS g FROM worded)),
+counted AS (SELECT doc_id, unit, number, n, gram, count(*) AS times FROM grams GROUP BY ALL),
+known AS (SELECT template, license, len(g) AS size, unnest(g) AS gram FROM (SELECT *, {_bigrams_sql("w")} AS g
+  FROM (SELECT template, license, string_split({_normal_sql("text")}, ' ') AS w FROM notices))),
+known_counted AS (SELECT template, license, size, gram, count(*) AS held FROM known GROUP BY ALL),
+scores AS (SELECT doc_id, unit, number, template, license, 2.0::DOUBLE * sum(least(times, held))::DOUBLE / (n + size) AS dice
+  FROM counted JOIN known_counted USING (gram) GROUP BY doc_id, unit, number, n, template, license, size)
+SELECT doc_id, unit, number::INTEGER AS number, license, dice FROM scores WHERE dice >= {licenses.THRESHOLD}
+QUALIFY row_number() OVER (PARTITION BY doc_id, unit, number ORDER BY dice DESC, template) = 1"""
+
+
+@query("op8_license_notices", "documents", SQL_LICENSES)
+def license_notices(docs: DataFrame) -> DataFrame:
+    return licenses.scan(docs.select("doc_id", "text"))
