@@ -51,28 +51,44 @@ def partitions(sets: list[np.ndarray], percent: int) -> list[Signatures]:
     return out
 
 
+def _rows(shared, percent: int, texts: pa.Array) -> Iterator[tuple[int, int, int, int]]:
+    """``(text, item, n_item, n_shared)`` of all contained items of a column of texts, as positions."""
+    _, sets, parts = shared.value
+    bound = max(p.bound for p in parts)
+    maybe = np.zeros(1 << FILTER_BITS, bool)
+    for p in parts:
+        maybe[p.hashes >> np.uint64(64 - FILTER_BITS)] = True
+    octets, offsets = shingles.buffers(texts)
+    for at, stop in shingles.chunks(offsets):
+        part = offsets[at:stop + 1]
+        hashes, first = shingles.shingle_hashes(octets[part[0]:part[-1]], part - part[0])
+        where = np.flatnonzero((hashes <= bound) & maybe[hashes >> np.uint64(64 - FILTER_BITS)])
+        for doc, item, n, shared_n in _hits(hashes, first, where, parts, sets, percent):
+            yield at + doc, item, n, shared_n
+
+
 def _search(shared, percent: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        item_ids, sets, parts = shared.value
-        bound = max(p.bound for p in parts)
-        maybe = np.zeros(1 << FILTER_BITS, bool)
-        for p in parts:
-            maybe[p.hashes >> np.uint64(64 - FILTER_BITS)] = True
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            octets, offsets = shingles.buffers(batch.column("text"))
-            rows: list[tuple] = []
-            for at, stop in shingles.chunks(offsets):
-                part = offsets[at:stop + 1]
-                hashes, first = shingles.shingle_hashes(octets[part[0]:part[-1]], part - part[0])
-                where = np.flatnonzero((hashes <= bound) & maybe[hashes >> np.uint64(64 - FILTER_BITS)])
-                rows += _hits(hashes, first, where, parts, sets, percent, at, item_ids, ids)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], ["doc_id", "item_id", "n_item", "n_shared"])
+            ids, items = batch.column("doc_id"), shared.value[0]
+            rows = list(_rows(shared, percent, batch.column("text")))
+            where = pa.array([r[0] for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids.take(where), pa.array([items[r[1]] for r in rows], pa.int64()),
+                                              *[pa.array([r[c] for r in rows], pa.int64()) for c in (2, 3)]],
+                                             ["doc_id", "item_id", "n_item", "n_shared"])
     return search
 
 
-def _hits(hashes, first, where, parts, sets, percent, at, item_ids, ids) -> list[tuple]:
+def _without(shared, percent: int):
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            keep[[r[0] for r in _rows(shared, percent, batch.column("text"))]] = False
+            yield batch.select(["row"]).filter(pa.array(keep))
+    return without
+
+
+def _hits(hashes, first, where, parts, sets, percent) -> list[tuple]:
     """Rows of all contained items of one chunk: candidates by signature, decided on full sets."""
     found, pairs = hashes[where], []
     owner = np.searchsorted(first, where, side="right") - 1
@@ -87,7 +103,7 @@ def _hits(hashes, first, where, parts, sets, percent, at, item_ids, ids) -> list
             last, own = doc, np.unique(hashes[first[doc]:first[doc + 1]])
         shared = shingles.overlap(sets[item], own)
         if shared >= needed(len(sets[item]), percent):
-            rows.append((ids[at + doc], item_ids[item], len(sets[item]), shared))
+            rows.append((int(doc), int(item), len(sets[item]), shared))
     return rows
 
 
@@ -100,17 +116,32 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFrame
 
     Items are sent to every task in passes of a bounded size; a benchmark of ordinary size is one pass.
     """
-    items = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    passes = -(-total // BLOCK_BYTES)
     schema = "doc_id bigint, item_id bigint, n_item bigint, n_shared bigint"
     out = docs.sparkSession.createDataFrame([], schema)
+    for shared in _passes(items, percent):
+        out = out.unionByName(docs.mapInArrow(_search(shared, percent), schema))
+    return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
+
+
+def without_items(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFrame:
+    """``docs`` without the rows whose ``text`` contains an item as in ``contained``; all columns stay, and nothing is moved."""
+    columns = docs.columns
+    for shared in _passes(items, percent):
+        packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "text")
+        rows = packed.mapInArrow(_without(shared, percent), f"row {packed.schema['row'].dataType.simpleString()}")
+        docs = rows.select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
+    return docs
+
+
+def _passes(items: DataFrame, percent: int) -> Iterator:
+    """Item ids, full sets and signatures, sent to the tasks in blocks of bounded size."""
+    items = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    passes = -(-total // BLOCK_BYTES)
     for number in range(passes):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == number).collect()
         sets = list(shingles.shingle_sets(pa.array([r["text"] for r in block], pa.string())))
         parts = partitions(sets, percent)
         if parts:
-            shared = docs.sparkSession.sparkContext.broadcast(([r["item_id"] for r in block], sets, parts))
-            out = out.unionByName(docs.mapInArrow(_search(shared, percent), schema))
-    return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
+            yield items.sparkSession.sparkContext.broadcast(([r["item_id"] for r in block], sets, parts))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontaminate, licenses, neardup, packing, secrets, sharding, warc
+from tallyforge.llm import decontaminate, licenses, neardup, packing, quality, secrets, sharding, warc
 from tallyforge.llm.registry import ORACLES, QUERIES, query
 from tallyforge.sources.files import load_table
 
@@ -181,3 +181,12 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, unit, number ORDER BY dice DESC,
 @query("op8_license_notices", "documents", SQL_LICENSES)
 def license_notices(docs: DataFrame) -> DataFrame:
     return licenses.scan(docs.select("doc_id", "text"))
+
+
+def quality_scores(spark, folder: str) -> DataFrame:
+    docs = load_table(spark, folder, "documents").select("doc_id", "text")
+    found = quality.classify(docs, quality.train(docs, load_table(spark, folder, "labels")))
+    return found.select("row.doc_id", "quality_score", "clean_score", "quality_weak", "clean_weak", "keep")
+
+
+QUERIES["op3_quality_scores"] = quality_scores

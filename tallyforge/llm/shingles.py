@@ -73,9 +73,10 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]
         at = stop
 
 
-def words(octets: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and where each text's words begin in them (one more entry than texts)."""
-    space = SPACE[octets]
+def word_spans(octets: np.ndarray, offsets: np.ndarray,
+               separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where all words begin and where they have ended, where each text's words begin among them, and running sums of bytes."""
+    space = separators[octets]
     starts, stops = ~space, ~space
     edge = offsets[(offsets > 0) & (offsets < len(octets))]
     inside = starts.copy()
@@ -86,8 +87,18 @@ def words(octets: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     begin, stop = np.flatnonzero(starts), np.flatnonzero(stops) + 1
     sums = np.zeros(len(octets) + 1, np.uint64)
     np.cumsum(BYTES[octets] * _power_table(BASE, len(octets))[:len(octets)], out=sums[1:])
-    hashes = mix((sums[stop] - sums[begin]) * _power_table(INVERSE, len(octets) + 1)[begin])
-    return hashes, np.searchsorted(begin, offsets)
+    return begin, stop, np.searchsorted(begin, offsets), sums
+
+
+def span_hashes(begin: np.ndarray, stop: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of bytes; equal stretches have equal ones wherever they stand."""
+    return mix((sums[stop] - sums[begin]) * _power_table(INVERSE, len(sums))[begin])
+
+
+def words(octets: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and where each text's words begin in them (one more entry than texts)."""
+    begin, stop, first, sums = word_spans(octets, offsets, separators)
+    return span_hashes(begin, stop, sums), first
 
 
 def shingle_hashes(octets: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
