@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontaminate, fingerprints, licenses, neardup, packing, quality, secrets, sharding, warc
+from tallyforge.llm import decontaminate, fingerprints, licenses, neardup, packing, quality, repeats, secrets, sharding, warc
 from tallyforge.llm.registry import ORACLES, QUERIES, query
 from tallyforge.sources.files import load_table
 
@@ -201,3 +201,8 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     found = fingerprints.compare_with_next(docs.select("doc_id", "text"))
     return found.select("doc_id", "n_chars", "edited_sha256", _one_line(F.base64("cells")).alias("fingerprint"),
                         _one_line(F.base64("edited_cells")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@query("op4_exact_repeats", "documents")
+def exact_repeats(docs: DataFrame) -> DataFrame:
+    return repeats.remove_repeats(docs.select("doc_id", "text"), keep_bytes=False).drop("kept")
