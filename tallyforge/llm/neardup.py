@@ -4,9 +4,10 @@ A register is the exponentially spaced level of the smallest of all hashes of a
 union are maxima of registers, and two sets agree in a register about as often as their Jaccard similarity says.
 
 Texts with equal shingle sets are one node. Nodes whose registers agree throughout a band share a bucket. First every
-node is held against the smallest node of its buckets; what is confirmed forms components. Then, in buckets that still hold
-several components, all nodes outside the largest one are held against all nodes of other components. Pairs that
-an estimate puts well below the threshold are not looked at further, all others are decided on full shingle sets.
+node is held against the smallest node of its buckets, and what is confirmed gives first labels. Then, in buckets that still
+hold several labels, all nodes outside the largest one are held against all nodes of other labels, in tasks of bounded
+size: pairs that an estimate puts well below the threshold go, texts are fetched for nodes of the remaining pairs only,
+and those are decided on full shingle sets where both are, best first, until labels are one. No list of pairs is made.
 """
 
 from __future__ import annotations
@@ -32,7 +33,11 @@ LEVEL_BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Standard errors that an estimate may lie below the threshold.
 SLACK = 4.0
 #: Nodes on either side of a task's comparison.
-SIDE = 256
+SIDE = 1024
+#: Pairs of one node that are decided in one go.
+PORTION = 256
+#: Points of the likelihood that are tried.
+GRID = 64
 
 MULTIPLIERS = shingles.stream(7, REGISTERS) | np.uint64(1)
 SHIFTS = shingles.stream(8, REGISTERS)
@@ -56,12 +61,12 @@ def registers(least: np.ndarray) -> np.ndarray:
 
 def likeness(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Jaccard similarity of pairs of sketches (rows of ``a`` and ``b``) at which the joint likelihood of their registers being
-    higher, lower or equal is greatest, given both cardinalities. To about 1/200."""
+    higher, lower or equal is greatest, given both cardinalities. To about 1/64."""
     above, below = (a > b).sum(axis=1)[:, None], (a < b).sum(axis=1)[:, None]
     equal = a.shape[1] - above - below
     u = (n_a / (n_a + n_b))[:, None]
     v = 1 - u
-    grid = np.linspace(0.001, 0.999, 200)[None, :] * np.minimum(u / v, v / u)
+    grid = np.linspace(0.001, 0.999, GRID)[None, :] * np.minimum(u / v, v / u)
 
     def chance(x: np.ndarray) -> np.ndarray:
         return -np.log(1 - np.clip(x, 1e-12, 1) * (LEVEL_BASE - 1) / LEVEL_BASE) / math.log(LEVEL_BASE)
@@ -76,6 +81,8 @@ def close(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, thresh
     floor = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / REGISTERS)
     found = np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b) - 1e-9
     at = np.flatnonzero(found)
+    found[at] = (a[at] == b[at]).mean(axis=1) >= floor - 0.1  # where the estimate cannot reach the floor
+    at = at[found[at]]
     for part in np.array_split(at, len(at) // 4096 + 1):
         if len(part):
             found[part] = likeness(a[part], b[part], n_a[part], n_b[part]) >= floor
@@ -143,64 +150,127 @@ def _confirm(percent: int):
     return confirm
 
 
+def texts_of(wanted: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """``set_id, text`` of distinct nodes, from the row picked for each."""
+    picked = wanted.join(sets.select("set_id", "pick"), "set_id").select(
+        "set_id", F.col("pick.tid").alias("tid"), F.col("pick.doc_id").alias("pick_id"))
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("tid"))
+    return own.join(picked, (own["tid"] == picked["tid"]) & own["doc_id"].eqNullSafe(picked["pick_id"])).select("set_id", "text")
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets reach ``percent``. Pairs of one ``a`` are dealt out in portions, each with its own copy of ``a``."""
-    groups = materialise(pairs.groupBy("a").agg(F.ceil(F.count("*") / SIDE).cast("bigint").alias("portions")), "near-groups")
+    groups = materialise(pairs.groupBy("a").agg(F.ceil(F.count("*") / PORTION).cast("bigint").alias("portions")), "near-groups")
     dealt = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), "portions").alias("salt"), "b")
     heads = groups.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("portions") - 1)).alias("salt"),
                           F.col("a").alias("b"))
     rows = dealt.withColumn("role", F.lit(1)).unionByName(heads.withColumn("role", F.lit(0)))
     rows = materialise(rows, "near-portions")
-    wanted = rows.select(F.col("b").alias("set_id")).distinct().join(sets.select("set_id", "pick"), "set_id").select(
-        "set_id", F.col("pick.tid").alias("tid"), F.col("pick.doc_id").alias("pick_id"))
-    own = docs.select("doc_id", "text", F.xxhash64("text").alias("tid"))
-    texts = own.join(wanted, (own["tid"] == wanted["tid"]) & own["doc_id"].eqNullSafe(wanted["pick_id"])).select(
-        F.col("set_id").alias("b"), "text")
+    texts = texts_of(rows.select(F.col("b").alias("set_id")).distinct(), sets, docs).withColumnRenamed("set_id", "b")
     return (rows.join(texts, "b").select("a", "salt", "role", "b", "text").repartition("a", "salt")
             .sortWithinPartitions("a", "salt", "role").mapInArrow(_confirm(percent), "a bigint, b bigint"))
 
 
-def _cross(threshold: float):
-    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, None
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            unit = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
-            role, ids, comps = (batch.column(c).to_numpy() for c in ("role", "set_id", "comp"))
-            size = batch.column("n").to_numpy().astype(float)
-            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u2").reshape(n, REGISTERS)
-            cut = np.flatnonzero((unit[1:] != unit[:-1]).any(axis=1)) + 1
-            found_a, found_b = [], []
-            for rows in np.split(np.arange(n), cut):
-                here = tuple(unit[rows[0]])
-                lefts, rights = rows[role[rows] == 0], rows[role[rows] == 1]
-                fresh = (ids[lefts], comps[lefts], size[lefts], sketch[lefts])
-                held = fresh if here != key else tuple(np.concatenate(x) for x in zip(held, fresh))
-                key = here
-                for at in range(0, len(rights), SIDE):
-                    part = rights[at:at + SIDE]
-                    left, right = np.nonzero(held[1][:, None] != comps[part][None, :])
-                    if not len(left):
-                        continue
-                    a, b = held[0][left], ids[part][right]
-                    keep = np.zeros(len(a), bool)
-                    for some in np.array_split(np.arange(len(a)), len(a) // 8192 + 1):
-                        keep[some] = close(held[3][left[some]], sketch[part[right[some]]], held[2][left[some]],
-                                           size[part[right[some]]], threshold)
-                    found_a.append(np.minimum(a, b)[keep])
-                    found_b.append(np.maximum(a, b)[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (found_a, found_b)],
-                                             ["a", "b"])
-    return cross
-
-
-def crossings(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Open pairs across components: in each bucket, nodes outside its largest component against all others.
+class Side:
+    """Nodes of one task's comparison, held as columns."""
+
+    def __init__(self, batch: pa.RecordBatch, rows: np.ndarray, sets: list[np.ndarray] | None) -> None:
+        part = batch.take(pa.array(rows))
+        self.ids, self.comps, self.size = (part.column(c).to_numpy() for c in ("set_id", "comp", "n"))
+        self.sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), "<u2").reshape(-1, REGISTERS)
+        self.sets = [sets[i] for i in rows] if sets else []
+
+    def grow(self, other: Side) -> None:
+        for name in ("ids", "comps", "size", "sketch"):
+            setattr(self, name, np.concatenate([getattr(self, name), getattr(other, name)]))
+        self.sets = self.sets + other.sets
+
+
+def open_pairs(left: Side, right: Side, band: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different labels that may reach the threshold, each in the first band on which both agree only."""
+    a, b = np.nonzero((left.comps[:, None] != right.comps[None, :])
+                      & (np.minimum(left.size[:, None], right.size[None, :]) >= threshold * np.maximum(left.size[:, None], right.size[None, :]) - 1e-9))
+    bands = [x.sketch.copy().view("<u8").reshape(-1, BANDS) for x in (left, right)]
+    keep = np.zeros(len(a), bool)
+    for some in np.array_split(np.arange(len(a)), len(a) // 16384 + 1):
+        first = np.argmax(bands[0][a[some]] == bands[1][b[some]], axis=1) == band
+        some = some[first]
+        keep[some] = close(left.sketch[a[some]], right.sketch[b[some]], left.size[a[some]].astype(float), right.size[b[some]].astype(float),
+                           threshold)
+    return a[keep], b[keep]
+
+
+def _units(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[tuple[tuple, Side, Side]]:
+    """Parts of each unit: its key, all nodes of the left side, and some of the right. Rows come sorted by unit and side."""
+    key, held = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        unit = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
+        role, band = batch.column("role").to_numpy(), batch.column("band").to_numpy()
+        sets = list(shingles.shingle_sets(batch.column("text"))) if texts else None
+        cut = np.flatnonzero((unit[1:] != unit[:-1]).any(axis=1)) + 1
+        for rows in np.split(np.arange(batch.num_rows), cut):
+            here = tuple(int(x) for x in unit[rows[0]])
+            fresh = Side(batch, rows[role[rows] == 0], sets)
+            if here == key:
+                held.grow(fresh)
+            else:
+                key, held = here, fresh
+            rights = rows[role[rows] == 1]
+            if len(rights):
+                yield (*here, int(band[rows[0]])), held, Side(batch, rights, sets)
+
+
+UNIT = "key bigint, i bigint, j bigint, band int, role int, set_id bigint, comp bigint"
+
+
+def _involved(threshold: float):
+    names = [x.split()[0] for x in UNIT.split(", ")]
+
+    def involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, i, j, band), left, right in _units(batches, False):
+            a, b = open_pairs(left, right, band, threshold)
+            for role, side, at in ((0, left, np.unique(a)), (1, right, np.unique(b))):
+                same = [pa.array(np.full(len(at), x), pa.int64()) for x in (key, i, j)]
+                kinds = [pa.array(np.full(len(at), x), pa.int32()) for x in (band, role)]
+                yield pa.RecordBatch.from_arrays([*same, *kinds, pa.array(side.ids[at]), pa.array(side.comps[at])], names)
+    return involved
+
+
+def _decide(threshold: float, percent: int):
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, joined = None, {}
+
+        def root(x: int) -> int:
+            while joined.get(x, x) != x:
+                x = joined[x]
+            return x
+
+        for (*here, band), left, right in _units(batches, True):
+            if here != unit:
+                unit, joined = here, {}
+            a, b = open_pairs(left, right, band, threshold)
+            order = np.argsort(-(left.sketch[a] == right.sketch[b]).sum(axis=1), kind="stable")
+            links: list[tuple[int, int]] = []
+            for x, y in zip(a[order].tolist(), b[order].tolist()):
+                p, q = root(int(left.comps[x])), root(int(right.comps[y]))
+                if p == q:
+                    continue
+                both = shingles.overlap(left.sets[x], right.sets[y])
+                if 100 * both >= percent * (len(left.sets[x]) + len(right.sets[y]) - both):
+                    joined[max(p, q)] = min(p, q)
+                    links.append((int(left.ids[x]), int(right.ids[y])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+    return decide
+
+
+def crossings(members: DataFrame, sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links across labels: in each bucket, nodes outside its largest label against all others.
 
     Either side is dealt out in parts of ``SIDE`` nodes, so no task holds a whole bucket.
     """
+    threshold = percent / 100
     shares = members.groupBy("key", "comp").agg(F.count("*").alias("share"))
     whole = shares.groupBy("key").agg(F.sum("share").alias("all"), F.max(F.struct("share", "comp")).alias("main"))
     open_ = materialise(whole.where(F.col("main.share") < F.col("all")).select(
@@ -209,13 +279,17 @@ def crossings(members: DataFrame, sets: DataFrame, threshold: float) -> DataFram
     rows = materialise(members.join(open_, "key"), "near-open-members")
     zero, spread = F.lit(0).cast("bigint"), F.xxhash64("set_id")
     minors = rows.where("comp != main").select(
-        "key", F.pmod(spread, "left").alias("i"), F.explode(F.sequence(zero, F.col("right") - 1)).alias("j"), F.lit(0).alias("role"),
-        "set_id", "comp")
-    others = rows.select("key", F.explode(F.sequence(zero, F.col("left") - 1)).alias("i"), F.pmod(spread, "right").alias("j"),
+        "key", F.pmod(spread, "left").alias("i"), F.explode(F.sequence(zero, F.col("right") - 1)).alias("j"), "band",
+        F.lit(0).alias("role"), "set_id", "comp")
+    others = rows.select("key", F.explode(F.sequence(zero, F.col("left") - 1)).alias("i"), F.pmod(spread, "right").alias("j"), "band",
                          F.lit(1).alias("role"), "set_id", "comp")
-    units = minors.unionByName(others).join(sets.select("set_id", "n", "sketch"), "set_id")
-    return (units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role")
-            .mapInArrow(_cross(threshold), "a bigint, b bigint").distinct())
+    about = sets.select("set_id", "n", "sketch")
+    order = ["key", "i", "j", "role"]
+    units = minors.unionByName(others).join(about, "set_id").repartition("key", "i", "j").sortWithinPartitions(*order)
+    found = materialise(units.mapInArrow(_involved(threshold), UNIT).distinct(), "near-involved")
+    texts = texts_of(found.select("set_id").distinct(), sets, docs)
+    return (found.join(about, "set_id").join(texts, "set_id").repartition("key", "i", "j").sortWithinPartitions(*order)
+            .mapInArrow(_decide(threshold, percent), "a bigint, b bigint"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -236,23 +310,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     width = 2 * ROWS
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)),
                         lambda b: F.xxhash64(b, F.substring(F.col("sketch"), b * width + 1, F.lit(width))))
-    keys = sets.select("set_id", F.explode(bands).alias("key"))
-    full = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("set_id").alias("leader"),
-                                   F.bit_xor(F.xxhash64("set_id")).alias("mark")).where("size > 1")
-    buckets = materialise(full.groupBy("size", "leader", "mark").agg(F.min("key").alias("key")).select("key", "leader"), "near-buckets")
+    keys = sets.select("set_id", F.posexplode(bands).alias("band", "key"))
+    full = keys.groupBy("key", "band").agg(F.count("*").alias("size"), F.min("set_id").alias("leader"),
+                                           F.bit_xor(F.xxhash64("set_id")).alias("mark")).where("size > 1")
+    buckets = materialise(full.groupBy("size", "leader", "mark").agg(F.min(F.struct("band", "key")).alias("at")).select(
+        "at.key", "leader"), "near-buckets")
     members = materialise(keys.join(buckets, "key"), "near-members")
 
     pairs = members.where("set_id != leader").select(F.col("leader").alias("a"), F.col("set_id").alias("b")).distinct()
-    open_pairs = materialise(sift(pairs, sets, threshold), "near-pairs")
-    links = materialise(confirm(open_pairs, sets, docs, percent), "near-links")
-    labels = components(links)
-    labelled = members.join(labels, F.col("set_id") == F.col("node"), "left").select(
-        "key", "set_id", F.coalesce("component", "set_id").alias("comp"))
-    more = materialise(crossings(materialise(labelled, "near-labelled"), sets, threshold).join(open_pairs, ["a", "b"], "left_anti"),
-                       "near-crossings")
-    if not more.isEmpty():
-        links = links.unionByName(materialise(confirm(more, sets, docs, percent), "near-more-links"))
-        labels = components(links)
+    links = materialise(confirm(materialise(sift(pairs, sets, threshold), "near-pairs"), sets, docs, percent), "near-links")
+    up = links.groupBy("b").agg(F.min("a").alias("a"))
+    labels = up.select("b", F.col("a").alias("via")).join(up.select(F.col("b").alias("via"), F.col("a").alias("top")), "via", "left").select(
+        F.col("b").alias("set_id"), F.coalesce("top", "via").alias("label"))
+    labelled = members.join(materialise(labels, "near-labels"), "set_id", "left").select(
+        "key", "band", "set_id", F.coalesce("label", "set_id").alias("comp"))
+    more = materialise(crossings(materialise(labelled, "near-labelled"), sets, docs, percent), "near-more-links")
+    labels = components(links.unionByName(more))
 
     named = sets.join(labels, F.col("set_id") == F.col("node"), "left").select(
         "set_id", "first_id", F.coalesce("component", "set_id").alias("comp"))
