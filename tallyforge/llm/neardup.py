@@ -200,6 +200,10 @@ def open_pairs(left: Side, right: Side, band: int, threshold: float) -> tuple[np
     return a[keep], b[keep]
 
 
+#: Which side of a comparison a row is on; a bucket that is one unit has every node once, some of them on both sides.
+LEFT, BOTH, OTHER = 0, 1, 2
+
+
 def _units(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[tuple[tuple, Side, Side]]:
     """Parts of each unit: its key, all nodes of the left side, and some of the right. Rows come sorted by unit and side."""
     key, held = None, None
@@ -212,14 +216,14 @@ def _units(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[tuple[tup
         cut = np.flatnonzero((unit[1:] != unit[:-1]).any(axis=1)) + 1
         for rows in np.split(np.arange(batch.num_rows), cut):
             here = tuple(int(x) for x in unit[rows[0]])
-            fresh = Side(batch, rows[role[rows] == 0], sets)
+            fresh, both = Side(batch, rows[role[rows] < OTHER], sets), rows[role[rows] == BOTH]
             if here == key:
                 held.grow(fresh)
             else:
                 key, held = here, fresh
-            rights = rows[role[rows] == 1]
-            if len(rights):
-                yield (*here, int(band[rows[0]])), held, Side(batch, rights, sets)
+            for rights in (both, rows[role[rows] == OTHER]):
+                if len(rights):
+                    yield (*here, int(band[rows[0]])), held, Side(batch, rights, sets)
 
 
 UNIT = "key bigint, i bigint, j bigint, band int, role int, set_id bigint, comp bigint"
@@ -231,7 +235,7 @@ def _involved(threshold: float):
     def involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (key, i, j, band), left, right in _units(batches, False):
             a, b = open_pairs(left, right, band, threshold)
-            for role, side, at in ((0, left, np.unique(a)), (1, right, np.unique(b))):
+            for role, side, at in ((LEFT, left, np.unique(a)), (OTHER, right, np.unique(b))):
                 same = [pa.array(np.full(len(at), x), pa.int64()) for x in (key, i, j)]
                 kinds = [pa.array(np.full(len(at), x), pa.int32()) for x in (band, role)]
                 yield pa.RecordBatch.from_arrays([*same, *kinds, pa.array(side.ids[at]), pa.array(side.comps[at])], names)
@@ -278,11 +282,12 @@ def crossings(members: DataFrame, sets: DataFrame, docs: DataFrame, percent: int
         F.ceil(F.col("all") / SIDE).cast("bigint").alias("right")), "near-open")
     rows = materialise(members.join(open_, "key"), "near-open-members")
     zero, spread = F.lit(0).cast("bigint"), F.xxhash64("set_id")
-    minors = rows.where("comp != main").select(
+    whole_bucket = (F.col("left") == 1) & (F.col("right") == 1)
+    minors = rows.where((F.col("comp") != F.col("main")) & ~whole_bucket).select(
         "key", F.pmod(spread, "left").alias("i"), F.explode(F.sequence(zero, F.col("right") - 1)).alias("j"), "band",
-        F.lit(0).alias("role"), "set_id", "comp")
+        F.lit(LEFT).alias("role"), "set_id", "comp")
     others = rows.select("key", F.explode(F.sequence(zero, F.col("left") - 1)).alias("i"), F.pmod(spread, "right").alias("j"), "band",
-                         F.lit(1).alias("role"), "set_id", "comp")
+                         F.when(whole_bucket & (F.col("comp") != F.col("main")), BOTH).otherwise(OTHER).alias("role"), "set_id", "comp")
     about = sets.select("set_id", "n", "sketch")
     order = ["key", "i", "j", "role"]
     units = minors.unionByName(others).join(about, "set_id").repartition("key", "i", "j").sortWithinPartitions(*order)
