@@ -46,7 +46,7 @@ def bucket(value: Column | str, edges: Sequence[float], labels: Sequence[str], o
 
 
 def quartile_band(value: Column | str, q1: float, q2: float, q3: float,
-                  labels: Sequence[str] = ("Less", "Average", "High", "Very High")) -> Column:
+                  labels: Sequence[str] = ("q1", "q2", "q3", "q4")) -> Column:
     value = _col(value)
     return F.when(value <= q1, labels[0]).when(value <= q2, labels[1]).when(value <= q3, labels[2]).when(
         value > q3, labels[3])

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyforge.operators.ranking import DIRECT_ROWS, ROWS_PER_RANGE, running_totals, tiles
+from tallyforge.operators.ranking import ROWS_PER_RANGE, running_totals, tiles
+from tallyforge.session import materialise
 
 
 def _n(condition: Column) -> Column:
@@ -86,51 +87,54 @@ def best_cutoff(sweep: DataFrame) -> DataFrame:
     return sweep.orderBy(F.round(gap, 9), "cutoff").limit(1)
 
 
-def _score_curve(df: DataFrame, label: str, score: str, direct_rows: int, rows_per_range: int) -> DataFrame:
+def _score_curve(df: DataFrame, label: str, score: str, rows_per_range: int) -> DataFrame:
     event = F.col(label).cast("bigint")
-    return running_totals(df, score, {"pos": event, "neg": 1 - event}, descending=True,
-                          direct_rows=direct_rows, rows_per_range=rows_per_range)
+    return running_totals(df, score, {"pos": event, "neg": 1 - event}, descending=True, rows_per_range=rows_per_range)
 
 
-def ks(df: DataFrame, label: str, score: str, digits: int = 6, direct_rows: int = DIRECT_ROWS,
-       rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def ks(df: DataFrame, label: str, score: str, digits: int = 6, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Largest distance between the cumulative shares of events and non-events over all scores."""
-    pos, rows = df.where(F.col(score).isNotNull()).agg(F.sum(F.col(label).cast("bigint")), F.count(label)).first()
-    curve = _score_curve(df, label, score, direct_rows, rows_per_range)
-    distance = F.try_divide(F.col("cum_pos").cast("double"), F.lit(pos)) - F.try_divide(
-        F.col("cum_neg").cast("double"), F.lit(rows - (pos or 0)))
+    curve = materialise(_score_curve(df, label, score, rows_per_range), "score-curve")
+    whole = curve.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
+    distance = F.try_divide(F.col("cum_pos").cast("double"), F.lit(whole["p"])) - F.try_divide(
+        F.col("cum_neg").cast("double"), F.lit(whole["n"]))
     return curve.select(distance.alias("_distance")).agg(F.round(F.max("_distance"), digits).alias("ks"))
 
 
-def auc(df: DataFrame, label: str, score: str, digits: int = 6, direct_rows: int = DIRECT_ROWS,
-        rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def auc(df: DataFrame, label: str, score: str, digits: int = 6, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Area under the ROC curve: the chance that an event outscores a non-event, ties counting half."""
-    curve = _score_curve(df, label, score, direct_rows, rows_per_range)
+    curve = _score_curve(df, label, score, rows_per_range)
     below = F.col("pos").cast("double") * (F.col("cum_neg") - F.col("neg") / 2.0)
     sums = curve.agg(F.sum(below).alias("worse"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     whole = F.col("p").cast("double") * F.col("n")
     return sums.select(F.round(1 - F.try_divide(F.col("worse"), whole), digits).alias("auc"))
 
 
+def roc_points(df: DataFrame, label: str, score: str, cutoffs: Sequence[float], digits: int = 6) -> DataFrame:
+    """Points of the ROC curve at given cut-offs: false and true positive rate."""
+    sweep = threshold_sweep(df, label, score, cutoffs, digits)
+    return sweep.select("cutoff", F.round(1 - F.col("specificity"), digits).alias("fpr"), F.col("sensitivity").alias("tpr"))
+
+
 def on_class(score: str, cutoff: float) -> Column:
     """Hard 0/1 decision, for KS and AUC of classes instead of scores."""
     return F.when(F.col(score) >= cutoff, 1.0).otherwise(0.0)
 
 
 def gain_lift(df: DataFrame, label: str, score: str, key: str, n: int = 10, digits: int = 4,
-              direct_rows: int = DIRECT_ROWS, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Rows, events, cumulative events, gain and cumulative lift per score tile, best scores first."""
-    tiled = tiles(df.select(key, label, score), score, key, n, True, "bucket", direct_rows, rows_per_range)
-    per_tile = tiled.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("total"), F.sum(F.col(label).cast("bigint")).alias("totalresp"))
+              rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """What the best-scored tiles catch: for all rows up to a tile, the share of all events among them (``captured``), and
+    their event rate over that of the whole table (``lift``)."""
+    tiled = tiles(df.select(key, label, score), score, key, n, True, "tile", rows_per_range)
+    counts = tiled.groupBy("tile").agg(F.count(F.lit(1)).alias("rows_in"), F.sum(F.col(label).cast("bigint")).alias("events_in"))
     # n rows from here on
-    upto = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    gain = 100.0 * F.col("cumresp") / F.sum("totalresp").over(W.partitionBy())
-    return (per_tile.withColumn("cumresp", F.sum("totalresp").over(upto))
-            .withColumn("_gain", gain)
-            .withColumns({"gain": F.round("_gain", digits),
-                          "cumlift": F.round(F.col("_gain") / (F.col("bucket") * (100.0 / n)), digits)})
-            .drop("_gain"))
+    best, whole = W.orderBy("tile").rowsBetween(W.unboundedPreceding, W.currentRow), W.partitionBy()
+    seen = counts.select(
+        "tile", "rows_in", "events_in", F.sum("events_in").over(best).alias("events_upto"), F.sum("rows_in").over(best).alias("rows_upto"),
+        F.sum("events_in").over(whole).alias("events"), F.sum("rows_in").over(whole).alias("rows"))
+    rate_upto, rate = F.col("events_upto") / F.col("rows_upto"), F.col("events") / F.col("rows")
+    return seen.select("tile", "rows_in", "events_in", _share(F.col("events_upto"), F.col("events"), digits).alias("captured"),
+                       F.round(F.try_divide(rate_upto, rate), digits).alias("lift"))
 
 
 def r2_corr(df: DataFrame, actual: str, predicted: str, digits: int = 6) -> DataFrame:
@@ -139,15 +143,16 @@ def r2_corr(df: DataFrame, actual: str, predicted: str, digits: int = 6) -> Data
     return df.agg(F.round(r * r, digits).alias("r2"))
 
 
-def r2_gap(train: DataFrame, test: DataFrame, actual: str, predicted: str, limit: float = 0.05,
-           digits: int = 6) -> DataFrame:
-    """Fit on training and test rows, their difference, and whether that is within ``limit``."""
-    first = r2_corr(train, actual, predicted, 12).withColumnRenamed("r2", "r2_train")
-    other = r2_corr(test, actual, predicted, 12).select(F.col("r2").alias("r2_test"))
-    gap = first.withColumn("r2_test", other.scalar())
+def r2_gap(rows: DataFrame, actual: str, predicted: str, is_train: Column, limit: float = 0.05, digits: int = 6) -> DataFrame:
+    """Fit on training and on all other rows, their difference, and whether that is within ``limit``; one aggregate."""
+    def fit(which: Column) -> Column:
+        r = F.corr(F.when(which, F.col(actual)), F.when(which, F.col(predicted)))
+        return F.round(r * r, 12)
+
+    both = rows.agg(fit(is_train).alias("r2_train"), fit(~is_train).alias("r2_test"))
     difference = F.col("r2_train") - F.col("r2_test")
-    return gap.select(F.round("r2_train", digits).alias("r2_train"), F.round("r2_test", digits).alias("r2_test"),
-                      F.round(difference, digits).alias("gap"), (F.abs(difference) <= limit).alias("within_limit"))
+    return both.select(F.round("r2_train", digits).alias("r2_train"), F.round("r2_test", digits).alias("r2_test"),
+                       F.round(difference, digits).alias("gap"), (F.abs(difference) <= limit).alias("within_limit"))
 
 
 def residuals(df: DataFrame, actual: str, predicted: str, out: str = "residual") -> DataFrame:
@@ -163,6 +168,9 @@ def compare_models(metrics: Mapping[str, DataFrame]) -> DataFrame:
     return result
 
 
+# 20 points to double the odds, 400 at odds of 10; cost 5, loss 1500 and revenue 100 per row.
+
+
 def score_points(p_bad: Column | str, pdo: float = 20, base: float = 400, odds: float = 10) -> Column:
     """Points that rise by ``pdo`` whenever the odds of a good outcome double; ``base`` points at ``odds``."""
     p_bad = F.col(p_bad) if isinstance(p_bad, str) else p_bad
@@ -197,5 +205,5 @@ def profit_impact(df: DataFrame, bad: Column, accepted: Column, cost: float = 5,
     table = cells.withColumns({"profit_without": profit("n_all", "bad_all").cast("double"),
                                "profit_with": profit("n_accepted", "bad_accepted").cast("double")})
     gain = F.try_divide(F.col("profit_with") - F.col("profit_without"), F.abs(F.col("profit_without")))
-    return table.withColumns({"credit_loss_saved": (loss * (F.col("bad_all") - F.col("bad_accepted"))).cast("double"),
+    return table.withColumns({"loss_avoided": (loss * (F.col("bad_all") - F.col("bad_accepted"))).cast("double"),
                               "gain_pct": F.round(100 * gain, digits)})

@@ -12,8 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 0.005
-PROBE_ROWS = 5_000_000
+NULL_PARTS = 4096  # portions of the rows without a key
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
@@ -37,34 +36,18 @@ def small_table(df: DataFrame, limit: int) -> DataFrame | None:
     return df.sparkSession.createDataFrame([tuple(r) for r in rows], df.schema)
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, min_rows: int = PROBE_ROWS) -> list:
-    """Keys holding at least ``share`` of all rows: one pass with a fixed-size sketch, at most ``1 / share`` keys."""
-    rows = df.count()
-    if rows < min_rows:
-        return []
-    tracked = max(1024, int(8 / share))
-    top = df.agg(F.expr(f"approx_top_k(`{key}`, {int(1 / share)}, {tracked})").alias("top")).first()["top"]
-    return [t["item"] for t in top if t["item"] is not None and t["count"] >= share * rows]
+def lookup_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Add the columns of ``dim`` to a far larger ``fact`` by ``key``, once for each matching row of ``dim``.
 
-
-def lookup_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner", share: float = HOT_SHARE,
-                min_rows: int = PROBE_ROWS) -> DataFrame:
-    """Add the columns of ``dim``, which has one row per ``key``, to a far larger ``fact``.
-
-    Rows of hot keys would all meet in one task. They are joined where they are against the few
-    matching ``dim`` rows (at most ``1 / share``, so safe to broadcast); all other rows take the ordinary shuffle.
+    Both sides reach the join by a plain shuffle, so adaptive execution splits the partition of a hot key. Rows without a key match
+    nothing; a left join deals them out by a hash of the row instead of sending them all to one task.
     """
     if how not in ("inner", "left"):
         raise ValueError("a lookup is an inner or left join")
-    hot = hot_keys(fact, key, share, min_rows)
-    if not hot:
-        return fact.join(dim, key, how)
-    few = dim.where(F.col(key).isin(hot))
-    if few.limit(len(hot) + 1).count() > len(hot):
-        raise ValueError(f"lookup table has several rows per {key}")
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    spread = fact.where(is_hot).join(F.broadcast(few), key, how)
-    return fact.where(~is_hot).join(dim, key, how).unionByName(spread)
+    if how == "inner":
+        return fact.where(F.col(key).isNotNull()).join(dim, key)
+    spread = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*fact.columns), F.lit(NULL_PARTS)) + 1).otherwise(F.lit(0))
+    return fact.withColumn("_spread", spread).join(dim.withColumn("_spread", F.lit(0).cast("bigint")), [key, "_spread"], "left").drop("_spread")
 
 
 def merge_all(frames: Sequence[DataFrame], key: str | Sequence[str]) -> DataFrame:

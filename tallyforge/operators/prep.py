@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from tallyforge.functions.bands import clamp as clamp_value
 from tallyforge.functions.bands import cut, cut_labels
 from tallyforge.operators.aggregates import mode_of
-from tallyforge.operators.joins import lookup_join, null_safe_join, small_table
-from tallyforge.operators.ranking import MAX_GROUPS, quantile_table, quantiles
+from tallyforge.operators.joins import null_safe_join
+from tallyforge.operators.ranking import quantile_table, quantiles
 
-MAX_LEVELS = 10_000
+MAX_LEVELS = 10_000  # 0/1 columns that a table can sensibly have; ``dummies_long`` has no limit
 
 
 def clamp(df: DataFrame, bounds: Mapping[str, tuple[float | None, float | None]]) -> DataFrame:
@@ -33,8 +33,8 @@ def clamp_at_percentiles(df: DataFrame, column: str, low: float = 0.02, high: fl
 def boxplot_stats(df: DataFrame, column: str, by: Sequence[str], digits: int = 4) -> DataFrame:
     """Quartiles, fences at 1.5 times the quartile distance, and number of rows outside them, per group.
 
-    The fences of few groups travel to the rows, which are counted where they are. With very many groups values are counted
-    first and hot groups are kept out of the shuffle of the join.
+    Rows are counted by group and value before fences are joined, so a hot group is as many rows as it has values.
+    The null group counts like any other.
     """
     by = list(by)
     wide = quantile_table(df, column, [0.25, 0.5, 0.75], by).groupBy(*by).agg(
@@ -44,12 +44,8 @@ def boxplot_stats(df: DataFrame, column: str, by: Sequence[str], digits: int = 4
     fences = wide.withColumns({"low_fence": F.col("q1") - 1.5 * spread, "high_fence": F.col("q3") + 1.5 * spread})
     stats = ["q1", "median", "q3", "low_fence", "high_fence"]
     rows = df.where(F.col(column).isNotNull()).select(*by, column)
-    few = small_table(fences, MAX_GROUPS)
-    if few is not None:
-        joined = null_safe_join(rows.withColumn("_n", F.lit(1)), few, by, few=True)
-    else:
-        counted = rows.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
-        joined = lookup_join(counted, fences, by[0]) if len(by) == 1 else null_safe_join(counted, fences, by)
+    counted = rows.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
+    joined = null_safe_join(counted, fences, by)
     outside = (F.col(column) < F.col("low_fence")) | (F.col(column) > F.col("high_fence"))
     return joined.groupBy(*by).agg(
         *[F.round(F.max(s), digits).alias(s) for s in stats],
@@ -83,8 +79,16 @@ def levels(df: DataFrame, column: str) -> list:
 
 def binary_encode(df: DataFrame, column: str) -> DataFrame:
     """Two-level category to 0 (first level in sort order) and 1."""
-    first, second = levels(df, column)
-    return df.withColumn(column, F.when(F.col(column) == first, 0).when(F.col(column) == second, 1))
+    first, last, others = df.agg(F.min(column), F.max(column), F.count_distinct(column)).first()
+    if others != 2:
+        raise ValueError(f"{column} has {others} levels, not two")
+    return df.withColumn(column, F.when(F.col(column) == first, 0).when(F.col(column) == last, 1))
+
+
+def dummies_long(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """The ones of a dummy coding as rows ``(key, dummy)``, for categories of any number of levels. Nulls have no row."""
+    cells = F.array(*[F.struct(F.lit(f"{c}_").alias("name"), F.col(c).cast("string").alias("level")) for c in columns])
+    return df.select(key, F.inline(cells)).where(F.col("level").isNotNull()).select(key, F.concat("name", "level").alias("dummy"))
 
 
 def dummies(df: DataFrame, columns: Sequence[str], drop_first: bool = True) -> DataFrame:
@@ -127,5 +131,5 @@ def quantile_bins(df: DataFrame, column: str, n: int = 10, out: str = "bin", exa
     return df.withColumn(out, cut(column, edges, names, include_lowest=True).cast("bigint"))
 
 
-__all__ = ["binary_encode", "boxplot_stats", "clamp", "clamp_at_percentiles", "cut_labels", "dummies", "impute",
+__all__ = ["binary_encode", "boxplot_stats", "clamp", "clamp_at_percentiles", "cut_labels", "dummies", "dummies_long", "impute",
            "levels", "quantile_bins", "quantile_edges", "rescale", "rescale_array", "zscore"]

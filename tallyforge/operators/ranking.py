@@ -1,10 +1,9 @@
 """Running totals, row positions and exact percentiles over tables of any size.
 
 A window without a partition key, or with one hot key, sorts all its rows in one task. Every function
-here first looks at how much there is. Small inputs take the plain window or the built-in aggregate.
-Larger ones are cut into value ranges of about equal size: ranges are ranked or summed on their own, and a
-small table of per-range totals (its size is fixed by the number of ranges, not by the data)
-supplies the offset. Both ways give the same result.
+here cuts the table into value ranges of about equal size, a small one into a single range: ranges are ranked or summed
+on their own, and a small table of per-range totals (its size is fixed by the number of ranges, not by the data)
+supplies the offset.
 """
 
 from __future__ import annotations
@@ -18,9 +17,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyforge.operators.joins import null_safe_join
+from tallyforge.session import materialise
 
-DIRECT_ROWS = 1_000_000      # below this many rows (or distinct values) one task is enough
-ROWS_PER_RANGE = 2_000_000   # aimed at beyond it
+ROWS_PER_RANGE = 2_000_000   # rows (or distinct values) aimed at
 MAX_RANGES = 20_000
 DIRECT_VALUES = 50_000       # distinct values the built-in percentile may hold in one buffer
 FINE_ROWS = 10_000_000_000   # beyond it the sketch is made finer
@@ -28,12 +27,14 @@ MAX_GROUPS = 10_000          # groups whose brackets may travel as a broadcast
 
 
 def _range_count(size: int, rows_per_range: int) -> int:
-    return max(2, min(MAX_RANGES, -(-size // rows_per_range)))
+    return max(1, min(MAX_RANGES, -(-size // rows_per_range)))
 
 
 def percent_points(df: DataFrame, column: str, ranges: int) -> list[float]:
     """Approximate cut points, ``ranges - 1`` of them, repeated where one value fills several ranges."""
     shares = [i / ranges for i in range(1, ranges)]
+    if not shares:
+        return []
     points = df.agg(F.percentile_approx(F.col(column).cast("double"), shares, max(1000, 8 * ranges))).first()[0]
     return [float(p) for p in points or []]
 
@@ -49,31 +50,24 @@ def into_ranges(df: DataFrame, column: str, edges: Sequence[float], out: str) ->
 
 
 def running_totals(df: DataFrame, order_by: str, totals: Mapping[str, Column], by: Sequence[str] = (),
-                   descending: bool = False, direct_rows: int = DIRECT_ROWS,
-                   rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+                   descending: bool = False, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """One row per distinct ``(by, order_by)`` with each total and its running sum ``cum_<name>``.
 
-    Rows sharing a value are added up before the shuffle, so a value that holds a third of the
-    table is one row by the time anything is ordered. Nulls in ``order_by`` are left out.
+    Rows sharing a value are added up first, so a value that holds a third of the table is one row by the time anything
+    is ordered, and ranges are cut by distinct values. Nulls in ``order_by`` are left out.
     """
     by = list(by)
-    df = df.where(F.col(order_by).isNotNull())
-    distinct = df.agg(F.approx_count_distinct(F.struct(*by, order_by))).first()[0]
-    collapsed = df.groupBy(*by, order_by).agg(*[F.sum(c).alias(n) for n, c in totals.items()])
-    order = F.col(order_by).desc() if descending else F.col(order_by).asc()
-    upto = (W.unboundedPreceding, W.currentRow)
-    if distinct <= direct_rows:
-        span = W.partitionBy(*by).orderBy(order).rowsBetween(*upto)
-        return collapsed.withColumns({f"cum_{n}": F.sum(n).over(span) for n in totals})
-
-    edges = sorted(set(percent_points(df, order_by, _range_count(distinct, rows_per_range))))
+    rows = df.where(F.col(order_by).isNotNull())
+    collapsed = materialise(rows.groupBy(*by, order_by).agg(*[F.sum(c).alias(n) for n, c in totals.items()]), "collapsed")
+    edges = sorted(set(percent_points(collapsed, order_by, _range_count(collapsed.count(), rows_per_range))))
     ranged = into_ranges(collapsed, order_by, edges, "_range")
     per_range = ranged.groupBy(*by, "_range").agg(*[F.sum(n).alias(f"_sum_{n}") for n in totals])
     range_order = F.col("_range").desc() if descending else F.col("_range").asc()
     earlier = W.partitionBy(*by).orderBy(range_order).rowsBetween(W.unboundedPreceding, -1)
     offsets = per_range.select(
         *by, "_range", *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in totals])
-    within = W.partitionBy(*by, "_range").orderBy(order).rowsBetween(*upto)
+    order = F.col(order_by).desc() if descending else F.col(order_by).asc()
+    within = W.partitionBy(*by, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
     summed = ranged.withColumns({f"_cum_{n}": F.sum(n).over(within) for n in totals})
     return null_safe_join(summed, offsets, [*by, "_range"]).select(
         *by, order_by, *totals,
@@ -81,18 +75,14 @@ def running_totals(df: DataFrame, order_by: str, totals: Mapping[str, Column], b
 
 
 def row_positions(df: DataFrame, score: str, key: str, descending: bool = True, out: str = "position",
-                  direct_rows: int = DIRECT_ROWS, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+                  rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """1-based position of every row in ``score`` order, ties broken by the unique numeric ``key``.
 
     A score that fills several ranges by itself (hard 0/1 scores, for example) is cut
     further along the key, so no task gets more than about one range.
     """
     order = [F.col(score).desc_nulls_last() if descending else F.col(score).asc_nulls_last(), F.col(key).asc()]
-    rows = df.count()
-    if rows <= direct_rows:
-        return df.withColumn(out, F.row_number().over(W.orderBy(*order)).cast("bigint"))
-
-    ranges = _range_count(rows, rows_per_range)
+    ranges = _range_count(df.count(), rows_per_range)
     points = percent_points(df, score, ranges)
     edges = sorted(set(points))
     repeats = Counter(points)
@@ -118,18 +108,15 @@ def row_positions(df: DataFrame, score: str, key: str, descending: bool = True,
     # at most a few rows per range, and the number of ranges is fixed above
     return (cut.withColumn("_rn", F.row_number().over(within))
                .join(F.broadcast(offsets), ["_range", "_part"])
-               .withColumn(out, F.col("_rn") + F.col("_before"))
+               .withColumn(out, (F.col("_rn") + F.col("_before")).cast("bigint"))
                .drop("_range", "_part", "_rn", "_before"))
 
 
 def tiles(df: DataFrame, score: str, key: str, n: int = 10, descending: bool = True, out: str = "bucket",
-          direct_rows: int = DIRECT_ROWS, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+          rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """``ntile(n)`` over the whole table: the first ``rows % n`` tiles get one row more."""
     rows = df.count()
-    if rows <= direct_rows:
-        order = F.col(score).desc_nulls_last() if descending else F.col(score).asc_nulls_last()
-        return df.withColumn(out, F.ntile(n).over(W.orderBy(order, F.col(key).asc())).cast("bigint"))
-    placed = row_positions(df, score, key, descending, "_position", direct_rows, rows_per_range)
+    placed = row_positions(df, score, key, descending, "_position", rows_per_range)
     size, extra = divmod(rows, n)
     zero = F.col("_position") - 1
     tile = F.when(zero < extra * (size + 1), F.floor(zero / (size + 1)) + 1)
@@ -220,9 +207,14 @@ def _bracketed_quantiles(df: DataFrame, qs: list[float], by: list[str], sketch:
     inside = F.col("_v") >= F.get("_lows", F.col("_slot"))
     cells = placed.groupBy(*by, "_rows", "_slot", F.when(inside, F.col("_v")).alias("_v")).agg(
         F.count(F.lit(1)).alias("_n"))
-    upto = W.partitionBy(*by).orderBy("_slot", F.col("_v").asc_nulls_first()).rowsBetween(
-        W.unboundedPreceding, W.currentRow)
-    cells = cells.withColumn("_start", F.sum("_n").over(upto) - F.col("_n")).where(F.col("_v").isNotNull())
+    # offsets of the slots, as many as percentiles; what a slot has outside its bracket comes before the bracket
+    slots = cells.groupBy(*by, "_slot").agg(F.sum("_n").alias("_in_slot"), F.coalesce(
+        F.sum(F.when(F.col("_v").isNull(), F.col("_n"))), F.lit(0)).alias("_outside"))
+    earlier = W.partitionBy(*by).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+    offsets = slots.select(*by, "_slot", (F.coalesce(F.sum("_in_slot").over(earlier), F.lit(0)) + F.col("_outside")).alias("_before"))
+    within = W.partitionBy(*by, "_slot").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inner = cells.where(F.col("_v").isNotNull()).withColumn("_inside", F.sum("_n").over(within) - F.col("_n"))
+    cells = null_safe_join(inner, offsets, [*by, "_slot"]).withColumn("_start", F.col("_inside") + F.col("_before"))
     found = _at_ranks(cells, qs, by).where("_reached").select(*by, "q", "value").collect()
     if len(found) < len(qs) * len(merged):
         return None
@@ -250,8 +242,9 @@ def _at_ranks(cells: DataFrame, qs: Sequence[float], by: Sequence[str]) -> DataF
 
 def _ranged_quantiles(df: DataFrame, qs: Sequence[float], by: Sequence[str], values: int, rows_per_range: int) -> DataFrame:
     """Exact percentiles of any number of groups: count per value range, then order the ranges that matter."""
-    edges = sorted(set(percent_points(df, "_v", _range_count(values, rows_per_range))))
-    collapsed = into_ranges(df.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")), "_v", edges, "_range")
+    counted = materialise(df.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")), "counted")
+    edges = sorted(set(percent_points(counted, "_v", _range_count(values, rows_per_range))))
+    collapsed = into_ranges(counted, "_v", edges, "_range")
     per_range = collapsed.groupBy(*by, "_range").agg(F.sum("_n").alias("_size"))
     group = W.partitionBy(*by)
     upto = group.orderBy("_range").rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -80,3 +80,12 @@ def attendance_features(long: DataFrame, key: str, value: str, standard: float =
     return base.select(key, F.round("_mean", digits).alias("mean_value"), "n_missing",
                        (F.col("_mean") > standard).cast("int").alias("over_time"),
                        (F.col("_mean") < standard).cast("int").alias("short_time"))
+
+
+def attendance_present(present: DataFrame, key: str, value: str, n_days: Column | int, standard: float = 8, digits: int = 4) -> DataFrame:
+    """As ``attendance_features``, from rows of present days only; ``n_days`` is the length of the calendar."""
+    days = n_days if isinstance(n_days, Column) else F.lit(n_days)
+    base = present.groupBy(key).agg(F.avg(value).alias("_mean"), F.count(value).alias("_present"))
+    return base.select(key, F.round("_mean", digits).alias("mean_value"), (days - F.col("_present")).cast("bigint").alias("n_missing"),
+                       (F.col("_mean") > standard).cast("int").alias("over_time"),
+                       (F.col("_mean") < standard).cast("int").alias("short_time"))

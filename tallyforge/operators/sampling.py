@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyforge.operators.joins import null_safe_join, small_table
+from tallyforge.operators.joins import null_safe_join
+from tallyforge.session import materialise
 
 DIGITS = 8
 ROWS_PER_SLICE = 500_000
@@ -36,30 +37,17 @@ def split(df: DataFrame, key: str, ratio: float = 0.7, seed: int = 0, out: str =
     return df.withColumn(out, F.when(chosen, "train").otherwise("test"))
 
 
-def _few_rows(df: DataFrame, limit: int, what: str) -> DataFrame:
-    found = small_table(df, limit)
-    if found is None:
-        raise ValueError(f"more than {limit} {what}")
-    return found
-
-
 def _cutoffs(df: DataFrame, key: str, by: Sequence[str], quota: Column, seed: int,
-             max_strata: int = 10_000, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """Per stratum the hash and key of the last row inside the quota.
+             rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """Per stratum the hash and key of the last row inside the quota; any number of strata.
 
     Rows are counted per stratum and hash slice; only the slice in which the quota ends is ordered. There are as many
-    slices as it takes to keep one at about ``ROWS_PER_SLICE`` rows.
+    slices as it takes to keep one at about ``ROWS_PER_SLICE`` rows, a single one for a small table.
     """
     rows = df.count()
-    hashed = df.select(*by, F.col(key).alias("_key"), key_hash(key, seed).alias("_hash"))
-    if rows <= rows_per_slice:
-        span = W.partitionBy(*by)
-        ranked = hashed.select(*by, "_hash", "_key", F.row_number().over(span.orderBy("_hash", "_key")).alias("_place"),
-                               F.count(F.lit(1)).over(span).alias("_rows")).where(F.col("_place") == quota)
-        return _few_rows(ranked.select(*by, F.col("_hash").alias("_cut_hash"), F.col("_key").alias("_cut_key")),
-                         max_strata, "strata")
     digits = min(MAX_SLICE_DIGITS, -(-(rows // rows_per_slice).bit_length() // 4))
-    hashed = hashed.withColumn("_slice", F.substring("_hash", 1, digits))
+    hashed = df.select(*by, F.col(key).alias("_key"), key_hash(key, seed).alias("_hash"))
+    hashed = hashed.withColumn("_slice", F.substring("_hash", 1, digits) if digits else F.lit(""))
     sizes = hashed.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     group = W.partitionBy(*by)
     upto = group.orderBy("_slice").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -67,13 +55,11 @@ def _cutoffs(df: DataFrame, key: str, by: Sequence[str], quota: Column, seed: in
                         F.sum("_n").over(group).alias("_rows"))
     ends = ends.withColumn("_quota", quota).where(
         (F.col("_quota") > F.col("_before")) & (F.col("_quota") <= F.col("_before") + F.col("_n")))
-    ends = _few_rows(ends.select(*by, "_slice", (F.col("_quota") - F.col("_before")).alias("_rest")),
-                     max_strata, "strata")
-    last = null_safe_join(hashed, ends, [*by, "_slice"], few=True)
-    place = F.row_number().over(group.orderBy("_hash", "_key"))
-    found = last.withColumn("_place", place).where(F.col("_place") == F.col("_rest")).select(
+    ends = ends.select(*by, "_slice", (F.col("_quota") - F.col("_before")).alias("_rest"))
+    last = null_safe_join(hashed, ends, [*by, "_slice"])
+    place = F.row_number().over(W.partitionBy(*by, "_slice").orderBy("_hash", "_key"))
+    return last.withColumn("_place", place).where(F.col("_place") == F.col("_rest")).select(
         *by, F.col("_hash").alias("_cut_hash"), F.col("_key").alias("_cut_key"))
-    return _few_rows(found, max_strata, "strata")
 
 
 def _below_cutoff(df: DataFrame, key: str, seed: int) -> Column:
@@ -82,13 +68,13 @@ def _below_cutoff(df: DataFrame, key: str, seed: int) -> Column:
 
 
 def stratified_split(df: DataFrame, key: str, by: str, ratio: float = 0.7, seed: int = 0, out: str = "part",
-                     max_strata: int = 10_000, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+                     rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Exactly ``floor(ratio * n)`` training rows in every stratum, ``key`` being unique.
 
-    The cut-offs, one row per stratum, are read first and checked to be few; the rows themselves are not shuffled.
+    The cut-offs, one row per stratum, are written and joined; Spark broadcasts them where they are small.
     """
-    found = _cutoffs(df, key, [by], F.floor(F.col("_rows") * F.lit(ratio) + 1e-9), seed, max_strata, rows_per_slice)
-    kept = null_safe_join(df, found, [by], "left", few=True)
+    found = _cutoffs(df, key, [by], F.floor(F.col("_rows") * F.lit(ratio) + 1e-9), seed, rows_per_slice)
+    kept = null_safe_join(df, materialise(found, "cutoffs"), [by], "left")
     chosen = F.coalesce(_below_cutoff(df, key, seed), F.lit(False))
     return kept.withColumn(out, F.when(chosen, "train").otherwise("test")).drop("_cut_hash", "_cut_key")
 

@@ -25,7 +25,7 @@ BLOCK_ROWS = 2048
 MAX_BLOCKS = 10_000
 CELLS = 4_000_000
 CHUNK = 10_000
-NEAR = "vid long, d2 double, n_mult long, n_num array<double>, n_cat array<string>"
+NEAR = "vid long, d2 double, n_vid long, n_mult long, n_num array<double>, n_cat array<string>"
 
 
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
@@ -57,14 +57,14 @@ def _nearest(rows: pd.DataFrame, others: pd.DataFrame, k: int, n_num: int, n_cat
         at = np.repeat(np.arange(len(part)), take)
         chosen = others.iloc[best.ravel()]
         found.append(pd.DataFrame({
-            "vid": vid[at], "d2": d2[at, best.ravel()], "n_mult": chosen["mult"].to_numpy(),
+            "vid": vid[at], "d2": d2[at, best.ravel()], "n_vid": chosen["vid"].to_numpy(), "n_mult": chosen["mult"].to_numpy(),
             "n_num": chosen["num"].to_numpy(), "n_cat": chosen["cat"].to_numpy()}))
     result = pd.concat(found)
     return result[np.isfinite(result["d2"])]
 
 
 def _blocks_within_reach(wide: DataFrame, lows: list[float], highs: list[float]) -> DataFrame:
-    """One row per row and other block whose interval is closer than the row's reach.
+    """One row per row and other block whose interval is as close as the row's reach or closer.
 
     Both lists ascend, so the blocks are a run; its ends are looked up like bin numbers.
     """
@@ -74,11 +74,13 @@ def _blocks_within_reach(wide: DataFrame, lows: list[float], highs: list[float])
         found = into_ranges(df.withColumn("_point", point), "_point", edges, "_slot")
         return found.withColumn(out, F.get(upto, F.col("_slot").cast("int"))).drop("_slot", "_point")
 
-    last = count_upto(wide, F.col("axis") + F.col("reach"), lows, "_last")
-    run = count_upto(last, F.col("axis") - F.col("reach"), highs, "_first").where("_last > _first")
+    # a little wider, for blocks that end just at the reach; the exact test follows
+    slack = F.col("reach") * (1 + 1e-9) + 1e-12
+    last = count_upto(wide, F.col("axis") + slack, lows, "_last")
+    run = count_upto(last, F.col("axis") - slack, highs, "_first").where("_last > _first")
     low, high = (F.lit(v).cast("array<double>") for v in (lows, highs))
     targets = run.withColumn("target", F.explode(F.sequence("_first", F.col("_last") - 1)))
-    closer = (F.get(low, "target") < F.col("axis") + F.col("reach")) & (F.get(high, "target") > F.col("axis") - F.col("reach"))
+    closer = (F.get(low, "target") <= F.col("axis") + slack) & (F.get(high, "target") >= F.col("axis") - slack)
     return targets.where((F.col("target") != F.col("block")) & closer).drop("reach", "axis", "_first", "_last")
 
 
@@ -86,8 +88,8 @@ def nearest_rows(points: DataFrame, n_num: int, n_cat: int, k: int, block_rows:
                  spread_feature: int = 0, **ranking: int) -> DataFrame:
     """The ``k`` nearest other points of each point, as rows of ``NEAR`` plus their order ``place``.
 
-    ``points`` has ``vid`` (unique), ``mult``, ``num`` and ``cat``. Among equally distant
-    points those of the own block come first.
+    ``points`` has ``vid`` (unique), ``mult``, ``num`` and ``cat``. Among equally distant points the smaller ``vid`` comes
+    first, so the blocks make no difference.
     """
     axis = F.get(F.col("num"), F.lit(spread_feature)) if n_num else F.lit(0.0)
     points = points.withColumn("axis", axis)
@@ -117,16 +119,14 @@ def nearest_rows(points: DataFrame, n_num: int, n_cat: int, k: int, block_rows:
         reach = first.groupBy("vid").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("d2"))).otherwise(
             F.lit(float("inf"))).alias("reach"))
         wide = blocks.join(reach, "vid", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
-        asks = _blocks_within_reach(wide.where("reach > 0"), [s["low"] for s in spans], [s["high"] for s in spans])
+        asks = _blocks_within_reach(wide, [s["low"] for s in spans], [s["high"] for s in spans])
         pairs = asks.select("block", "target").distinct()
         targets = blocks.drop("axis").withColumnRenamed("block", "target").join(pairs, "target")
         both = asks.withColumn("asking", F.lit(True)).unionByName(targets.withColumn("asking", F.lit(False)))
         second = both.groupBy("block", "target").applyInPandas(other, NEAR)
-        first = first.withColumn("_round", F.lit(0)).unionByName(second.withColumn("_round", F.lit(1)))
-    else:
-        first = first.withColumn("_round", F.lit(0))
-    order = W.partitionBy("vid").orderBy("d2", "_round", "n_num", "n_cat")
-    return first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("_round")
+        first = first.unionByName(second)
+    order = W.partitionBy("vid").orderBy("d2", "n_vid")
+    return first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("n_vid")
 
 
 def smote(df: DataFrame, label: str, key: str, numeric: Sequence[str], categorical: Sequence[str] = (),

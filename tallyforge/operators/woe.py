@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.bands import cut, cut_labels
 from tallyforge.operators.ranking import quantiles_of
+from tallyforge.session import materialise
 
 
 def bin_columns(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), bins: int = 10,
@@ -66,21 +67,14 @@ def iv_ranking(table: DataFrame, low: float = 0.1, high: float = 0.5, digits: in
     return ranked.withColumn("selected", F.col("iv").between(low, high))
 
 
-def woe_columns(table: DataFrame, bins: dict[str, Column]) -> dict[str, Column]:
-    """Expressions that replace each variable by the weight of its bin.
+def woe_transform(df: DataFrame, table: DataFrame, bins: dict[str, Column]) -> DataFrame:
+    """Add ``<variable>_woe``, the weight of each row's bin, for every variable.
 
-    The table has one row per variable and bin, which is bounded by the number of bins, so it is
-    read to the driver and becomes a literal map; the data rows are not joined or shuffled.
+    Weights are joined one variable after the other; a variable may have any number of bins. Spark broadcasts tables below its
+    threshold, so with ordinary bins no row moves.
     """
-    lookup: dict[str, dict[str, float]] = {v: {} for v in bins}
-    for row in table.collect():
-        lookup[row["variable"]][row["bin"]] = row["woe"]
-    result = {}
-    for v, b in bins.items():
-        pairs = F.create_map(*[F.lit(x) for pair in lookup[v].items() for x in pair])
-        result[f"{v}_woe"] = F.try_element_at(pairs, b)
-    return result
-
-
-def woe_transform(df: DataFrame, table: DataFrame, bins: dict[str, Column]) -> DataFrame:
-    return df.withColumns(woe_columns(table, bins))
+    table = materialise(table.select("variable", "bin", "woe"), "woe-table")
+    for i, (v, b) in enumerate(bins.items()):
+        weights = table.where(F.col("variable") == v).select(F.col("bin").alias(f"_bin_{i}"), F.col("woe").alias(f"{v}_woe"))
+        df = df.withColumn(f"_bin_{i}", b).join(weights, f"_bin_{i}", "left").drop(f"_bin_{i}")
+    return df

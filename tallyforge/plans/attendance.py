@@ -33,6 +33,13 @@ def hours_long(t: Tables) -> DataFrame:
     return reshape.interval_hours(arrivals, departures, "user_id", days)
 
 
+def present_hours(t: Tables) -> DataFrame:
+    """Hours of every day on which a user is present; days of absence have no row."""
+    day = F.date_format("ts", "yyyy-MM-dd").alias("day")
+    spans = t.events.groupBy("user_id", day).agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    return spans.select("user_id", "day", (F.timestamp_diff("SECOND", F.col("first"), F.col("last")) / 3600.0).alias("hours"))
+
+
 @query("daily_hours", f"WITH {SQL_DAYS} SELECT user_id, day, round(hours, 6) AS hours FROM long")
 def daily_hours(t: Tables) -> DataFrame:
     return hours_long(t).select("user_id", "day", F.round("hours", 6).alias("hours"))
@@ -42,13 +49,15 @@ def daily_hours(t: Tables) -> DataFrame:
 WITH {SQL_DAYS} SELECT user_id, round(avg(hours), 8) AS mean_value, count(*) FILTER (WHERE hours IS NULL)::BIGINT AS n_missing,
 (avg(hours) > 8)::INT AS over_time, (avg(hours) < 8)::INT AS short_time FROM long GROUP BY 1""")
 def hours_and_absences(t: Tables) -> DataFrame:
-    return reshape.attendance_features(hours_long(t), "user_id", "hours", standard=8, digits=8)
+    hours = present_hours(t)
+    days = t.events.agg((F.datediff(F.max(F.to_date("ts")), F.min(F.to_date("ts"))) + 1).alias("n")).scalar()
+    return reshape.attendance_present(hours, "user_id", "hours", days, standard=8, digits=8)
 
 
 @query("active_days", f"""
 WITH {SQL_DAYS} SELECT day, count(hours)::BIGINT AS n_present FROM long GROUP BY 1 HAVING count(hours) > 0""")
 def active_days(t: Tables) -> DataFrame:
-    return reshape.active_days(hours_long(t), "day", "hours")
+    return reshape.active_days(present_hours(t), "day", "hours")
 
 
 @query("impute_mode", """

@@ -280,13 +280,12 @@ def roc_auc(t: Tables) -> DataFrame:
     return evaluate.auc(scored(t), "bad", "p_bad")
 
 
-SQL_GAIN = f"""{SQL_BASE}, tiled AS (SELECT bad, p_bad, ntile(10) OVER (ORDER BY p_bad DESC, c_custkey)::BIGINT AS bucket FROM base),
-g AS (SELECT bucket, count(*)::BIGINT AS total, sum(bad)::BIGINT AS totalresp FROM tiled GROUP BY 1),
-c AS (SELECT *, (sum(totalresp) OVER (ORDER BY bucket))::BIGINT AS cumresp, 100 * (sum(totalresp) OVER (ORDER BY bucket))::DOUBLE / sum(totalresp) OVER () AS gn FROM g)"""
-
-
 @query("gain_lift", f"""
-WITH {SQL_GAIN} SELECT bucket, total, totalresp, cumresp, round(gn, 4) AS gain, round(gn / (bucket * 10), 4) AS cumlift FROM c""")
+WITH {SQL_BASE}, tiled AS (SELECT bad, ntile(10) OVER (ORDER BY p_bad DESC, c_custkey)::BIGINT AS tile FROM base)
+SELECT t.tile, count(*) FILTER (b.tile = t.tile)::BIGINT AS rows_in, sum(bad) FILTER (b.tile = t.tile)::BIGINT AS events_in,
+round(sum(bad)::DOUBLE / (SELECT sum(bad) FROM tiled), 4) AS captured,
+round(avg(bad) / (SELECT avg(bad) FROM tiled), 4) AS lift
+FROM (SELECT DISTINCT tile FROM tiled) t JOIN tiled b ON b.tile <= t.tile GROUP BY t.tile""")
 def gain_lift(t: Tables) -> DataFrame:
     return evaluate.gain_lift(scored(t), "bad", "p_bad", "c_custkey", 10)
 
@@ -349,7 +348,7 @@ count(*) FILTER (WHERE score > {SQL_CUT})::BIGINT AS n_accepted,
 count(*) FILTER (WHERE score > {SQL_CUT} AND bad = 1)::BIGINT AS bad_accepted FROM points),
 p AS (SELECT *, (100 * (n_all - bad_all) - 5 * n_all - 1500 * bad_all)::DOUBLE AS profit_without,
 (100 * (n_accepted - bad_accepted) - 5 * n_accepted - 1500 * bad_accepted)::DOUBLE AS profit_with,
-(1500 * (bad_all - bad_accepted))::DOUBLE AS credit_loss_saved FROM c)
+(1500 * (bad_all - bad_accepted))::DOUBLE AS loss_avoided FROM c)
 SELECT *, round(100 * ((profit_with - profit_without) / abs(profit_without)), 4) AS gain_pct FROM p""")
 def profit_impact(t: Tables) -> DataFrame:
     points = evaluate.scorecard(scored(t), "p_bad")

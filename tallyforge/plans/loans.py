@@ -9,11 +9,10 @@ from tallyforge.functions import bands, dates, text
 from tallyforge.operators import aggregates, charts, columns, ranking
 from tallyforge.plans.registry import Tables, query
 
-BANDS = ("Less", "Average", "High", "Very High")
+BANDS = ("q1", "q2", "q3", "q4")
 SQL_BANDED = """q AS (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.5) AS q2,
 quantile_cont(o_totalprice, 0.75) AS q3 FROM orders),
-banded AS (SELECT *, CASE WHEN o_totalprice <= q1 THEN 'Less' WHEN o_totalprice <= q2 THEN 'Average'
-WHEN o_totalprice <= q3 THEN 'High' ELSE 'Very High' END AS band FROM orders, q)"""
+banded AS (SELECT *, 'q' || (1 + (o_totalprice > q1)::INT + (o_totalprice > q2)::INT + (o_totalprice > q3)::INT) AS band FROM orders, q)"""
 
 
 def defaulted() -> Column:

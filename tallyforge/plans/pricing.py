@@ -118,7 +118,7 @@ SELECT round(a, 6) AS r2_train, round(b, 6) AS r2_test, round(a - b, 6) AS gap,
 def r2_gap(t: Tables) -> DataFrame:
     yhat = 100000 + 3 * F.col("o_custkey") + 5000 * F.month("o_orderdate")
     parts = sampling.split(t.orders.withColumn("yhat", yhat), "o_orderkey", 0.7, 5)
-    return evaluate.r2_gap(parts.where("part = 'train'"), parts.where("part = 'test'"), "o_totalprice", "yhat")
+    return evaluate.r2_gap(parts, "o_totalprice", "yhat", F.col("part") == "train")
 
 
 @query("category_price_fit", """

@@ -16,9 +16,7 @@ SQL_REQUESTS = """requests AS (SELECT event_id, ts AS request_at, event_type AS
 CASE WHEN value >= 50 THEN 'Airport' ELSE 'City' END AS pickup,
 CASE WHEN event_type IN ('error', 'signup') THEN NULL ELSE user_id END AS driver_id,
 CASE WHEN event_type = 'purchase' THEN ts + to_seconds(floor(value * 60)::BIGINT) END AS drop_at, value FROM events)"""
-SQL_SLOT = """CASE WHEN hour(request_at) <= 4 THEN 'Mid Night' WHEN hour(request_at) <= 8 THEN 'Early Morning'
-WHEN hour(request_at) <= 12 THEN 'Late Morning' WHEN hour(request_at) <= 16 THEN 'Afternoon'
-WHEN hour(request_at) <= 20 THEN 'Evening' ELSE 'Late Evening' END"""
+SQL_SLOT = f"list_extract({list(dates.DAY_SLOTS)}, greatest((hour(request_at) + 3) // 4, 1))"
 
 
 def requests(t: Tables) -> DataFrame:

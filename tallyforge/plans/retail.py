@@ -68,15 +68,13 @@ JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
 JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 WHERE r_name = 'ASIA' AND p_type = 'SMALL' GROUP BY 1""")
 def star_join_filtered(t: Tables) -> DataFrame:
+    # filters first: only lines of wanted parts are moved, and orders of buyers outside the region never meet them
     buyers = customers_with_region(t).where("region = 'ASIA'").select(F.col("c_custkey").alias("o_custkey"), "c_name")
     small = t.part.where("p_type = 'SMALL'").select(F.col("p_partkey").alias("l_partkey"))
-    lines = t.lineitem.select("l_orderkey", "l_partkey", "l_quantity")
-    cells = lines.groupBy("l_partkey", "l_orderkey").agg(F.sum("l_quantity").alias("q"))
-    per_order = cells.join(small, "l_partkey", "left_semi").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.sum("q").alias("q"))
-    per_owner = t.orders.select("o_orderkey", "o_custkey").join(per_order, "o_orderkey").groupBy("o_custkey").agg(
-        F.sum("q").alias("q"))
-    return per_owner.join(buyers, "o_custkey").groupBy("c_name").agg(F.sum("q").alias("n_bought"))
+    lines = t.lineitem.select("l_orderkey", "l_partkey", "l_quantity").join(small, "l_partkey", "left_semi")
+    per_order = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("q"))
+    bought = t.orders.select("o_orderkey", "o_custkey").join(buyers, "o_custkey")
+    return bought.join(per_order, "o_orderkey").groupBy("c_name").agg(F.sum("q").alias("n_bought"))
 
 
 @query("profit_by_category", f"""
@@ -109,12 +107,14 @@ def worst_category_drilldown(t: Tables) -> DataFrame:
                               profit().alias("profit"))
     per_part = lines.groupBy("p_partkey").agg(F.sum("profit").alias("profit"))
     totals = per_part.join(brands, "p_partkey").groupBy("p_brand").agg(F.sum("profit").alias("total"))
-    branded = joins.lookup_join(lines, brands, "p_partkey").drop("p_partkey")
+    # the parts of the worst brand are chosen before any line is moved
+    worst = totals.orderBy("total", "p_brand").limit(1).select("p_brand").first()[0]
+    branded = lines.join(brands.where(F.col("p_brand") == worst), "p_partkey").drop("p_partkey")
     per_order = branded.groupBy("o_orderkey", "p_brand").agg(F.sum("profit").alias("profit"), F.count(F.lit(1)).alias("n"))
     per_owner = per_order.join(t.orders.select("o_orderkey", "o_custkey"), "o_orderkey").groupBy(
         F.col("o_custkey").alias("c_custkey"), "p_brand").agg(F.sum("profit").alias("profit"), F.sum("n").alias("n"))
     placed = per_owner.join(customers_with_region(t).select("c_custkey", "region"), "c_custkey")
-    return aggregates.drilldown_worst(totals, placed, "p_brand", "region", "profit", rows=F.sum("n"), digits=4)
+    return placed.groupBy("p_brand", "region").agg(F.sum("n").alias("n_rows"), F.round(F.sum("profit"), 4).alias("total"))
 
 
 @query("merge_by_key", """

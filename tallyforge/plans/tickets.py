@@ -30,10 +30,8 @@ def with_time_text(t: Tables) -> DataFrame:
         two((hour + 11) % 12 + 1), two(F.minute("ts")), half).alias("violation_time"))
 
 
-SQL_BIN = """CASE WHEN h BETWEEN 0 AND 3 THEN '0to3' WHEN h BETWEEN 4 AND 7 THEN '4to7' WHEN h BETWEEN 8 AND 11 THEN '8to11'
-WHEN h BETWEEN 12 AND 15 THEN '12to15' WHEN h BETWEEN 16 AND 19 THEN '16to19' WHEN h BETWEEN 20 AND 23 THEN '20to23' END"""
-SQL_SEASON = """CASE WHEN m IN (12, 1, 2) THEN 'winter' WHEN m BETWEEN 3 AND 5 THEN 'spring'
-WHEN m BETWEEN 6 AND 8 THEN 'summer' WHEN m BETWEEN 9 AND 11 THEN 'fall' END"""
+SQL_BIN = f"list_extract({list(dates.TIME_BINS)}, h // 4 + 1)"
+SQL_SEASON = f"list_extract({list(dates.SEASONS)}, m % 12 // 3 + 1)"
 SQL_FY = "(year(o_orderdate) + CASE WHEN month(o_orderdate) >= 10 THEN 1 ELSE 0 END)::BIGINT"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import evaluate
 
-LARGE = {"direct_rows": 0, "rows_per_range": 30}
+LARGE = {"rows_per_range": 30}
 
 
 @pytest.fixture(scope="module")
@@ -63,11 +63,12 @@ def test_sweep_and_cutoff(scored):
 @pytest.mark.parametrize("options", [{}, LARGE], ids=["direct", "ranges"])
 def test_gain_lift(scored, options):
     df, y, p = scored
-    table = [r.asDict() for r in evaluate.gain_lift(df, "y", "p", "id", 10, **options).orderBy("bucket").collect()]
-    order = np.lexsort((np.arange(len(p)), -p))
-    assert [r["total"] for r in table] == [80] * 10
-    assert [r["totalresp"] for r in table] == [int(y[order][i * 80:(i + 1) * 80].sum()) for i in range(10)]
-    assert (table[-1]["gain"], table[-1]["cumlift"], table[-1]["cumresp"]) == (100.0, 1.0, int(y.sum()))
+    table = [r.asDict() for r in evaluate.gain_lift(df, "y", "p", "id", 10, **options).orderBy("tile").collect()]
+    best = y[np.lexsort((np.arange(len(p)), -p))]
+    assert [r["rows_in"] for r in table] == [80] * 10
+    assert [r["events_in"] for r in table] == [int(best[i * 80:(i + 1) * 80].sum()) for i in range(10)]
+    assert [r["captured"] for r in table] == [round(best[:i * 80 + 80].sum() / best.sum(), 4) for i in range(10)]
+    assert [r["lift"] for r in table] == [round(best[:i * 80 + 80].mean() / best.mean(), 4) for i in range(10)]
 
 
 def test_confusion_multi(spark):
@@ -91,7 +92,7 @@ def test_profit(spark):
     cells = spark.createDataFrame([(1, 0, 1805), (0, 0, 23969), (1, 1, 1142), (0, 1, 42951)], "bad int, ok int, n int")
     rows = cells.select("bad", "ok", F.explode(F.sequence(F.lit(1), "n")))
     got = evaluate.profit_impact(rows, F.col("bad") == 1, F.col("ok") == 1).first()
-    assert (got["profit_without"], got["profit_with"], got["credit_loss_saved"]) == (1922165.0, 2361635.0, 2707500.0)
+    assert (got["profit_without"], got["profit_with"], got["loss_avoided"]) == (1922165.0, 2361635.0, 2707500.0)
     assert got["gain_pct"] == pytest.approx(22.8633, abs=1e-3)
 
 
@@ -100,7 +101,7 @@ def test_regression_measures(spark):
     want = np.corrcoef([1, 2, 3], [2, 4, 7])[0, 1] ** 2
     assert evaluate.r2_corr(df, "y", "z").first()[0] == pytest.approx(want, abs=1e-6)
     assert sorted(r["residual"] for r in evaluate.residuals(df, "y", "z").collect()) == [-4.0, -2.0, -1.0]
-    gap = evaluate.r2_gap(df, df, "y", "z").first()
+    gap = evaluate.r2_gap(df.withColumn("t", F.lit(True)).union(df.withColumn("t", F.lit(False))), "y", "z", F.col("t")).first()
     assert (gap["gap"], gap["within_limit"]) == (0.0, True)
     both = evaluate.compare_models({"a": evaluate.r2_corr(df, "y", "z"), "b": evaluate.r2_corr(df, "y", "y")})
     assert {r["model"] for r in both.collect()} == {"a", "b"}

@@ -77,7 +77,7 @@ def test_bands(spark):
     got = column(spark, values, "double", lambda c: bands.bucket(c, [0, 5, 10, 20], ["a", "b", "c"], "rest"))
     assert got == ["a", "a", "b", "rest", "rest", "rest"]
     assert column(spark, [1.0, 2.0, 3.0, 4.0, 5.0, None], "double", lambda c: bands.quartile_band(c, 2, 3, 4)) == [
-        "Less", "Less", "Average", "High", "Very High", None]
+        "q1", "q1", "q2", "q3", "q4", None]
     assert column(spark, ["seed", "angel", "venture", None], "string",
                   lambda c: bands.member_group(c, {"Others": ["seed", "angel"]})) == ["Others", "Others", "venture", None]
     assert column(spark, ["a", None], "string", bands.own_level) == ["a", "NA"]

@@ -120,8 +120,8 @@ def test_stratified_split(spark, rows_per_slice):
     one = sampling.stratified_split(df, "id", "y", 0.7, 5)
     two = sampling.stratified_split(df, "id", "y", 0.7, 5, rows_per_slice=20)
     assert sorted(map(tuple, one.select("id", "part").collect())) == sorted(map(tuple, two.select("id", "part").collect()))
-    with pytest.raises(ValueError):
-        sampling.stratified_split(df, "id", "y", max_strata=1)
+    many = sampling.stratified_split(spark.range(1200), "id", "id", 1.0)
+    assert many.where("part = 'train'").count() == 1200  # a stratum for every row
 
 
 @pytest.mark.parametrize("n", [0, 1, 37, 500, 900])

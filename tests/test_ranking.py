@@ -1,4 +1,4 @@
-"""Both ways of every ranking operator, against plain Python."""
+"""Every ranking operator with one range and with many, against plain Python."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import ranking
 
-LARGE = {"direct_rows": 0, "rows_per_range": 40}
-WAYS = pytest.mark.parametrize("options", [{}, LARGE], ids=["direct", "ranges"])
+LARGE = {"rows_per_range": 40}
+WAYS = pytest.mark.parametrize("options", [{}, LARGE], ids=["one range", "ranges"])
 
 
 @pytest.fixture(scope="module")
@@ -50,7 +50,7 @@ def test_hot_score_is_spread(spark):
     df = spark.range(4000).withColumn("score", F.lit(1.0))
     edges = ranking.percent_points(df, "score", 50)
     assert len(set(edges)) == 1 and len(edges) == 49
-    plan = ranking.row_positions(df, "score", "id", direct_rows=0, rows_per_range=80)
+    plan = ranking.row_positions(df, "score", "id", rows_per_range=80)
     assert plan.select(F.max("position")).first()[0] == 4000
 
 
@@ -83,7 +83,7 @@ def test_running_totals(table, options, by, descending):
     assert len(got) == len({(d[1], d[2] if by else 0) for d in data if d[1] is not None})
 
 
-@pytest.mark.parametrize("options", [{}, {"direct_rows": 0}, {**LARGE, "max_groups": 0}], ids=["direct", "brackets", "ranges"])
+@pytest.mark.parametrize("options", [{}, {"direct_rows": 0}, {**LARGE, "direct_rows": 0, "max_groups": 0}], ids=["direct", "brackets", "ranges"])
 @pytest.mark.parametrize("by", [[], ["grp"]])
 def test_quantile_table(table, options, by):
     df, data = table
@@ -100,7 +100,7 @@ def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert ranking.quantiles(df, "x", [0.5]) == [None]
     assert ranking.quantiles(df, "x", [0.5], direct_rows=0) == [None]
-    assert ranking.quantiles(df, "x", [0.5], max_groups=0, **LARGE) == [None]
+    assert ranking.quantiles(df, "x", [0.5], direct_rows=0, max_groups=0, **LARGE) == [None]
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -123,3 +123,14 @@ def test_brackets_on_many_values(spark):
     assert ranking.quantiles(df, "x", qs, direct_rows=0) == pytest.approx(list(np.quantile(x, qs)), abs=1e-12)
     for row in ranking.quantile_table(df, "x", qs, ["g"], direct_rows=0).collect():
         assert row["value"] == pytest.approx(np.quantile(x[np.arange(len(x)) % 3 == row["g"]], row["q"]), abs=1e-12)
+
+
+def test_hot_value_does_not_join_the_others(spark):
+    """95 % of all rows have one score; the ranges of the other, distinct scores stay even."""
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 20 < 19, 0.0).otherwise(F.col("id") / 7.0).alias("score"))
+    values = df.groupBy("score").count()
+    edges = sorted(set(ranking.percent_points(values, "score", 20)))
+    sizes = [r["count"] for r in ranking.into_ranges(values, "score", edges, "r").groupBy("r").count().collect()]
+    assert len(sizes) >= 19 and max(sizes) <= 2 * 1001 / 20
+    totals = ranking.running_totals(df, "score", {"n": F.lit(1)}, rows_per_range=50)
+    assert totals.agg(F.max("cum_n")).first()[0] == 20_000
