@@ -47,8 +47,18 @@ def _floats(values: Sequence) -> list[float]:
     return [float(v) for v in values]
 
 
+def complete(df: DataFrame, xs: Sequence[str]) -> DataFrame:
+    """Rows without a missing predictor: what models are fitted on. Scoring returns all rows, incomplete ones with null."""
+    return df.dropna(subset=list(xs))
+
+
+def assembler(xs: Sequence[str], out: str = FEATURES) -> VectorAssembler:
+    return VectorAssembler(inputCols=list(xs), outputCol=out, handleInvalid="keep")
+
+
 def with_features(df: DataFrame, xs: Sequence[str], out: str = FEATURES) -> DataFrame:
-    return VectorAssembler(inputCols=list(xs), outputCol=out, handleInvalid="skip").transform(df)
+    """Complete rows with their predictors as one vector."""
+    return assembler(xs, out).transform(complete(df, xs))
 
 
 def array_features(df: DataFrame, column: str, out: str = FEATURES) -> DataFrame:
@@ -156,13 +166,21 @@ def _beta_fraction(x: float, a: float, b: float) -> float:
 
 
 def fit_logit(df: DataFrame, y: str, xs: Sequence[str], max_iter: int = 25) -> LinearFit:
-    """Binomial logistic regression by reweighted least squares, with AIC."""
-    data = with_features(df.select(F.col(y).cast("double").alias(y), *xs), xs)
-    model = GeneralizedLinearRegression(labelCol=y, featuresCol=FEATURES, family="binomial", link="logit",
-                                        maxIter=max_iter).fit(data)
-    s = model.summary
-    return LinearFit("logit", list(xs), _floats([*model.coefficients, model.intercept]), _floats(s.coefficientStandardErrors),
-                     _floats(s.pValues), {"aic": s.aic, "deviance": s.deviance})
+    """Binomial logistic regression by reweighted least squares, with AIC and whether it converged.
+
+    Equal rows are counted first and weigh as many, so each pass reads distinct rows only.
+    """
+    rows = complete(df.select(F.col(y).cast("double").alias(y), *xs), [y, *xs])
+    counted = assembler(xs).transform(rows.groupBy(y, *xs).agg(F.count(F.lit(1)).cast("double").alias("_weight")))
+    held = counted.select(y, "_weight", FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = GeneralizedLinearRegression(labelCol=y, featuresCol=FEATURES, weightCol="_weight", family="binomial", link="logit",
+                                            maxIter=max_iter).fit(held)
+        s = model.summary
+        return LinearFit("logit", list(xs), _floats([*model.coefficients, model.intercept]), _floats(s.coefficientStandardErrors),
+                         _floats(s.pValues), {"aic": s.aic, "deviance": s.deviance, "converged": float(s.numIterations < max_iter)})
+    finally:
+        held.unpersist()
 
 
 def linear_score(fit: LinearFit) -> Column:
@@ -174,11 +192,15 @@ def linear_score(fit: LinearFit) -> Column:
 
 
 def score(model: Model, df: DataFrame, out: str = "p", positive: int = 1) -> DataFrame:
-    """Class probability of the positive class and predicted class."""
+    """Class probability of the positive class and predicted class; every row of ``df`` comes back, null where a predictor is."""
     scored = model.transform(df)
+    first = model.stages[0] if hasattr(model, "stages") else None
+    known = F.lit(True)
+    for x in first.getInputCols() if isinstance(first, VectorAssembler) else []:
+        known = known & F.col(x).isNotNull()
     if "probability" in scored.columns:
-        scored = scored.withColumn(out, F.get(vector_to_array("probability"), F.lit(positive)))
-    return scored
+        scored = scored.withColumn(out, F.when(known, F.get(vector_to_array("probability"), F.lit(positive))))
+    return scored.withColumn("prediction", F.when(known, F.col("prediction")))
 
 
 def vif_values(moments: Gram, xs: Sequence[str]) -> dict[str, float]:
@@ -279,14 +301,14 @@ def fit_tree(df: DataFrame, y: str, xs: Sequence[str], min_leaf: int = 10, min_g
              seed: int = 100) -> Model:
     tree = DecisionTreeClassifier(labelCol=y, featuresCol=FEATURES, minInstancesPerNode=min_leaf, minInfoGain=min_gain,
                                   maxDepth=max_depth, seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(xs), outputCol=FEATURES, handleInvalid="skip"), tree]).fit(df)
+    return Pipeline(stages=[assembler(xs), tree]).fit(complete(df, [y, *xs]))
 
 
 def fit_forest(df: DataFrame, y: str, xs: Sequence[str], trees: int = 50, per_split: int = 5, max_depth: int = 5,
                seed: int = 100) -> Model:
     forest = RandomForestClassifier(labelCol=y, featuresCol=FEATURES, numTrees=trees, maxDepth=max_depth, seed=seed,
                                     featureSubsetStrategy=str(min(per_split, len(xs))))
-    return Pipeline(stages=[VectorAssembler(inputCols=list(xs), outputCol=FEATURES, handleInvalid="skip"), forest]).fit(df)
+    return Pipeline(stages=[assembler(xs), forest]).fit(complete(df, [y, *xs]))
 
 
 def importances(model: Model, xs: Sequence[str], df: DataFrame, digits: int = 6) -> DataFrame:

@@ -132,3 +132,20 @@ def test_grid_search_and_classes(spark):
     svm = models.svm(two.count(), max_iter=5)
     _, table = models.grid_search(svm, {svm.regParam: [0.001, 0.1]}, two, models.accuracy(), folds=2)
     assert [set(r) for r in table] == [{"regParam", "metric"}] * 2 and all(r["metric"] > 0.9 for r in table)
+
+
+def test_scoring_keeps_incomplete_rows(spark):
+    rows = [(float(i % 2), float(i), None if i % 5 == 0 else float(i % 7)) for i in range(100)]
+    df = spark.createDataFrame(rows, "y double, a double, b double")
+    scored = models.score(models.fit_tree(df, "y", ["a", "b"]), df)
+    assert scored.count() == 100 and scored.where("p is null").count() == scored.where("b is null").count() == 20
+    assert scored.where("b is null and prediction is not null").count() == 0
+
+
+def test_logit_counts_equal_rows(spark):
+    rows = [(1, 0.0)] * 30 + [(0, 0.0)] * 10 + [(1, 1.0)] * 5 + [(0, 1.0)] * 15 + [(1, None)]
+    fit = models.fit_logit(spark.createDataFrame(rows, "y int, x double"), "y", ["x"])
+    assert fit.coefficients[1] == pytest.approx(np.log(3), abs=1e-5)
+    assert fit.coefficients[0] == pytest.approx(np.log(1 / 3) - np.log(3), abs=1e-5)
+    likelihood = 30 * np.log(.75) + 10 * np.log(.25) + 5 * np.log(.25) + 15 * np.log(.75)
+    assert fit.measures["aic"] == pytest.approx(4 - 2 * likelihood, abs=1e-5) and fit.measures["converged"]
