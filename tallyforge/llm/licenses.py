@@ -39,10 +39,9 @@ TEMPLATES = (
 )
 
 
-def words(text: Column) -> Column:
-    """Words of a text in lower case, with everything but letters and digits taken for space."""
-    plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+def normal(text: Column) -> Column:
+    """A text in lower case, with everything but letters and digits taken for space, and single spaces."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
 def bigrams(found: Column) -> Column:
@@ -51,32 +50,41 @@ def bigrams(found: Column) -> Column:
     return F.when(F.size(found) > 1, pairs).otherwise(found)
 
 
-def n_bigrams(found: Column) -> Column:
-    return F.when(F.size(found) > 1, F.size(found) - 1).otherwise(F.size(found))
+def n_bigrams(plain: Column) -> Column:
+    """Number of bigrams of a normal text: its spaces, or 1 for a single word."""
+    return F.greatest(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))), F.lit(1))
 
 
-def pieces(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, unit, number, piece``: lines, paragraphs of several lines, texts of several paragraphs; numbers from 1."""
-    def numbered(unit: str, parts: Column, keep) -> Column:
-        return F.filter(F.transform(parts, lambda x, i: F.struct(F.lit(unit).alias("unit"), (i + 1).alias("number"), x.alias("piece"))),
-                        lambda s: keep(s["piece"]))
+def pieces(docs: DataFrame, low: float, high: float) -> DataFrame:
+    """``row, doc_id, unit, number, plain, n``: lines, paragraphs of several lines, texts of several paragraphs, in normal form; numbers
+    from 1. Only those of ``low`` to ``high`` bigrams.
 
+    Every line is brought to normal form once; that of a single paragraph and of the whole text is that of its lines.
+    """
     text = F.coalesce("text", F.lit(""))
-    blank = r"\n[ \t]*\n"
-    paragraphs = F.split(text, blank, -1)
-    found = F.concat(numbered("line", F.split(text, "\n", -1), lambda p: F.length(p) > 0),
-                     numbered("paragraph", paragraphs, lambda p: F.contains(p, F.lit("\n"))),
-                     numbered("text", F.when(F.size(paragraphs) > 1, F.array(text)).otherwise(F.array().cast("array<string>")),
-                              lambda p: F.lit(True)))
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").select(
-        "row", "doc_id", F.explode(found).alias("part")).select("row", "doc_id", "part.*")
+    parted = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.transform(F.split(text, "\n", -1), normal).alias("lines"),
+                         F.split(text, r"\n[ \t]*\n", -1).alias("paragraphs"))
+
+    def numbered(unit: str, parts: Column) -> Column:
+        sized = F.transform(parts, lambda x, i: F.struct(F.lit(unit).alias("unit"), (i + 1).alias("number"), x.alias("plain"),
+                                                         n_bigrams(x).alias("n")))
+        return F.filter(sized, lambda s: (s["plain"] != "") & (s["n"] >= low) & (s["n"] <= high))
+
+    none = F.array().cast("array<string>")
+    joined = F.array(F.array_join(F.filter("lines", lambda x: x != ""), " "))
+    several = F.transform("paragraphs", lambda p: F.when(F.contains(p, F.lit("\n")), normal(p)).otherwise(F.lit("")))
+    one = F.size("paragraphs") == 1
+    found = F.concat(numbered("line", F.col("lines")),
+                     numbered("paragraph", F.when(one & (F.size("lines") > 1), joined).when(one, none).otherwise(several)),
+                     numbered("text", F.when(one, none).otherwise(joined)))
+    return parted.select("row", "doc_id", F.explode(found).alias("part")).select("row", "doc_id", "part.*")
 
 
 def templates(spark: SparkSession, texts: tuple[tuple[str, str], ...]) -> DataFrame:
     """``template, license, size, bigram, times``: the bigrams of a fixed list of notices."""
     table = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(texts)], "template int, license string, text string")
-    found = table.select("template", "license", words(F.col("text")).alias("words")).select(
-        "template", "license", n_bigrams(F.col("words")).alias("size"), F.explode(bigrams(F.col("words"))).alias("bigram"))
+    found = table.select("template", "license", normal(F.col("text")).alias("plain")).select(
+        "template", "license", n_bigrams(F.col("plain")).alias("size"), F.explode(bigrams(F.split("plain", " "))).alias("bigram"))
     return found.groupBy("template", "license", "size", "bigram").agg(F.count("*").alias("times"))
 
 
@@ -90,8 +98,8 @@ def scan(docs: DataFrame, texts: tuple[tuple[str, str], ...] = TEMPLATES, thresh
     sizes = [len(_words(t)) for _, t in texts]
     sizes = [max(n - 1, min(n, 1)) for n in sizes]
     low, high = min(sizes) * threshold / (2 - threshold), max(sizes) * (2 - threshold) / threshold
-    sized = pieces(docs.select("doc_id", "text")).withColumn("words", words(F.col("piece"))).withColumn("n", n_bigrams(F.col("words")))
-    open_ = sized.where((F.col("n") >= low) & (F.col("n") <= high)).select(
+    open_ = pieces(docs.select("doc_id", "text"), low, high).select(
+        "row", "doc_id", "unit", "number", "n", F.split("plain", " ").alias("words")).select(
         "row", "doc_id", "unit", "number", "n", F.explode(bigrams(F.col("words"))).alias("bigram"))
     bound = 2 * F.least(F.col("n"), F.col("size")) >= threshold * (F.col("n") + F.col("size"))
     shared = open_.join(least, "bigram").where(bound).groupBy(
@@ -105,5 +113,5 @@ def scan(docs: DataFrame, texts: tuple[tuple[str, str], ...] = TEMPLATES, thresh
 
 
 def _words(text: str) -> list[str]:
-    """Words of a template, as ``words`` has them."""
+    """Words of a template in normal form."""
     return "".join(c if c.isalnum() else " " for c in text.lower()).split()
