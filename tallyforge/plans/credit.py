@@ -418,3 +418,73 @@ def logit_step_path(t: Tables) -> DataFrame:
     path = models.step_aic(rows, "bad", ["n_orders", "avg_total", "max_total"], "logit")
     rows = [(p["step"], p["action"], p["term"], round(p["aic"], 4)) for p in path]
     return t.spark.createDataFrame(rows, "step int, action string, term string, aic double")
+
+
+# --- from a fitted score to decisions, and the rows without an outcome ----------------------------------------------
+
+CUTOFFS = [round(0.40 + 0.004 * i, 3) for i in range(51)]
+SQL_FITTED = f"""known AS (SELECT o_orderkey, o_orderpriority AS code, (o_orderstatus = 'F')::INT AS bad,
+left(md5(o_orderkey::VARCHAR || ':11'), 8) < '{sampling.share_of_hashes(0.7)}' AS train FROM orders WHERE o_orderstatus <> 'P'),
+rates AS (SELECT code, avg(bad) AS p FROM known WHERE train GROUP BY 1),
+held AS (SELECT bad, p FROM known JOIN rates USING (code) WHERE NOT train),
+sweep AS (SELECT c AS cutoff, round(sum(bad) FILTER (p >= c)::DOUBLE / sum(bad), 6) AS sensitivity,
+  round(sum(1 - bad) FILTER (p < c)::DOUBLE / sum(1 - bad), 6) AS specificity,
+  round(avg(((p >= c)::INT = bad)::INT), 6) AS accuracy
+  FROM held, (SELECT unnest({CUTOFFS})::DOUBLE AS c) GROUP BY c),
+best AS (SELECT cutoff, coalesce(sensitivity, 0) AS sensitivity, coalesce(specificity, 0) AS specificity, accuracy FROM sweep
+  ORDER BY round(abs(coalesce(sensitivity, 0) - coalesce(specificity, 0)), 9), cutoff LIMIT 1)"""
+
+
+def fitted_on_known(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Training and held-out rows with an outcome, and rows without, each with the fitted chance ``p`` of the bad outcome.
+
+    One dummy per code makes the fit a saturated one, whose values are the event rates of the codes.
+    """
+    rows = t.orders.select("o_orderkey", "o_orderstatus", F.col("o_orderpriority").alias("code"))
+    coded = prep.dummies(rows.withColumn("kind", F.col("code")), ["kind"])
+    xs = [c for c in coded.columns if c.startswith("kind_")]
+    parts = sampling.split(coded.withColumn("bad", (F.col("o_orderstatus") == "F").cast("int")), "o_orderkey", 0.7, 11)
+    known = parts.where("o_orderstatus <> 'P'")
+    scored_by = models.linear_score(models.fit_logit(known.where("part = 'train'"), "bad", xs))
+    return tuple(df.withColumn("p", scored_by) for df in (
+        known.where("part = 'train'"), known.where("part = 'test'"), parts.where("o_orderstatus = 'P'")))
+
+
+def fitted_cutoff(held: DataFrame) -> DataFrame:
+    return evaluate.best_cutoff(evaluate.threshold_sweep(held, "bad", "p", CUTOFFS))
+
+
+@query("fitted_score_cutoff", f"WITH {SQL_FITTED} SELECT * FROM best")
+def fitted_score_cutoff(t: Tables) -> DataFrame:
+    """The cut-off of a fitted score on held-out rows, and what it reaches there."""
+    _, held, _ = fitted_on_known(t)
+    return fitted_cutoff(held)
+
+
+@query("fitted_score_profit", f"""
+WITH {SQL_FITTED}, d AS (SELECT bad, p < (SELECT cutoff FROM best) AS taken FROM held),
+c AS (SELECT count(*)::BIGINT AS n_all, sum(bad)::BIGINT AS bad_all, count(*) FILTER (taken)::BIGINT AS n_accepted,
+count(*) FILTER (taken AND bad = 1)::BIGINT AS bad_accepted FROM d),
+q AS (SELECT *, (100 * (n_all - bad_all) - 5 * n_all - 1500 * bad_all)::DOUBLE AS profit_without,
+(100 * (n_accepted - bad_accepted) - 5 * n_accepted - 1500 * bad_accepted)::DOUBLE AS profit_with,
+(1500 * (bad_all - bad_accepted))::DOUBLE AS loss_avoided FROM c)
+SELECT *, round(100 * ((profit_with - profit_without) / abs(profit_without)), 4) AS gain_pct FROM q""")
+def fitted_score_profit(t: Tables) -> DataFrame:
+    """Score card points of the held-out rows, decisions at the cut-off found there, and the profit of both."""
+    _, held, _ = fitted_on_known(t)
+    limit = evaluate.points_at(fitted_cutoff(held).first()["cutoff"])
+    return evaluate.profit_impact(evaluate.scorecard(held, "p"), F.col("bad") == 1, F.col("score") > limit)
+
+
+@query("unlabelled_scores", f"""
+WITH {SQL_FITTED}, everyone AS (SELECT 'known' AS population, p FROM held
+UNION ALL SELECT 'unknown', p FROM (SELECT o_orderpriority AS code FROM orders WHERE o_orderstatus = 'P') JOIN rates USING (code))
+SELECT population, CASE WHEN p < (SELECT cutoff FROM best) THEN 'accept' ELSE 'reject' END AS decision, count(*)::BIGINT AS n_rows,
+round(avg(400 - 20 / ln(2) * ln(10) + 20 / ln(2) * ln((1 - p) / p)), 3) AS mean_score FROM everyone GROUP BY ALL""")
+def unlabelled_scores(t: Tables) -> DataFrame:
+    """Held-out rows and rows without an outcome under the same model, score card and cut-off."""
+    _, held, unknown = fitted_on_known(t)
+    limit = evaluate.points_at(fitted_cutoff(held).first()["cutoff"])
+    both = held.select(F.lit("known").alias("population"), "p").unionByName(unknown.select(F.lit("unknown").alias("population"), "p"))
+    decided = evaluate.decide(evaluate.scorecard(both, "p"), limit)
+    return decided.groupBy("population", "decision").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("score"), 3).alias("mean_score"))
