@@ -365,7 +365,8 @@ def train_test(t: Tables) -> tuple[DataFrame, DataFrame]:
     rows = applicants(t).fillna(0.0, ["avg_total", "max_total"]).select("c_custkey", "bad", *PREDICTORS)
     rows = materialise(rows, "applicants")
     parts = materialise(sampling.stratified_split(rows, "c_custkey", "bad", 0.7, 3), "parts")
-    train = smote(parts.where("part = 'train'"), "bad", "c_custkey", PREDICTORS, over=200, under=150, seed=3, minority=1)
+    train = smote(parts.where("part = 'train'"), "bad", "c_custkey", PREDICTORS[:-1], PREDICTORS[-1:], over=200, under=150, seed=3,
+                  minority=1)
     return materialise(train, "train"), parts.where("part = 'test'").drop("part")
 
 
