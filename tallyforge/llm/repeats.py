@@ -103,7 +103,8 @@ def _unpacked(table: pa.Table, **kinds: type) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(x for x in table.column(c).to_pylist() if x is not None), k) for c, k in kinds.items()]
 
 
-MARKS = "kind int, part bigint, hash binary, doc binary, row binary, start binary, many binary"
+MARKS = ("kind int, part bigint, hash binary, low binary, high binary, many binary, doc binary, row binary, times binary, "
+         "start binary")
 KNOWN, ASKED = 0, 1
 
 
@@ -122,21 +123,34 @@ def _mark(parts: int):
                     found.append((h, text + a + at, start - (cut - cut[0])[text]))
                 h, text, start = (np.concatenate(x) for x in zip(*found))
                 order = np.lexsort((docs[text], h))
-                h, text, start = h[order], text[order], start[order]
-                first, doc = _runs(h), docs[text]
-                many = _spread(first, doc[first] != doc[np.append(first[1:], len(h)) - 1], len(h)) if len(h) else np.zeros(0, bool)
-                head = np.zeros(len(h), bool)
-                head[first] = True
+                first, doc = _runs(h[order]), docs[text[order]]
+                many, head = np.zeros(len(h), bool), np.zeros(len(h), bool)
+                if len(h):
+                    many[order] = _spread(first, doc[first] != doc[np.append(first[1:], len(h)) - 1], len(h))
+                head[order[first]] = True
                 ask = ~many | head
-                out = [r | {"kind": ASKED} for r in _dealt((h[ask] % np.uint64(parts)).astype(np.int64), {
-                    "hash": (h[ask] >> np.uint64(32)).astype(np.uint32), "doc": doc[ask], "row": rows[text[ask]],
-                    "start": start[ask].astype(np.uint32), "many": many[ask]})]
+                out = list(_asked(h[ask], docs, rows, text[ask], start[ask], many[ask], parts))
                 own = rows[text[many]]
                 out += [r | {"kind": KNOWN} for r in _dealt(own % parts, {"row": own, "start": start[many].astype(np.uint32)})]
                 yield _batch(out, MARKS)
     return mark
 
 
+def _asked(h: np.ndarray, docs: np.ndarray, rows: np.ndarray, text: np.ndarray, start: np.ndarray, many: np.ndarray,
+           parts: int) -> Iterator[dict]:
+    """Anchors by part, in order of texts: ids once per text, and positions as halves, of which the upper one is mostly 0."""
+    part = (h % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part, text = part[order], text[order]
+    run = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (text[1:] != text[:-1])])[:len(part)])
+    ids = _dealt(part[run], {"doc": docs[text[run]], "row": rows[text[run]],
+                             "times": np.diff(np.append(run, len(part))).astype(np.uint32)})
+    anchors_of = _dealt(part, {"hash": (h >> np.uint64(32)).astype(np.uint32)[order], "low": (start & 0xFFFF).astype(np.uint16)[order],
+                               "high": (start >> 16).astype(np.uint16)[order], "many": many[order]})
+    for a, b in zip(anchors_of, ids):
+        yield a | b | {"kind": ASKED}
+
+
 SHARED = "part bigint, row binary, start binary"
 
 
@@ -146,13 +160,16 @@ def _match(parts: int):
         kind = table.column("kind").to_numpy()
         known, asked = table.filter(pa.array(kind == KNOWN)), table.filter(pa.array(kind == ASKED))
         out = known.select(["part", "row", "start"]).to_pylist()
-        h, doc, row, start, many = _unpacked(asked, hash=np.uint32, doc=np.int64, row=np.int64, start=np.uint32, many=bool)
+        h, low, high, many = _unpacked(asked, hash=np.uint32, low=np.uint16, high=np.uint16, many=bool)
+        doc, row, times = _unpacked(asked, doc=np.int64, row=np.int64, times=np.uint32)
+        doc, row, start = np.repeat(doc, times), np.repeat(row, times), low.astype(np.uint32) | high.astype(np.uint32) << np.uint32(16)
         if len(h):
             order = np.lexsort((doc, h))
             h, doc, row, start, many = h[order], doc[order], row[order], start[order], many[order]
             first = _runs(h)
             shared = (doc[first] != doc[np.append(first[1:], len(h)) - 1]) | np.logical_or.reduceat(many, first)
-            keep = _spread(first, shared, len(h))
+            keep = np.flatnonzero(_spread(first, shared, len(h)))
+            keep = keep[np.lexsort((start[keep], row[keep]))]
             out += _dealt(row[keep] % parts, {"row": row[keep], "start": start[keep]})
         return pa.Table.from_batches([_batch(out, SHARED)])
     return match
@@ -291,6 +308,8 @@ def _longest(parts: int):
                 begins.append(start[some][who] + place)
                 ends.append(start[some][who] + place + LENGTH)
             row, begin, end = (np.concatenate(x) for x in (rows, begins, ends))
+            order = np.lexsort((begin, row))
+            row, begin, end = row[order], begin[order], end[order]
             out += _dealt(row % parts, {"row": row, "start": begin.astype(np.uint32), "stop": end.astype(np.uint32)})
         return pa.Table.from_batches([_batch(out, FOUND)])
     return longest
