@@ -203,6 +203,24 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
                         _one_line(F.base64("edited_cells")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
-@query("op4_exact_repeats", "documents")
+SQL_REPEATS = """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, length(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents),
+windows AS MATERIALIZED (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS g
+  FROM (SELECT doc_id, h, unnest(range(greatest(n - 49, 0))) AS p FROM texts)),
+firsts AS (SELECT g, min(doc_id) AS first FROM windows GROUP BY g),
+hits AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS gap
+  FROM windows JOIN firsts USING (g) WHERE first < doc_id),
+runs AS (SELECT doc_id, p, sum((coalesce(gap, 51) > 50)::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM hits),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM runs GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, list(a ORDER BY a) AS aa, list(b ORDER BY a) AS bb FROM spans GROUP BY doc_id),
+marked AS (SELECT doc_id, h, n, list_append(coalesce(aa, []::BIGINT[]), n) AS stops, list_prepend(0, coalesce(bb, []::BIGINT[])) AS begins
+  FROM texts LEFT JOIN cuts USING (doc_id)),
+kept AS (SELECT doc_id, n, len(stops) - 1 AS n_spans, array_to_string(list_transform(range(1, len(stops) + 1),
+  lambda i: substr(h, 2 * begins[i] + 1, 2 * (stops[i] - begins[i]))), '') AS k FROM marked)
+SELECT doc_id, n::BIGINT AS n_bytes, (n - length(k) // 2)::BIGINT AS n_removed, n_spans::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM kept"""
+
+
+@query("op4_exact_repeats", "documents", SQL_REPEATS)
 def exact_repeats(docs: DataFrame) -> DataFrame:
     return repeats.remove_repeats(docs.select("doc_id", "text"), keep_bytes=False).drop("kept")
