@@ -33,7 +33,7 @@ LENGTH, GRAM = 50, 20
 SIDE = LENGTH - GRAM
 WIDTH = SIDE + 1
 #: Bytes of text per part of anchors, windows or texts.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 #: Windows worked on at once; positions take 24 bits of a key.
 PIECE = 1 << 23
 BYTES = stream(3, 256)
