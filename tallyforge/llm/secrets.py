@@ -35,9 +35,19 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", r"[0-9a-f]{16,}"),
 )
+# A key is all from its header to its END line; nothing between may have five dashes. Where END is missing it is what follows of
+# header fields and base64 lines, breaks in plain or escaped form, and a last short line. Lines of 64 and 76 may be many, as units of
+# one length are matched without recursion; of other lines of at least 16 there may be 248, more than any key has.
+_BREAK = r"(?:[ \t\r\n]|\\[nr]){1,8}"
+_FIELDS = rf"(?:{_BREAK}[A-Z][A-Za-z]{{1,20}}-[A-Z][A-Za-z]{{1,20}}: ?[^\r\n\\]*){{0,4}}"
+_BASE64 = "[A-Za-z0-9+/=]"
+_LINES = "".join(rf"(?:{end}{_BASE64}{{{width}}})*" for width in (76, 64) for end in (r"\n", r"\r\n", r"\\n"))
+_KEY = (rf"-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY-----(?:[^-]*(?:-{{1,4}}[^-]+){{0,100}}-----END [A-Z ]{{0,20}}PRIVATE KEY-----"
+        rf"|{_FIELDS}(?:{_BASE64}{{16,}})?{_LINES}" + rf"(?:{_BREAK}{_BASE64}{{16,}}){{0,62}}" * 4
+        + rf"(?:{_BREAK}[A-Za-z0-9+/]+={{0,2}}(?:[\r\n]|$))?)")
 # Published token shapes of common services.
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("private_key", _KEY),
     Rule("github", r"gh[opsur]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abopsr]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),

@@ -109,3 +109,25 @@ def test_hash_of_spans(frame):
     listed = secrets.scan(frame([(1, text)])).select(secrets.listed(F.col("spans")).alias("s")).first().s
     assert hashlib.sha256(listed.encode()).hexdigest() == hashlib.sha256(
         ",".join(f"{k}:{a}:{b}" for a, _, b, k in by_hand(text)).encode()).hexdigest()
+
+
+def test_whole_private_keys_go(frame):
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    lines = [hashlib.sha512(bytes([i])).hexdigest().upper()[:64] for i in range(30)] + ["Qx/+Zw=="]
+    body, fields = "\n".join(lines), "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011AA\n\n"
+    mark = "[secret]"
+    cases = [(f"see\n{begin}\n{body}\n{end}\nand more", f"see\n{mark}\nand more"),
+             (f"{begin}\r\n{body}\r\n{end}", mark),
+             (f"{begin}\n{fields}{body}\n{end}\n", f"{mark}\n"),
+             (f'k = "{begin}' + r"\n" + r"\n".join(lines) + r"\n" + f'{end}"', f'k = "{mark}"'),
+             (f"# {begin}\n# " + "\n# ".join(lines) + f"\n# {end}", f"# {mark}"),
+             (f"{begin}\n{body}\nand then prose - with dashes", f"{mark}and then prose - with dashes"),
+             (f"{begin}\n{fields}{body}", mark),
+             (f"{begin}\n{lines[0]}\n{begin}\n{body}\n{end} x", f"{mark}\n{mark} x"),
+             (f"{begin}\nsome words only", f"{mark}\nsome words only"),
+             (f"{begin}\n" + "\n".join(lines[:30] * 60), mark), (f"{begin}\r\n" + "\r\n".join(x + "Zz+/00000000" for x in lines[:30] * 60), mark),
+             (f"{begin}\n  " + "\n  ".join(x[:50] for x in lines[:30] * 8) + "\nprose on", f"{mark}\nprose on"), (f"{begin} a" + " - b" * 20000, f"{mark} a" + " - b" * 20000)]
+    got = {r.doc_id: r.text for r in secrets.redact(frame([(i, t) for i, (t, _) in enumerate(cases)])).collect()}
+    for i, (text, clean) in enumerate(cases):
+        assert got[i] == clean, (i, got[i][:200])
+        assert [(a, b) for a, k, b, _ in by_hand(text) if k == 3][:1] == [(text.index(begin), by_hand(text)[0][2])] or i == 7
