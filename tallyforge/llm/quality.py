@@ -18,10 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import shingles
+from tallyforge.session import materialise
 
 #: Labelled texts the scorer is fitted on; a quarter as many others are added, or as many if none is labelled. Votes and
 #: scores always cover all texts.
 SAMPLE = 5000
+#: Shares of the sample are counted in so many parts.
+GRAIN = 1 << 30
 FEATURE_BITS = 21
 #: Sample texts a feature must occur in to get a weight.
 LEAST_TEXTS = 6
@@ -198,21 +201,26 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, labellers
     return model
 
 
-def fit_scorer(slots: np.ndarray, first: np.ndarray, target: np.ndarray, rounds: int = 80, ridge: float = 2e-4) -> np.ndarray:
-    """Weights of a logistic scorer by slot, the last being the constant; soft targets, every slot counted once per text."""
+def fit_scorer(slots: np.ndarray, first: np.ndarray, target: np.ndarray, rounds: int = 80, ridge: float = 2e-4,
+               times: np.ndarray | None = None) -> np.ndarray:
+    """Weights of a logistic scorer by slot, the last being the constant; soft targets, every slot counted once per text.
+
+    A text that stands for several, as ``times`` says, counts as so many.
+    """
     texts = len(first) - 1
     weights = np.zeros((1 << FEATURE_BITS) + 1, np.float32)
     if not texts:
         return weights
-    used, column, times = np.unique(slots, return_inverse=True, return_counts=True)
+    times = np.ones(texts) if times is None else times.astype(float)
+    used, column = np.unique(slots, return_inverse=True)
     owner = np.repeat(np.arange(texts), np.diff(first))
-    keep = times[column] >= min(LEAST_TEXTS, texts)
+    keep = np.bincount(column, times[owner])[column] >= min(LEAST_TEXTS, times.sum())
     owner, column = owner[keep], column[keep]
     w, b = np.zeros(len(used)), 0.0
     mean, square = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, rounds + 1):
         margin = np.bincount(owner, w[column], minlength=texts) + b
-        slope = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - target) / texts
+        slope = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - target) * times / times.sum()
         gradient = np.append(np.bincount(column, slope[owner], minlength=len(used)) + ridge * w, slope.sum())
         mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient ** 2
         move = 0.1 * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.99 ** step)) + 1e-8)
@@ -240,9 +248,9 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in reader.column(batch.column("text")):
             n = len(r.first) - 1
             slots = [r.slots[a:b].tobytes() for a, b in zip(r.first[:-1], r.first[1:])]
-            people = [batch.column(c).slice(at, n) for c in ("people_quality", "people_abuse")]
-            yield pa.RecordBatch.from_arrays([pa.array(r.quality), pa.array(r.abuse), *people, pa.array(slots, pa.binary())],
-                                             ["quality", "abuse", "people_quality", "people_abuse", "slots"])
+            given = [batch.column(c).slice(at, n) for c in ("people_quality", "people_abuse", "times")]
+            yield pa.RecordBatch.from_arrays([pa.array(r.quality), pa.array(r.abuse), *given, pa.array(slots, pa.binary())],
+                                             ["quality", "abuse", "people_quality", "people_abuse", "times", "slots"])
             at += n
 
 
@@ -273,15 +281,29 @@ def _people(labels: DataFrame) -> DataFrame:
     return worst.select("doc_id", vote(F.col("quality") >= 1).alias("people_quality"), vote(F.col("toxic") < 1).alias("people_abuse"))
 
 
+def portions(rows: DataFrame, labelled_part: int, other_part: int) -> DataFrame:
+    """``tid, people_quality, people_abuse, times``: which texts stand in the sample for how many rows.
+
+    ``rows`` has ``doc_id, tid`` (a hash of the text) and people's votes; parts are in 1 / ``GRAIN``. Rows are chosen by a hash of both.
+    Equal rows are one unit, which is taken for its share of the sample, rounded up or down by that hash. So a frequent text, the
+    null text among them, has as much of the sample as of the table, and there are never more units than about the rows wanted.
+    """
+    given = ["people_quality", "people_abuse"]
+    units = rows.groupBy("doc_id", "tid", *given).agg(F.count("*").alias("rows"))
+    part = F.when(F.col("people_quality").isNotNull(), F.lit(labelled_part)).otherwise(F.lit(other_part)).cast("bigint")
+    chance = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "tid"), F.lit(GRAIN))
+    taken = units.select("tid", *given, F.floor((F.col("rows") * part + chance) / GRAIN).cast("bigint").alias("times")).where("times > 0")
+    return taken.groupBy("tid", *given).agg(F.sum("times").alias("times"))
+
+
 def train(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE) -> Classifier:
     """Count the votes on all texts of ``(doc_id, text)``, weigh the labellers, and fit the scorer.
 
-    ``labels`` has ``doc_id, quality, toxic`` (0 or 1) for some texts. The scorer is fitted on about ``sample`` labelled texts chosen by
-    a hash of the id and a quarter as many chosen by a hash of the text; without labels on as many of the latter.
+    ``labels`` has ``doc_id, quality, toxic`` (0 or 1) for some texts. The scorer is fitted on about ``sample`` labelled rows and a
+    quarter as many others, without labels on as many of the latter; equal texts are one with a weight (see ``portions``).
     Only counts by pattern, bounded by the number of labellers, and the sample come to the driver. An empty table gives
     a classifier without opinion.
     """
-    grain = 1 << 30
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     if labels is None:
         labels = docs.sparkSession.createDataFrame([], "doc_id bigint, quality int, toxic int")
@@ -297,15 +319,19 @@ def train(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE
     abuse = expectation_maximisation(seen[:, 1], seen[:, 2], len(ABUSE))
 
     def part(wanted: int, total: int) -> int:
-        return min(grain, -(-wanted * grain // max(total, 1)))
+        return min(GRAIN, -(-wanted * GRAIN // max(total, 1)))
 
     total, labelled = int(seen[:, 2].sum()), int(seen[:, 3].sum())
-    some = people.where(F.pmod(F.xxhash64("doc_id"), F.lit(grain)) < part(sample, labelled))  # about ``sample`` ids
-    chosen = docs.join(F.broadcast(some), "doc_id", "left").where(F.col("people_quality").isNotNull() | (
-        F.pmod(F.xxhash64("text"), F.lit(grain)) < part(sample // 4 if labelled else sample, total)))
-    rows = chosen.select("text", F.coalesce("people_quality", silent).alias("people_quality"),
-                         F.coalesce("people_abuse", silent).alias("people_abuse")).mapInArrow(
-        _sample, "quality bigint, abuse bigint, people_quality bigint, people_abuse bigint, slots binary").collect()
+    tid = F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid")
+    rows = docs.select("doc_id", tid).join(people, "doc_id", "left")
+    picked = materialise(portions(rows, part(sample, labelled), part(sample // 4 if labelled else sample, total)), "quality-sample")
+    texts = docs.select(tid, "text").join(F.broadcast(picked.select("tid").distinct()), "tid", "left_semi").groupBy("tid").agg(
+        F.min("text").alias("text"))
+    found = texts.join(F.broadcast(picked), "tid").select("text", F.coalesce("people_quality", silent).alias("people_quality"),
+                                                          F.coalesce("people_abuse", silent).alias("people_abuse"), "times").mapInArrow(
+        _sample, "quality bigint, abuse bigint, people_quality bigint, people_abuse bigint, times bigint, slots binary")
+    rows = sorted(found.collect())  # sums do not depend on the order of tasks
+    times = np.array([r["times"] for r in rows], np.int64)
     slots = [np.frombuffer(r["slots"], np.int32) for r in rows]
     first = np.concatenate([[0], np.cumsum([len(s) for s in slots])]).astype(np.int64)
     flat = np.concatenate(slots) if slots else np.zeros(0, np.int32)
@@ -313,7 +339,7 @@ def train(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE
     for m, k in ((quality, "quality"), (abuse, "abuse")):
         patterns = np.array([r[k] + r[f"people_{k}"] * 3 ** (len(m.rates) - 1) for r in rows], np.int64)
         goods.append(anchored(m.posterior(patterns), votes_of(patterns, len(m.rates))))
-    return Classifier(quality, abuse, *[fit_scorer(flat, first, g) for g in goods])
+    return Classifier(quality, abuse, *[fit_scorer(flat, first, g, times=times) for g in goods])
 
 
 def _scorer(shared):

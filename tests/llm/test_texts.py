@@ -191,3 +191,21 @@ def test_held_out_accuracy(spark):
 def test_crc_of_pieces(frame):
     row = packing.pack(frame([(1, "hello world")]), VOCABULARY).select("ids", F.crc32("ids").alias("c")).first()
     assert row.c == zlib.crc32(bytes(row.ids))
+
+
+def test_sample_is_bounded_whatever_the_rows(spark, frame, monkeypatch):
+    """Null and hot texts, with and without labels, take their share of the sample and no more."""
+    seen = []
+    fit = quality.fit_scorer
+    monkeypatch.setattr(quality, "fit_scorer", lambda slots, first, good, **k: (seen.append((first, good, k)), fit(slots, first, good, **k))[1])
+    rows = [(i, None) for i in range(2000)] + [(None, "the same of it")] * 1000 + [(7, "hot and labelled")] * 1000
+    rows += [(10_000 + i, f"the word{i} of and in") for i in range(1000)]
+    quality.train(frame(rows), None, sample=200)
+    first, _, found = seen[0]
+    assert len(first) - 1 <= 100 and 160 <= found["times"].sum() <= 240
+    assert all(abs(x - share) <= 25 for x, share in zip(sorted(found["times"])[-3:], (40, 40, 80)))
+    seen.clear()
+    quality.train(frame(rows), spark.createDataFrame([(7, 1, 0), (10_001, 0, 1)], "doc_id bigint, quality int, toxic int"), sample=200)
+    first, good, found = seen[0]
+    assert len(first) - 1 <= 60 and found["times"].sum() <= 300
+    assert found["times"][good == 0.98].sum() in (199, 200, 201)
