@@ -23,10 +23,23 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates, that with the smallest doc_id. Rows without doc_id stay."""
-    found = neardup.near_duplicates(docs)
-    extra = materialise(found.where(F.col("doc_id").isNotNull() & ~F.col("kept")).select("doc_id").distinct(), "pipeline-extra")
-    return docs.join(extra, "doc_id", "left_anti").select(docs.columns)
+    """One row of each component of near-duplicates: that with the smallest doc_id, one without only if none has any.
+
+    Rows are told apart by doc_id and text, so of rows that repeat a doc_id only those in one component are one. Of rows that share
+    both, that with the smallest other columns stays. Rows without words are in no component and all stay.
+    """
+    found = materialise(neardup.grouped(docs).where(F.col("comp").isNotNull()).groupBy("comp", "doc_id", "tid").agg(
+        F.count("*").alias("times")), "pipeline-groups")
+    best = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("tid"))).alias("best"))
+    first = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("tid") == F.col("best.tid"))
+    marked = found.join(best, "comp").select(F.col("doc_id").alias("of_id"), F.col("tid").alias("of_tid"), first.alias("first"), "times")
+    marked = materialise(marked.where(~F.col("first") | (F.col("times") > 1)), "pipeline-extra")
+    extra, several = (marked.where(c).select("of_id", "of_tid") for c in (~F.col("first"), F.col("first")))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("of_id")) & (F.xxhash64("text") == F.col("of_tid"))
+    alone = docs.join(extra.unionByName(several), same, "left_anti")
+    row = F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")
+    once = docs.join(several, same, "left_semi").groupBy(F.col("doc_id").alias("of_id"), F.xxhash64("text").alias("of_tid")).agg(row)
+    return alone.unionByName(once.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

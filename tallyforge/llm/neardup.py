@@ -297,13 +297,10 @@ def crossings(members: DataFrame, sets: DataFrame, docs: DataFrame, percent: int
             .mapInArrow(_decide(threshold, percent), "a bigint, b bigint"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``(doc_id, text)``.
+def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """``doc_id, tid, n_shingles, comp, component_id`` for every row of ``(doc_id, text)``, of which ``tid`` is the hash of the text.
 
-    Rows are linked if 100 * common shingles >= ``percent`` * all shingles; a component is what links reach, its id the smallest
-    doc_id in it, and the row with that id is kept. A null or wordless text has no shingles and is alone. A row without
-    doc_id can be linked, but never gives its component a name; a component of such rows only has a null id and keeps none.
-    Rows that repeat a doc_id are rows of their own. Other columns are not read. An empty table gives an empty result.
+    ``comp`` tells components apart, those without a name too; it is null, as ``component_id`` is, for rows without shingles.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     threshold = percent / 100
@@ -335,8 +332,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     named = sets.join(labels, F.col("set_id") == F.col("node"), "left").select(
         "set_id", "first_id", F.coalesce("component", "set_id").alias("comp"))
     names = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    table = materialise(named.join(names, "comp").select("set_id", "component_id"), "near-components")
-    found = own.select("doc_id", "n_shingles", "set_id").join(table, "set_id", "left")
-    component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    table = materialise(named.join(names, "comp").select("set_id", "comp", "component_id"), "near-components")
+    return own.select("doc_id", "tid", "n_shingles", "set_id").join(table, "set_id", "left").select(
+        "doc_id", "tid", "n_shingles", "comp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``(doc_id, text)``.
+
+    Rows are linked if 100 * common shingles >= ``percent`` * all shingles; a component is what links reach, its id the smallest
+    doc_id in it, and the row with that id is kept. A null or wordless text has no shingles and is alone. A row without
+    doc_id can be linked, but never gives its component a name; a component of such rows only has a null id and keeps none.
+    Rows that repeat a doc_id are rows of their own. Other columns are not read. An empty table gives an empty result.
+    """
+    found = grouped(docs, percent)
+    component = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"),
                         F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

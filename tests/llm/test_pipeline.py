@@ -97,3 +97,23 @@ def test_without_the_subpackage():
     assert out.returncode == 0, out.stderr[-800:]
     count, ops, piped = out.stdout.split()[-3:]
     assert int(count) > 150 and (ops, piped) == ("False", "False")
+
+
+def test_one_row_of_each_group(spark):
+    """Repeated ids, repeated rows and rows without id: one row of each component stays, and no other text goes."""
+    import corpus_pipeline as pipeline
+
+    near = [" ".join(f"w{(i * 7 + k) % 97}x{k}" for i in range(60)) for k in range(5)]
+    rows = [(0, near[0], "a"), (1, near[1], "a"), (1, near[0] + " more", "a"),  # (1, near[1]) is clean
+            (2, near[2], "b"), (2, near[2], "a"), (2, near[2], "a"),
+            (None, near[3], "a"), (None, near[3], "b"), (None, near[3] + " more", "a"),
+            (None, near[4], "a"), (5, near[4] + " more", "a"), (6, near[4], "a"),
+            (7, None, "a"), (7, None, "a"), (None, "", "a")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id bigint, text string, lang string, source string, n_chars int")
+    got = pipeline.keep_one_of_group(spark, docs.repartition(3), "")
+    assert got.columns == docs.columns
+    found = sorted(((r.doc_id, r.text, r.source) for r in got.collect()), key=str)
+    nameless = [x for x in found if x[0] is None and x[1]]
+    assert len(nameless) == 1 and nameless[0][1] in (near[3], near[3] + " more") and nameless[0][2] == "a"
+    assert sorted([x for x in found if x not in nameless], key=str) == sorted(
+        [(0, near[0], "a"), (1, near[1], "a"), (2, near[2], "a"), (5, near[4] + " more", "a"), (7, None, "a"), (7, None, "a"), (None, "", "a")], key=str)
