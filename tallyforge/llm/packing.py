@@ -11,12 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import tokens
-from tallyforge.llm.shingles import CHUNK, chunks
+from tallyforge.llm.shingles import CHUNK, buffers, chunks
 
 WINDOW, END = 4096, 2
 #: Bytes of text per shard of the index.
@@ -79,15 +78,13 @@ def fill(docs: list[np.ndarray], window: int) -> Iterator[tuple[int, int, int, i
 def _encode(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokens.encoder(path)
-        last = np.array([END], np.uint16).tobytes()
         for batch in batches:
-            text = batch.column("text")
-            sizes = np.array([0, *np.cumsum(pa.compute.fill_null(pa.compute.binary_length(text), 0).to_numpy())], np.int64)
-            for at, stop in chunks(sizes, 4 * CHUNK):
-                part = batch.slice(at, stop - at)
-                ids = [x + last for x in coder.encode(part.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("shard"), pa.array(ids, pa.binary())],
-                                                 ["row", "shard", "ids"])
+            octets, offsets = buffers(batch.column("text"))
+            for at, stop in chunks(offsets, 4 * CHUNK):
+                ids, ends = coder.encode(octets[offsets[at]:offsets[stop]], offsets[at:stop + 1] - offsets[at])
+                ids, ends = tokens.with_end(ids, ends, END)
+                yield pa.RecordBatch.from_arrays([batch.column("row")[at:stop], batch.column("shard")[at:stop],
+                                                  tokens.as_binary(ids, ends)], ["row", "shard", "ids"])
     return encode
 
 
