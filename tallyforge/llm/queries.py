@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontaminate, fingerprints, licenses, neardup, packing, quality, repeats, secrets, sharding, warc
+from tallyforge.llm import (binpack, decontaminate, fingerprints, licenses, neardup, packing, periodic, quality, repeats, secrets, sharding,
+                            variants, warc)
 from tallyforge.llm.registry import ORACLES, QUERIES, query
 from tallyforge.sources.files import load_table
 
@@ -224,3 +225,81 @@ FROM kept"""
 @query("op4_exact_repeats", "documents", SQL_REPEATS)
 def exact_repeats(docs: DataFrame) -> DataFrame:
     return repeats.remove_repeats(docs.select("doc_id", "text"), keep_bytes=False).drop("kept")
+
+
+@query("op12_sum_of_squares_packing", "documents")
+def sum_of_squares_packing(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    return binpack.pack(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _crc_sql(text: str) -> str:
+    """CRC-32 of the UTF-8 of a text, given the column ``remainders``."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b:
+    xor(c >> 8, remainders[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT"""
+
+
+SQL_PERIODIC = f"""
+WITH raw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sums AS (SELECT doc_id, w, len(w) AS n, {_crc_sql("doc_id::VARCHAR")} AS h FROM raw, {_crc_table()}),
+shapes AS (SELECT *, h % 10 = 0 AND n > 0 AS folds, CASE WHEN n > 0 THEN (h // 10) % n END AS a FROM sums),
+sources AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM shapes),
+altered AS MATERIALIZED (SELECT doc_id, n, CASE WHEN folds THEN list_transform(range(n), lambda i:
+  w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM sources),
+places AS MATERIALIZED (SELECT doc_id, unnest(range(n)) AS i, unnest(w) AS word FROM altered),
+grams AS MATERIALIZED (SELECT doc_id, n, i, array_to_string(w[i + 1:i + 16], ' ') AS g FROM (
+  SELECT doc_id, n, w, unnest(range(n - 15)) AS i FROM altered WHERE n >= 24)),
+lags AS MATERIALIZED (SELECT DISTINCT x.doc_id, y.i - x.i AS q FROM grams x JOIN grams y USING (doc_id, g) WHERE y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+equal AS (SELECT doc_id, q, x.i, x.i - row_number() OVER (PARTITION BY doc_id, q ORDER BY x.i) AS island
+  FROM lags JOIN places x USING (doc_id) JOIN places y USING (doc_id) WHERE y.i = x.i + q AND y.word = x.word),
+stretches AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM equal GROUP BY doc_id, q, island),
+runs AS MATERIALIZED (SELECT doc_id, start::BIGINT AS start, length::BIGINT AS length, min(q)::BIGINT AS period FROM stretches
+  WHERE length >= greatest(24, 3 * q) GROUP BY doc_id, start, length),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t
+  FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM places ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start, length, period, (1000 * length // period)::BIGINT AS exponent_milli,
+       sha256(coalesce(listed.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM documents LEFT JOIN best USING (doc_id) LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+@query("op11_periodic_runs", "documents", SQL_PERIODIC)
+def periodic_runs(docs: DataFrame) -> DataFrame:
+    found = periodic.find_runs(docs.select("doc_id", "text"), fold=True, texts=False)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SQL_VARIANTS = f"""
+WITH RECURSIVE found AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'),
+  '[a-zÀ-ÿ]+')) AS w FROM documents),
+counted AS (SELECT doc_id, w, count(*) AS times FROM found WHERE length(w) >= {variants.LEAST_LETTERS} GROUP BY doc_id, w),
+checked AS (SELECT w, times, {_crc_sql("doc_id::VARCHAR || ':' || w")} AS h FROM counted, {_crc_table()}),
+results AS (SELECT CASE WHEN h % {variants.ALTERED} = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, times
+  FROM checked),
+words AS MATERIALIZED (SELECT word, sum(times)::BIGINT AS n FROM results WHERE length(word) >= {variants.LEAST_LETTERS}
+  GROUP BY word HAVING sum(times) >= {variants.LEAST_TIMES}),
+cuts AS MATERIALIZED (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS less
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+pairs AS (SELECT x.word, y.word AS other FROM cuts x JOIN cuts y ON x.less = y.less AND x.i = y.i AND x.word <> y.word
+  UNION SELECT word, less FROM cuts SEMI JOIN words ON words.word = cuts.less
+  UNION SELECT less, word FROM cuts SEMI JOIN words ON words.word = cuts.less),
+ranked AS (SELECT pairs.word, other, words.n AS other_n FROM pairs JOIN words ON words.word = other),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS most FROM ranked GROUP BY word),
+firsts AS (SELECT word, min(other) AS other FROM ranked JOIN best USING (word) WHERE other_n = most GROUP BY word),
+forms AS MATERIALIZED (SELECT words.word, n, coalesce(n_near, 0)::BIGINT AS n_near,
+  CASE WHEN most >= {variants.FACTOR} * n THEN other END AS form, CASE WHEN most >= {variants.FACTOR} * n THEN most END AS form_n
+  FROM words LEFT JOIN best USING (word) LEFT JOIN firsts USING (word)),
+walk AS (SELECT word, word AS node, 0 AS step FROM forms UNION ALL
+  SELECT walk.word, forms.form, step + 1 FROM walk JOIN forms ON walk.node = forms.word WHERE forms.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n::BIGINT AS form_n
+FROM forms JOIN (SELECT word, arg_max(node, step) AS root FROM walk GROUP BY word) USING (word)"""
+
+
+@query("op13_spelling_variants", "documents", SQL_VARIANTS)
+def spelling_variants(docs: DataFrame) -> DataFrame:
+    return variants.group_variants(docs.select("doc_id", "text"), alter=True)
