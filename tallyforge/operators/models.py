@@ -6,7 +6,7 @@ The driver sees coefficients and p-by-p matrices only; every pass over rows is a
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,11 +16,11 @@ from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, OneVsR
 from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, PolynomialExpansion, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
+
+from tallyforge.operators import logit
 
 FEATURES = "features"
 PAIRWISE_COLUMNS = 12
@@ -165,22 +165,17 @@ def _beta_fraction(x: float, a: float, b: float) -> float:
     return result
 
 
-def fit_logit(df: DataFrame, y: str, xs: Sequence[str], max_iter: int = 25) -> LinearFit:
-    """Binomial logistic regression by reweighted least squares, with AIC and whether it converged.
+def fit_logit(df: DataFrame, y: str, xs: Sequence[str]) -> LinearFit:
+    """Binomial logistic regression of a 0/1 column, with AIC and deviance; raises ``logit.NotConverged`` without a maximum.
 
-    Equal rows are counted first and weigh as many, so each pass reads distinct rows only.
+    Equal rows are counted first, so each pass reads distinct ones only.
     """
-    rows = complete(df.select(F.col(y).cast("double").alias(y), *xs), [y, *xs])
-    counted = assembler(xs).transform(rows.groupBy(y, *xs).agg(F.count(F.lit(1)).cast("double").alias("_weight")))
-    held = counted.select(y, "_weight", FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = GeneralizedLinearRegression(labelCol=y, featuresCol=FEATURES, weightCol="_weight", family="binomial", link="logit",
-                                            maxIter=max_iter).fit(held)
-        s = model.summary
-        return LinearFit("logit", list(xs), _floats([*model.coefficients, model.intercept]), _floats(s.coefficientStandardErrors),
-                         _floats(s.pValues), {"aic": s.aic, "deviance": s.deviance, "converged": float(s.numIterations < max_iter)})
-    finally:
-        held.unpersist()
+    return _linear(logit.fit_sets(logit.patterns(df, y, xs), [xs])[0])
+
+
+def _linear(fit: logit.Fit) -> LinearFit:
+    return LinearFit("logit", fit.names, _floats(fit.coefficients), _floats(fit.errors), fit.p_values,
+                     {"aic": fit.aic, "deviance": -2 * fit.likelihood})
 
 
 def linear_score(fit: LinearFit) -> Column:
@@ -225,41 +220,30 @@ def _ols_aic(moments: Gram, names: Sequence[str]) -> float:
 def step_aic(df: DataFrame, y: str, xs: Sequence[str], kind: str = "ols") -> list[dict]:
     """Stepwise selection in both directions from the full model; each step lowers the criterion most.
 
-    Least squares needs one pass in total, whatever the number of candidates. A logistic model is fitted once per candidate.
+    Least squares needs one pass in total, whatever the number of candidates. Logistic candidates of a step are fitted together, a
+    pass per Newton step.
     """
     xs = list(xs)
     if kind == "ols":
         moments = gram(df, [y, *xs])
-        return _search(xs, lambda names: _ols_aic(moments, names))
-    held = df.select(y, *xs).na.drop().persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _search(xs, lambda names: _logit_aic(held, y, names))
-    finally:
-        held.unpersist()
-
+        return _search(xs, lambda sets: [_ols_aic(moments, names) for names in sets])
+    held = logit.patterns(df, y, xs)
+    return _search(xs, lambda sets: [fit.aic for fit in logit.fit_sets(held, sets)])
 
-def _logit_aic(df: DataFrame, y: str, names: Sequence[str]) -> float:
-    if names:
-        return fit_logit(df, y, names).measures["aic"]
-    total = df.agg(F.count(F.lit(1)), F.sum(F.col(y).cast("double"))).first()
-    rate = total[1] / total[0]
-    return 2 - 2 * (total[1] * math.log(rate) + (total[0] - total[1]) * math.log(1 - rate))
 
-
-def _search(xs: list[str], criterion) -> list[dict]:
+def _search(xs: list[str], criteria: Callable[[list[list[str]]], list[float]]) -> list[dict]:
     chosen = list(xs)
-    current = criterion(chosen)
+    current = criteria([chosen])[0]
     path = [{"step": 0, "action": "start", "term": "", "aic": current, "terms": list(chosen)}]
-    while True:
-        moves = []
-        for x in xs:
-            names = [n for n in chosen if n != x] if x in chosen else [n for n in xs if n in chosen or n == x]
-            moves.append((criterion(names), "drop" if x in chosen else "add", x, names))
-        best = min(moves, key=lambda m: m[0])
-        if best[0] >= current - 1e-9:
-            return path
-        current, chosen = best[0], best[3]
-        path.append({"step": len(path), "action": best[1], "term": best[2], "aic": current, "terms": list(chosen)})
+    while xs:
+        sets = [[n for n in xs if (n in chosen) != (n == x)] for x in xs]
+        best, at = min((value, i) for i, value in enumerate(criteria(sets)))
+        if best >= current - 1e-9:
+            break
+        action = "drop" if xs[at] in chosen else "add"
+        current, chosen = best, sets[at]
+        path.append({"step": len(path), "action": action, "term": xs[at], "aic": current, "terms": list(chosen)})
+    return path
 
 
 def eliminate(df: DataFrame, y: str, xs: Sequence[str], kind: str = "ols", vif_max: float = 2.0,
@@ -267,34 +251,30 @@ def eliminate(df: DataFrame, y: str, xs: Sequence[str], kind: str = "ols", vif_m
     """Drop the variable with the largest inflation factor above ``vif_max`` that is not significant, else
     the least significant one, and refit until all are significant and inflation is within bounds.
 
-    Inflation, and for least squares every refit as well, comes from the moments of one pass; a logistic model takes
-    one fit per step.
+    Inflation, and for least squares every refit as well, comes from the moments of one pass; a logistic refit takes a pass over
+    the counted patterns per Newton step.
     """
     names = list(xs)
     moments = gram(df, [y, *names])
-    held = df.select(y, *names).na.drop().persist(StorageLevel.MEMORY_AND_DISK) if kind != "ols" else None
+    held = logit.patterns(df, y, names) if kind != "ols" else None
     path: list[dict] = []
-    try:
-        while True:
-            fit = _solve(moments, list(names)) if held is None else fit_logit(held, y, names)
-            p = dict(zip(names, fit.p_values))
-            inflated = {x: v for x, v in vif_values(moments, names).items() if v > vif_max}
-            weak = {x: v for x, v in p.items() if not v <= p_max}
-            both = [x for x in inflated if x in weak]
-            if len(names) == 1 or not (inflated or weak):
-                return fit, path
-            if both:
-                term, why = max(both, key=inflated.get), "vif and p"
-            elif weak:
-                term, why = max(weak, key=weak.get), "p"
-            else:
-                term, why = max(inflated, key=inflated.get), "vif"
-            path.append({"step": len(path) + 1, "term": term, "reason": why, "vif": inflated.get(term),
-                         "p_value": p[term]})
-            names.remove(term)
-    finally:
-        if held is not None:
-            held.unpersist()
+    while True:
+        fit = _solve(moments, list(names)) if held is None else _linear(logit.fit_sets(held, [names])[0])
+        p = dict(zip(names, fit.p_values))
+        inflated = {x: v for x, v in vif_values(moments, names).items() if v > vif_max}
+        weak = {x: v for x, v in p.items() if not v <= p_max}
+        both = [x for x in inflated if x in weak]
+        if len(names) == 1 or not (inflated or weak):
+            return fit, path
+        if both:
+            term, why = max(both, key=inflated.get), "vif and p"
+        elif weak:
+            term, why = max(weak, key=weak.get), "p"
+        else:
+            term, why = max(inflated, key=inflated.get), "vif"
+        path.append({"step": len(path) + 1, "term": term, "reason": why, "vif": inflated.get(term),
+                     "p_value": p[term]})
+        names.remove(term)
 
 
 def fit_tree(df: DataFrame, y: str, xs: Sequence[str], min_leaf: int = 10, min_gain: float = 0.0, max_depth: int = 5,

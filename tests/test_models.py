@@ -63,7 +63,9 @@ def test_step_aic(data):
     logit = models.step_aic(df, "label", ["a", "b", "noise"], "logit")
     values = [p["aic"] for p in logit]
     assert values == sorted(values, reverse=True) and {"a", "b"} <= set(logit[-1]["terms"])
-    assert models._logit_aic(df, "label", []) > models._logit_aic(df, "label", ["a"])
+    held = models.logit.patterns(df, "label", ["a"])
+    none, one = models.logit.fit_sets(held, [[], ["a"]])
+    assert none.aic > one.aic == pytest.approx(models.fit_logit(df, "label", ["a"]).measures["aic"])
 
 
 @pytest.mark.parametrize("kind,y", [("ols", "y"), ("logit", "label")])
@@ -148,4 +150,38 @@ def test_logit_counts_equal_rows(spark):
     assert fit.coefficients[1] == pytest.approx(np.log(3), abs=1e-5)
     assert fit.coefficients[0] == pytest.approx(np.log(1 / 3) - np.log(3), abs=1e-5)
     likelihood = 30 * np.log(.75) + 10 * np.log(.25) + 5 * np.log(.25) + 15 * np.log(.75)
-    assert fit.measures["aic"] == pytest.approx(4 - 2 * likelihood, abs=1e-5) and fit.measures["converged"]
+    assert fit.measures["aic"] == pytest.approx(4 - 2 * likelihood, abs=1e-5)
+
+
+def test_logit_with_counts_of_thousands(spark):
+    """A saturated model: log odds, their standard errors and the likelihood in closed form."""
+    cells = {0: (40_000, 9_000), 1: (25_000, 5_900), 2: (31_000, 6_800), 3: (120, 119)}
+    df = spark.createDataFrame([(g, n, e) for g, (n, e) in cells.items()], "g int, n int, e int").selectExpr(
+        "g", "explode(sequence(1, n)) AS i", "e").selectExpr("(i <= e)::int AS y", *[f"(g = {g})::int AS d{g}" for g in (1, 2, 3)])
+    fit = models.fit_logit(df.repartition(5), "y", ["d1", "d2", "d3"])
+    odds = {g: np.log(e / (n - e)) for g, (n, e) in cells.items()}
+    assert fit.coefficients == pytest.approx([odds[g] - odds[0] for g in (1, 2, 3)] + [odds[0]], abs=1e-9)
+    spread = {g: 1 / e + 1 / (n - e) for g, (n, e) in cells.items()}
+    assert fit.std_errors == pytest.approx([np.sqrt(spread[g] + spread[0]) for g in (1, 2, 3)] + [np.sqrt(spread[0])], rel=1e-7)
+    likelihood = sum(e * np.log(e / n) + (n - e) * np.log(1 - e / n) for n, e in cells.values())
+    assert fit.measures["aic"] == pytest.approx(8 - 2 * likelihood, rel=1e-10)
+
+
+def test_logit_of_wide_numbers_matches_mllib(spark):
+    from pyspark.ml.regression import GeneralizedLinearRegression
+
+    rng = np.random.default_rng(11)
+    x = np.column_stack([rng.normal(2e5, 3e4, 3000), rng.normal(0, 1e-3, 3000)])
+    y = (rng.random(3000) < 1 / (1 + np.exp(-(x[:, 0] - 2e5) / 3e4 - 500 * x[:, 1]))).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"y": y, "a": x[:, 0], "b": x[:, 1]})).repartition(3)
+    fit = models.fit_logit(df, "y", ["a", "b"])
+    other = GeneralizedLinearRegression(labelCol="y", family="binomial", tol=1e-12).fit(models.with_features(df, ["a", "b"]))
+    assert fit.coefficients == pytest.approx([*other.coefficients, other.intercept], rel=1e-6)
+    assert fit.std_errors == pytest.approx(other.summary.coefficientStandardErrors, rel=1e-5)
+    assert fit.measures["aic"] == pytest.approx(other.summary.aic, rel=1e-9)
+
+
+@pytest.mark.parametrize("rows", [[(0, 0.0)] * 9 + [(1, 1.0)] * 9, [(1, 1.0), (1, 2.0)]], ids=["separated", "one class"])
+def test_logit_without_a_maximum(spark, rows):
+    with pytest.raises(models.logit.NotConverged):
+        models.fit_logit(spark.createDataFrame(rows, "y int, x double"), "y", ["x"])
