@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import tokens
-from tallyforge.llm.shingles import CHUNK, buffers, chunks
+from tallyforge.llm.shingles import CHUNK, buffers, chunks, small_batches
 from tallyforge.session import materialise
 
 WINDOW, END = 1024, 2
@@ -160,7 +160,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> DataFrame:
 
     ``vocabulary`` is the path of the tokenizer file on the executors.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rounds = [materialise(docs.mapInArrow(_first_round(vocabulary, window), PIECES), "bins")]
     waiting = rounds[0].where("open").count()
     while waiting:

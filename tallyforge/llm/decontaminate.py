@@ -79,12 +79,12 @@ def _search(shared, percent: int):
     return search
 
 
-def _without(shared, percent: int):
+def _without(shared, percent: int, text: int):
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
-            keep[[r[0] for r in _rows(shared, percent, batch.column("text"))]] = False
-            yield batch.select(["row"]).filter(pa.array(keep))
+            keep[[r[0] for r in _rows(shared, percent, shingles.field(batch.column("row"), text))]] = False
+            yield batch.filter(pa.array(keep))
     return without
 
 
@@ -126,10 +126,10 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFrame
 
 def without_items(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFrame:
     """``docs`` without the rows whose ``text`` contains an item as in ``contained``; all columns stay, and nothing is moved."""
-    columns = docs.columns
+    columns = shingles.small_batches(docs).columns
     for shared in _passes(items, percent):
-        packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "text")
-        rows = packed.mapInArrow(_without(shared, percent), f"row {packed.schema['row'].dataType.simpleString()}")
+        packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+        rows = packed.mapInArrow(_without(shared, percent, columns.index("text")), f"row {packed.schema['row'].dataType.simpleString()}")
         docs = rows.select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
     return docs
 

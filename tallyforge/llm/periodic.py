@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shingles import CHUNK, STEPS, buffers, chunks, mix, span_hashes, word_spans
+from tallyforge.llm.shingles import CHUNK, STEPS, buffers, chunks, mix, span_hashes, word_spans, small_batches
 
 #: Words of a run at least, and how often its period at least.
 LEAST, TIMES = 24, 3
@@ -223,7 +223,7 @@ def find_runs(docs: DataFrame, fold: bool = False, texts: bool = True) -> DataFr
                 rows = list(_documents(ids[at:stop], octets[offsets[at]:offsets[stop]], offsets[at:stop + 1] - offsets[at], fold, texts))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), SCHEMA.types)], schema=SCHEMA)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(scan, RUNS)
+    return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(scan, RUNS)
 
 
 _RUN = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))

@@ -304,7 +304,7 @@ def train(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE
     Only counts by pattern, bounded by the number of labellers, and the sample come to the driver. An empty table gives
     a classifier without opinion.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = shingles.small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     if labels is None:
         labels = docs.sparkSession.createDataFrame([], "doc_id bigint, quality int, toxic int")
     people = _people(labels)
@@ -342,11 +342,11 @@ def train(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE
     return Classifier(quality, abuse, *[fit_scorer(flat, first, g, times=times) for g in goods])
 
 
-def _scorer(shared):
+def _scorer(shared, text: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, model = Reader(), shared.value
         for batch in batches:
-            found = [np.concatenate(x) for x in zip(*[model.score(r) for r in reader.column(batch.column("text"))])] or [np.zeros(0)] * 4
+            found = [np.concatenate(x) for x in zip(*[model.score(r) for r in reader.column(shingles.field(batch.column("row"), text))])] or [np.zeros(0)] * 4
             yield pa.RecordBatch.from_arrays([batch.column("row"), *map(pa.array, found)],
                                              ["row", "quality_score", "clean_score", "quality_weak", "clean_weak"])
     return score
@@ -358,10 +358,10 @@ def classify(docs: DataFrame, model: Classifier, text: str = "text") -> DataFram
     Every row comes back once. Null and empty texts are scored like any text without words.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    packed = shingles.small_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     kind = packed.schema["row"].dataType.simpleString()
     schema = f"row {kind}, quality_score double, clean_score double, quality_weak double, clean_weak double"
-    scored = packed.mapInArrow(_scorer(shared), schema)
+    scored = packed.mapInArrow(_scorer(shared, docs.columns.index(text)), schema)
     return scored.withColumn("keep", (F.col("quality_score") >= 0.5) & (F.col("clean_score") >= 0.5))
 
 

@@ -11,10 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Bytes of text worked on at once; a longer text is worked on alone.
 CHUNK = 1 << 20
 WORDS = 5
+#: Bytes of an Arrow batch at most; beyond it a batch is a single row.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -51,14 +55,27 @@ def _power_table(base: int, n: int) -> np.ndarray:
     return table
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same frame; Arrow batches of its session are bounded by ``BATCH_BYTES`` if they were larger."""
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCH_SETTING).lower().rstrip("b")) > BATCH_BYTES:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
+def field(column: pa.StructArray, name: int) -> pa.Array:
+    """One column of packed rows."""
+    return column.flatten()[name]
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; a null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string())
     if column.null_count:
-        column = column.fill_null("")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) else "")
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], width)[column.offset:column.offset + len(column) + 1].astype(np.int64)
     data = column.buffers()[2]
     octets = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return octets[offsets[0]:offsets[-1]], offsets - offsets[0]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shingles import BASE, CHUNK, INVERSE, STEPS, _power_table, buffers, chunks, mix, span_hashes
+from tallyforge.llm.shingles import BASE, CHUNK, INVERSE, STEPS, _power_table, buffers, chunks, mix, span_hashes, small_batches
 from tallyforge.session import materialise
 
 LEAST_LETTERS, LEAST_TIMES = 7, 2
@@ -134,7 +134,7 @@ def words(docs: DataFrame, alter: bool = False) -> DataFrame:
                     yield counted()
         yield counted()
 
-    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(count, "word string, n bigint")
+    found = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(count, "word string, n bigint")
     return found.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TIMES)
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import os
 import random
 import zlib
@@ -72,7 +73,8 @@ def test_ids_are_those_of_whole_texts():
 
 
 def test_packing(frame, monkeypatch):
-    monkeypatch.setattr(packing, "SHARD_BYTES", 20_000)
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 10_000)
+    monkeypatch.setattr(packing, "TASK_BYTES", 20_000)
     random.seed(3)
     words = "alpha beta gamma delta the of and data lake spark".split()
     rows = [(i, " ".join(random.choices(words, k=random.randint(0, 300)))) for i in range(80)]
@@ -101,12 +103,94 @@ def test_packing(frame, monkeypatch):
     assert packing.pack(frame([]), VOCABULARY).count() == 0
 
 
+def corpus_like(docs: list[np.ndarray], documents: int | None = None) -> packing.Corpus:
+    held = np.zeros(packing.VOCABULARY)
+    for d in docs:
+        held[np.unique(d)] += 1
+    return packing.Corpus(documents or len(docs), sum(map(len, docs)) / len(docs), held)
+
+
+def plain_fill(docs: list[np.ndarray], window: int, corpus: packing.Corpus) -> list[int]:
+    """The order in which documents are placed, scoring every unused one for each seed by the formula."""
+    def score(seed, doc):
+        total = 0.0
+        for term in set(seed.tolist()):
+            n = int((doc == term).sum())
+            idf = math.log(1 + (corpus.documents - corpus.held[term] + 0.5) / (corpus.held[term] + 0.5))
+            total += idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(doc) / corpus.mean))
+        return total
+
+    unused, order, used = set(range(1, len(docs))), [0], 0
+    seed, used = (0, len(docs[0])) if len(docs[0]) < window else (0, len(docs[0]) % window)
+    scores = None
+    while unused:
+        if scores is None:
+            scores = {d: score(docs[seed], docs[d]) for d in range(len(docs))}
+        best = max(unused, key=lambda d: (round(scores[d], 4), -d))
+        if scores[best] <= 0:
+            best = min(unused)
+        unused.remove(best)
+        order.append(best)
+        if used + len(docs[best]) >= window:
+            seed, scores = best, None
+        used = (used + len(docs[best])) % window
+    return order
+
+
+def test_choice_is_that_of_a_plain_greedy_one():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        docs = [rng.choice(60, size=rng.integers(1, 30), p=np.arange(60, 0, -1) / 1830).astype(np.uint16) for _ in range(40)]
+        corpus = corpus_like(docs, 90)
+        order = [d for d, start, *_ in packing.fill(docs, 64, corpus) if start == 0]
+        assert order == plain_fill(docs, 64, corpus)
+
+
 def test_neighbours_come_first():
-    index = packing.Index([np.array(x, np.uint16) for x in ([1, 2, 3, 4], [1, 2, 3, 9], [7, 8], [4, 8, 8])])
-    scores = index.scores(np.array([1, 2, 3, 4], np.uint16))
+    docs = [np.array(x, np.uint16) for x in ([1, 2, 3, 4], [1, 2, 3, 9], [7, 8], [4, 8, 8])]
+    scores = packing.Index(docs, corpus_like(docs)).scores(np.array([1, 2, 3, 4], np.uint16))
     assert scores.argsort()[::-1][:3].tolist() == [0, 1, 3] and scores[2] == 0
-    order = [d for d, *_ in packing.fill([np.array(x, np.uint16) for x in ([1, 2, 3], [7, 8], [1, 2, 9])], 100)]
-    assert order == [0, 2, 1]
+    docs = [np.array(x, np.uint16) for x in ([1, 2, 3], [7, 8], [1, 2, 9])]
+    assert [d for d, *_ in packing.fill(docs, 100, corpus_like(docs))] == [0, 2, 1]
+
+
+def test_counts_are_those_of_all_documents(frame):
+    rows = [(i, f"word{i % 7} common") for i in range(50)] + [(None, None), (3, "common common")]
+    coder = tokens.Encoder(VOCABULARY)
+    docs = [np.array([*coder.tokenizer.encode(t or "", add_special_tokens=False).ids, 2]) for _, t in rows]
+    ids = frame(rows).selectExpr("doc_id as row", "text").mapInArrow(packing._encode(VOCABULARY), "row bigint, ids binary")
+    found, want = packing.corpus_of(ids), corpus_like(docs)
+    assert (found.documents, found.mean) == (52, want.mean) and np.array_equal(found.held, want.held)
+
+
+def test_related_texts_meet_wherever_they_stand(frame, monkeypatch):
+    """Pairs on a subject of their own, a thousand ids apart and in other tasks, share a window though a shard holds few documents."""
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 4_000)
+    monkeypatch.setattr(packing, "TASK_BYTES", 30_000)
+    random.seed(11)
+    plain = "the of and to in is that for it as was with be by on not he his but at".split()
+    names = [" ".join("".join(random.choices("bdfgklmnprstvz", k=3)) for _ in range(3)) for _ in range(150)]
+    rows = []
+    for k, name in enumerate(names):
+        for place in (k, 1000 + k):
+            rows.append((place, " ".join(random.choices(plain, k=40)) + f" {name} " + " ".join(random.choices(plain, k=40))))
+    windows = collections.defaultdict(set)
+    for r in packing.pack(frame(rows, 6), VOCABULARY, 512).collect():
+        windows[r.doc_id].add(r.sequence_id)
+    together = sum(bool(windows[k] & windows[1000 + k]) for k in range(150))
+    assert together >= 120
+
+
+def test_shards_stay_bounded_with_a_third_without_id(frame, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 2_000)
+    monkeypatch.setattr(packing, "TASK_BYTES", 8_000)
+    random.seed(12)
+    same = "the same words again and again " * 5
+    rows = [(i if i % 3 else None, same if i % 3 == 0 else " ".join(random.choices("red green blue black white".split(), k=30))) for i in range(900)]
+    found = packing.pack(frame(rows, 4), VOCABULARY, 256).withColumn("task", F.col("sequence_id").bitwiseAND(-(1 << 32)))
+    sizes = [r["n"] for r in found.groupBy("task").agg(F.sum("length").alias("n")).collect()]
+    assert len(sizes) >= 5 and max(sizes) <= 3 * sum(sizes) / len(sizes)
+    assert found.where("doc_id is null and start = 0").count() == 300
 
 
 PAGES = [(1, "http://a/é b", "<p>" + "x" * 200), (2, None, "<p>" + "x" * 200), (3, "u", "short"), (4, "u", "short"), (5, "u", None), (6, "u", ""),
