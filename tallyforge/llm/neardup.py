@@ -36,6 +36,8 @@ SLACK = 4.0
 SIDE = 1024
 #: Pairs of one node that are decided in one go.
 PORTION = 256
+#: Bits of the map that tells which texts are needed again.
+BITS = 1 << 23
 #: Points of the likelihood that are tried.
 GRID = 64
 
@@ -150,11 +152,23 @@ def _confirm(percent: int):
     return confirm
 
 
+def possible(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose hash ``key`` may be among those of ``wanted``: all that are, and few others while those are fewer than ``BITS``.
+
+    What is broadcast is a bitmap of ``BITS`` bits, as words of 64, however many hashes there are.
+    """
+    place, word, bit = F.pmod(key, F.lit(BITS)), "_word", F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(key, F.lit(64)).cast("int"))
+    words = wanted.select(F.floor(place / 64).alias(word), bit.alias("bit")).groupBy(word).agg(F.bit_or("bit").alias("_bits"))
+    marked = rows.withColumns({word: F.floor(place / 64), "_bit": bit}).join(F.broadcast(words), word)
+    return marked.where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select(rows.columns)
+
+
 def texts_of(wanted: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """``set_id, text`` of distinct nodes, from the row picked for each."""
+    """``set_id, text`` of distinct nodes, from the row picked for each. Other texts are left where they are."""
     picked = wanted.join(sets.select("set_id", "pick"), "set_id").select(
         "set_id", F.col("pick.tid").alias("tid"), F.col("pick.doc_id").alias("pick_id"))
-    own = docs.select("doc_id", "text", F.xxhash64("text").alias("tid"))
+    picked = materialise(picked, "near-picked")
+    own = possible(docs.select("doc_id", "text", F.xxhash64("text").alias("tid")), picked, "tid")
     return own.join(picked, (own["tid"] == picked["tid"]) & own["doc_id"].eqNullSafe(picked["pick_id"])).select("set_id", "text")
 
 
@@ -302,7 +316,7 @@ def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     ``comp`` tells components apart, those without a name too; it is null, as ``component_id`` is, for rows without shingles.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = shingles.small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     threshold = percent / 100
     own = materialise(features(docs), "near-features")
     sets = materialise(own.where("n_shingles > 0").groupBy("set_id").agg(
