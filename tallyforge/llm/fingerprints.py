@@ -1,6 +1,7 @@
 """Document fingerprints: invertible Bloom lookup tables over paragraph digests.
 
-Every paragraph (line) of a text is hashed into three cells, which keep a count, the exclusive or of the digests and that of their
+A paragraph is a line, or of a long line each sentence, or of a long sentence each stretch up to a word that its hash singles out.
+Every one is hashed into three cells, which keep a count, the exclusive or of the digests and that of their
 checks. Two fingerprints subtract cell by cell, and what is left peels: a cell with one digest gives it away, it is taken
 from its other cells, and so on. What comes out are the paragraphs that differ. If cells remain, both tables are
 built anew at twice the size. A repeated paragraph has a digest for each time it occurs.
@@ -9,6 +10,8 @@ built anew at twice the size. A repeated paragraph has a digest for each time it
 from __future__ import annotations
 
 import hashlib
+import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,16 +27,39 @@ from tallyforge.session import materialise
 
 #: Cells of a fingerprint; a multiple of three.
 CELLS = 12
+#: Characters of a line that is one paragraph, and one in how many words ends a stretch of a longer sentence.
+LINE, STRETCH = 200, 16
+SENTENCE_END = re.compile(r"(?<=[.!?]) |(?<=[\u3002\uff01\uff1f])")
 #: Texts and characters worked on at once; a longer text is worked on alone.
 GROUP, GROUP_CHARS = 500, 1 << 20
 
 
+def paragraphs(text: str) -> Iterator[str]:
+    """Lines; those of more than ``LINE`` characters are cut behind sentence ends, and what is still longer behind words whose CRC-32 is
+    divisible by ``STRETCH``. Cuts depend on what is around them alone, so an edit changes few pieces."""
+    for line in text.split("\n"):
+        if len(line) <= LINE:
+            yield line
+            continue
+        for sentence in SENTENCE_END.split(line):
+            if len(sentence) <= LINE:
+                yield sentence
+                continue
+            words = sentence.split(" ")
+            at = 0
+            for i, word in enumerate(words):
+                if zlib.crc32(word.encode("utf-8", "surrogatepass")) % STRETCH == 0:
+                    yield " ".join(words[at:i + 1])
+                    at = i + 1
+            yield " ".join(words[at:])
+
+
 def digests(text: str, known: dict[str, int] | None = None) -> np.ndarray:
     """One 64-bit digest per paragraph and occurrence. ``known`` remembers paragraphs."""
     known = {} if known is None else known
     seen: dict[str, int] = {}
     out = []
-    for line in text.split("\n"):
+    for line in paragraphs(text):
         if line not in known:
             known[line] = int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         n = seen[line] = seen.get(line, 0) + 1
@@ -60,8 +86,8 @@ class Tables:
         return self.counts[:, :self.counts.shape[1] // 3].sum(axis=1)
 
     def packed(self) -> list[bytes]:
-        cells = np.zeros(self.counts.shape, np.dtype([("count", "<i2"), ("key", "<u8"), ("check", "<u4")]))
-        cells["count"], cells["key"], cells["check"] = self.counts.astype("<i2"), self.keys, self.checks
+        cells = np.zeros(self.counts.shape, np.dtype([("count", "<i4"), ("key", "<u8"), ("check", "<u4")]))
+        cells["count"], cells["key"], cells["check"] = self.counts, self.keys, self.checks
         return [row.tobytes() for row in cells]
 
 
@@ -201,7 +227,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
 
     In order of doc_id (null first, then by a hash of the text) the last quarter of a text is replaced by as much of the start of the next
     text; after the last comes the first. Returns ``doc_id, n_chars, edited_sha256, cells, edited_cells, near_edited, near_next``. A null
-    text is empty; an empty text is one empty paragraph. Repeated rows each come back. Other columns are not read. An
+    text is empty; an empty text is one empty paragraph; a very long one is worked on alone. Repeated rows each come back. Other columns are not read. An
     empty table gives an empty result; a single row is its own next.
 
     Texts are moved once, into ranges of doc_id; what lies between two ranges, a row of each, is joined afterwards.
