@@ -36,15 +36,13 @@ BASE = (
     Rule("hex", r"[0-9a-f]{16,}"),
 )
 # A key is all from its header to its END line; nothing between may have five dashes. Where END is missing it is what follows of
-# header fields and base64 lines, breaks in plain or escaped form, and a last short line. Lines of 64 and 76 may be many, as units of
-# one length are matched without recursion; of other lines of at least 16 there may be 248, more than any key has.
+# header fields and base64 lines, breaks in plain or escaped form, and a last short line. Repeats are possessive, which the JVM matches
+# in a loop, so there may be any number of lines; nothing behind them needs one back.
 _BREAK = r"(?:[ \t\r\n]|\\[nr]){1,8}"
-_FIELDS = rf"(?:{_BREAK}[A-Z][A-Za-z]{{1,20}}-[A-Z][A-Za-z]{{1,20}}: ?[^\r\n\\]*){{0,4}}"
+_FIELDS = rf"(?:{_BREAK}[A-Z][A-Za-z]{{1,20}}-[A-Z][A-Za-z]{{1,20}}: ?[^\r\n\\]*)*+"
 _BASE64 = "[A-Za-z0-9+/=]"
-_LINES = "".join(rf"(?:{end}{_BASE64}{{{width}}})*" for width in (76, 64) for end in (r"\n", r"\r\n", r"\\n"))
-_KEY = (rf"-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY-----(?:[^-]*(?:-{{1,4}}[^-]+){{0,100}}-----END [A-Z ]{{0,20}}PRIVATE KEY-----"
-        rf"|{_FIELDS}(?:{_BASE64}{{16,}})?{_LINES}" + rf"(?:{_BREAK}{_BASE64}{{16,}}){{0,62}}" * 4
-        + rf"(?:{_BREAK}[A-Za-z0-9+/]+={{0,2}}(?:[\r\n]|$))?)")
+_KEY = (rf"-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY-----(?:[^-]*(?:-{{1,4}}[^-]+)*+-----END [A-Z ]{{0,20}}PRIVATE KEY-----"
+        rf"|{_FIELDS}(?:{_BASE64}{{16,}})?(?:{_BREAK}{_BASE64}{{16,}})*+(?:{_BREAK}[A-Za-z0-9+/]+={{0,2}}(?:[\r\n]|$))?)")
 # Published token shapes of common services.
 MORE = (
     Rule("private_key", _KEY),
@@ -102,8 +100,9 @@ def find(text: Column, rule: Rule, order: int) -> Column:
 
 def postings(texts: DataFrame, grams: list[str], blocks: int) -> DataFrame:
     """The inverted index of ``(key, text)``: per block of keys and trigram, the keys of texts that contain it."""
-    low = F.lower(F.col("text"))
-    held = F.filter(F.array(*[F.lit(g) for g in grams]), lambda g: F.contains(low, g))
+    listed = F.array(*[F.lit(g) for g in grams])
+    # bound first, so that a text is lowered once and not for every trigram
+    held = F.get(F.transform(F.array(F.lower("text")), lambda low: F.filter(listed, lambda g: F.contains(low, g))), F.lit(0))
     rows = texts.select("key", F.explode(held).alias("gram"))
     return rows.groupBy(F.pmod("key", F.lit(blocks)).alias("block"), "gram").agg(F.collect_set("key").alias("keys"))
 
@@ -141,7 +140,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -
     Spans of different rules may overlap. Equal texts are indexed once; keys are 64-bit hashes, and texts that share one
     only become candidates together. Repeated rows each come back; an empty table gives an empty result.
     """
-    conditions = {r.kind: c for r in rules if (c := trigrams.mandatory(r.pattern))}
+    conditions = {r.kind: trigrams.selective(c) for r in rules if (c := trigrams.mandatory(r.pattern))}
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                          F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     packed = packed.withColumn("key", F.xxhash64("text"))

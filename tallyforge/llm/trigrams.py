@@ -15,6 +15,8 @@ from re import _parser as parser
 
 Condition = list[list[frozenset[str]]]
 
+#: Fixed value: letters of running text, the most frequent first.
+COMMON = " etaoinsrhldcumfpgwybvk"
 #: Literal parts are multiplied out up to so many strings; beyond, the part counts as unknown.
 MAX_STRINGS = 64
 
@@ -30,6 +32,14 @@ def mandatory(pattern: str) -> Condition:
     return clauses
 
 
+def selective(condition: Condition, most: int = 2) -> Condition:
+    """A weaker condition of a few trigrams per alternative, those of the rarest letters; every match still meets it."""
+    def commonness(gram: str) -> tuple[int, str]:
+        return sum(COMMON.find(c) + 1 and len(COMMON) - COMMON.find(c) for c in gram), gram
+
+    return [sorted({frozenset(sorted(grams, key=commonness)[:most]) for grams in clause}, key=sorted) for clause in condition]
+
+
 def vocabulary(conditions: list[Condition]) -> list[str]:
     """All trigrams that some condition names."""
     return sorted({t for condition in conditions for clause in condition for grams in clause for t in grams})

@@ -126,7 +126,11 @@ def test_whole_private_keys_go(frame):
              (f"{begin}\n{lines[0]}\n{begin}\n{body}\n{end} x", f"{mark}\n{mark} x"),
              (f"{begin}\nsome words only", f"{mark}\nsome words only"),
              (f"{begin}\n" + "\n".join(lines[:30] * 60), mark), (f"{begin}\r\n" + "\r\n".join(x + "Zz+/00000000" for x in lines[:30] * 60), mark),
-             (f"{begin}\n  " + "\n  ".join(x[:50] for x in lines[:30] * 8) + "\nprose on", f"{mark}\nprose on"), (f"{begin} a" + " - b" * 20000, f"{mark} a" + " - b" * 20000)]
+             (f"{begin}\n  " + "\n  ".join(x[:50] for x in lines[:30] * 8) + "\nprose on", f"{mark}\nprose on"), (f"{begin} a" + " - b" * 20000, f"{mark} a" + " - b" * 20000),
+             (f"{begin}\n" + "\n".join(x[:50] for x in lines[:20] * 20) + "\nprose on", f"{mark}\nprose on"),
+             (f"{begin}\n" + "\n".join(x[:16 + i % 40] for i, x in enumerate(lines[:30] * 2000)) + "\n- on", f"{mark}\n- on"),
+             (f"{begin}\n" + "".join(f"Field-Name: {i}\n" for i in range(9)) + body, mark),
+             (f"{begin}\n" + "a - b -- c\n" * 5000 + f"{end}!", f"{mark}!")]
     got = {r.doc_id: r.text for r in secrets.redact(frame([(i, t) for i, (t, _) in enumerate(cases)])).collect()}
     for i, (text, clean) in enumerate(cases):
         assert got[i] == clean, (i, got[i][:200])
