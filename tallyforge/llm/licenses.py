@@ -1,34 +1,59 @@
-"""License scans: normalised pieces of text against license templates by the Dice coefficient over word bigrams.
+"""License scans: normalised text against license templates by the Dice coefficient over word bigrams.
 
-Pieces are lines, paragraphs of several lines, and whole texts of several paragraphs. Bigrams count as often as they occur, so
-the number of words alone bounds the coefficient, and a template is only compared with pieces whose size allows the
-threshold. All of it is DataFrame work inside the JVM.
+Pieces are lines, paragraphs of several lines, and whole texts of several paragraphs; a notice may also stand inside a paragraph, where
+windows of a template's size are compared. Bigrams count as often as they occur, so the number of words alone bounds the
+coefficient, and a template is only compared with pieces whose size allows the threshold. A window that reaches it
+holds one of the template's first few bigrams, the most telling ones first, so only windows around those are formed. Templates of all
+versions and kinds compete, and the best one names the license. All of it is DataFrame work inside the JVM.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.session import materialise
+
 THRESHOLD = 0.8
 
-# Customary notices of public licenses.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+# Names of public licenses, phrases that name a license, and customary notices.
+NAMES = (
+    ("AGPL-3.0", "GNU Affero General Public License, version 3"),
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSL-1.0", "Boost Software License, Version 1.0"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-NC-ND-4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    ("CC-BY-NC-SA-4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("EPL-2.0", "Eclipse Public License, version 2.0"),
+    ("GPL-2.0", "GNU General Public License, version 2"),
+    ("GPL-3.0", "GNU General Public License, version 3"),
+    ("ISC", "ISC License"),
+    ("LGPL-2.1", "GNU Lesser General Public License, version 2.1"),
+    ("LGPL-3.0", "GNU Lesser General Public License, version 3"),
+    ("MIT", "MIT License"),
+    ("MPL-2.0", "Mozilla Public License, version 2.0"),
+)
+FORMS = ("Licensed under the {}.", "Released under the {}.", "Distributed under the {}.", "This work is licensed under the {}.")
+COMMONS_FORMS = ("Licensed under {}.", "This work is licensed under {}.")
+GNU_NOTICE = ("This program is free software: you can redistribute it and/or modify it under the terms of the {} as published by the Free Software "
+              "Foundation, either version {} of the License, or (at your option) any later version.")
+NOTICES = (
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
                    "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
                      "the following conditions are met:"),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-                "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-                "option) any later version."),
-    ("MIT", "Released under the MIT License."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+            "provided that the above copyright notice and this permission notice appear in all copies."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
             'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
             "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
@@ -36,7 +61,22 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
                 "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("Proprietary", "All rights reserved."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+#: Words that tell notices from other text, the most telling ones first.
+TELLING = ("license", "licensed", "commons", "cc", "copyright", "rights", "permission", "redistribution", "unencumbered", "redistribute", "software",
+           "permitted", "granted")
+
+
+def _templates() -> tuple[tuple[str, str], ...]:
+    """Every name in every form, short names of the Creative Commons, the notices of the GNU licenses, and those above."""
+    named = [(i, form.format(name)) for i, name in NAMES for form in FORMS]
+    commons = [(i, form.format("CC " + i[3:].replace("-4.0", " 4.0"))) for i, _ in NAMES if i.startswith("CC-") for form in COMMONS_FORMS]
+    gnu = [(i, GNU_NOTICE.format(*name.split(", version "))) for i, name in NAMES if name.startswith("GNU ")]
+    return (*named, *commons, *gnu, *NOTICES)
+
+
+TEMPLATES = _templates()
 
 
 def normal(text: Column) -> Column:
@@ -88,11 +128,73 @@ def templates(spark: SparkSession, texts: tuple[tuple[str, str], ...]) -> DataFr
     return found.groupBy("template", "license", "size", "bigram").agg(F.count("*").alias("times"))
 
 
+def prefixes(texts: tuple[tuple[str, str], ...], threshold: float) -> list[tuple[int, str, int, str]]:
+    """``template, license, size, bigram``: so many bigrams of each template that a window of its size must hold one to reach the threshold."""
+    def order(gram: str) -> tuple[int, str]:
+        return min((TELLING.index(w) for w in gram.split() if w in TELLING), default=len(TELLING)), gram
+
+    rows = []
+    for i, (name, text) in enumerate(texts):
+        words = _words(text)
+        grams = Counter(f"{a} {b}" for a, b in zip(words, words[1:])) or Counter(words)
+        size = sum(grams.values())
+        open_ = size - math.ceil(threshold * size - 1e-9) + 1
+        for gram in sorted(grams, key=order):
+            if open_ <= 0:
+                break
+            rows.append((i, name, size, gram))
+            open_ -= grams[gram]
+    return rows
+
+
+def windows(docs: DataFrame, texts: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, number, start, license, dice`` of notices inside paragraphs: windows of a template's size that reach the threshold.
+
+    ``start`` is the number of the window's first word in the paragraph, from 0. Of overlapping windows the best stays, by coefficient, then
+    size, template and start. Only paragraphs with a word of some prefix are looked at.
+    """
+    first = prefixes(texts, threshold)
+    spark = docs.sparkSession
+    table = F.broadcast(spark.createDataFrame(first, "template int, license string, size int, bigram string"))  # from a fixed list
+    held = F.broadcast(templates(spark, texts).select("template", "bigram", "times"))
+    anchors = sorted({min(g.split(), key=lambda w: (TELLING.index(w) if w in TELLING else len(TELLING), -len(w))) for *_, g in first})
+    listed = F.array(*[F.lit(a) for a in anchors])
+    parts = F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\n[ \t]*\n", -1)).alias("at", "part")
+    whole = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").where(
+        F.get(F.transform(F.array(F.lower("text")), lambda low: F.exists(listed, lambda a: F.contains(low, a))), F.lit(0)))
+    plain = whole.select("row", "doc_id", parts).select("row", "doc_id", (F.col("at") + 1).alias("number"), F.split(normal(F.col("part")), " ").alias("words"))
+    grams = materialise(plain.where(F.size("words") > 1).select("row", "doc_id", "number", F.posexplode(bigrams(F.col("words"))).alias("pos", "bigram"),
+                                                                (F.size("words") - 1).alias("n")), "license-bigrams")
+    hits = grams.join(table, "bigram").where("n >= size")
+    starts = hits.select("row", "number", "template", "size", F.explode(F.sequence(
+        F.greatest(F.lit(0), F.col("pos") - F.col("size") + 1), F.least(F.col("pos"), F.col("n") - F.col("size")))).alias("start")).distinct()
+    cells = starts.withColumn("pos", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)))
+    counted = cells.join(grams.select("row", "number", "pos", "bigram"), ["row", "number", "pos"]).groupBy(
+        "row", "number", "template", "size", "start", "bigram").agg(F.count("*").alias("found"))
+    shared = counted.join(held, ["template", "bigram"]).groupBy("row", "number", "template", "size", "start").agg(
+        F.sum(F.least("found", "times")).alias("both"))
+    good = shared.withColumn("dice", 2.0 * F.col("both") / (2 * F.col("size"))).where(F.col("dice") >= threshold)
+    # per paragraph as many windows as there are places in it for notices
+    ranked = good.groupBy("row", "number").agg(F.array_sort(F.collect_list(F.struct(
+        (-F.col("dice")).alias("order"), (-F.col("size")).alias("less"), "template", "start", "size", "dice"))).alias("found"))
+
+    def apart(kept: Column, x: Column) -> Column:
+        return ~F.exists(kept, lambda a: (a["start"] <= x["start"] + x["size"]) & (x["start"] <= a["start"] + a["size"]))
+
+    kept = F.aggregate("found", F.slice("found", F.lit(1), F.lit(0)), lambda kept, x: F.when(apart(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+    names = F.lit([name for name, _ in texts]).cast("array<string>")
+    named = ranked.select("row", "number", F.explode(kept).alias("w")).select(
+        "row", "number", F.col("w.start").cast("bigint").alias("start"), F.get(names, F.col("w.template")).alias("license"), F.col("w.dice").alias("dice"))
+    return named.join(grams.where("pos = 0").select("row", "number", "doc_id"), ["row", "number"]).select("doc_id", "number", "start", "license", "dice")
+
+
 def scan(docs: DataFrame, texts: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, unit, number, license, dice`` for every piece of ``(doc_id, text)`` that reaches ``threshold`` with a template.
+    """``doc_id, unit, number, start, license, dice`` for every piece of ``(doc_id, text)`` that reaches ``threshold`` with a template, and
+    for every notice inside a paragraph (unit ``window``, see ``windows``; the others start at word 0).
 
     The best template names the license, of equal ones the first in the list. Null and wordless texts have no pieces to
-    compare. Repeated rows come back once each; other columns are not read. An empty table gives an empty result.
+    compare. Repeated rows come back once each; other columns are not read. An empty table gives an empty result. A very long text
+    is split in one task, its bigrams are rows of their own.
     """
     least = F.broadcast(templates(docs.sparkSession, texts))  # a fixed list
     sizes = [len(_words(t)) for _, t in texts]
@@ -109,7 +211,9 @@ def scan(docs: DataFrame, texts: tuple[tuple[str, str], ...] = TEMPLATES, thresh
         (2.0 * F.sum("both") / (F.col("n") + F.col("size"))).alias("dice")).where(F.col("dice") >= threshold)
     best = dice.groupBy("row", "doc_id", "unit", "number").agg(
         F.max(F.struct("dice", (-F.col("template")).alias("order"), "license")).alias("best"))
-    return best.select("doc_id", "unit", "number", F.col("best.license").alias("license"), F.col("best.dice").alias("dice"))
+    pieced = best.select("doc_id", "unit", "number", F.lit(0).cast("bigint").alias("start"), F.col("best.license").alias("license"),
+                         F.col("best.dice").alias("dice"))
+    return pieced.unionByName(windows(docs, texts, threshold).withColumn("unit", F.lit("window")))
 
 
 def _words(text: str) -> list[str]:

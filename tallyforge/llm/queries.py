@@ -50,7 +50,7 @@ def jump_shards(docs: DataFrame) -> DataFrame:
 
 def _spans_sql(rank: int, rule: secrets.Rule) -> str:
     """Spans of one rule: what the pattern splits off and what it finds, added up."""
-    pattern = rule.pattern.replace("'", "''")
+    pattern = rule.pattern.replace("'", "''").replace(")*+", ")*")  # DuckDB matches without going back in any case
     return f"""
   SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, unnest(list_filter(list_transform(range(len(found)), lambda i: {{
     'start': list_sum(list_transform(gaps[1:i + 1], lambda g: length(g)))::BIGINT
@@ -174,9 +174,28 @@ known AS (SELECT template, license, len(g) AS size, unnest(g) AS gram FROM (SELE
   FROM (SELECT template, license, string_split({_normal_sql("text")}, ' ') AS w FROM notices))),
 known_counted AS (SELECT template, license, size, gram, count(*) AS held FROM known GROUP BY ALL),
 scores AS (SELECT doc_id, unit, number, template, license, 2.0::DOUBLE * sum(least(times, held))::DOUBLE / (n + size) AS dice
-  FROM counted JOIN known_counted USING (gram) GROUP BY doc_id, unit, number, n, template, license, size)
-SELECT doc_id, unit, number::INTEGER AS number, license, dice FROM scores WHERE dice >= {licenses.THRESHOLD}
-QUALIFY row_number() OVER (PARTITION BY doc_id, unit, number ORDER BY dice DESC, template) = 1"""
+  FROM counted JOIN known_counted USING (gram) GROUP BY doc_id, unit, number, n, template, license, size),
+best AS (SELECT doc_id, unit, number::INTEGER AS number, 0::BIGINT AS start, license, dice FROM scores WHERE dice >= {licenses.THRESHOLD}
+  QUALIFY row_number() OVER (PARTITION BY doc_id, unit, number ORDER BY dice DESC, template) = 1),
+paragraphs AS (SELECT doc_id, number, g FROM (SELECT doc_id, number, {_bigrams_sql("w")} AS g, len(w) AS k FROM (
+  SELECT doc_id, number, string_split({_normal_sql("piece")}, ' ') AS w FROM (
+    SELECT doc_id, unnest(range(1, len(parts) + 1)) AS number, unnest(parts) AS piece FROM texts))) WHERE k > 1),
+placed AS MATERIALIZED (SELECT doc_id, number, len(g) AS n, unnest(range(len(g))) AS pos, unnest(g) AS gram FROM paragraphs),
+sized AS (SELECT DISTINCT template, license, size FROM known_counted),
+-- every window in which a bigram of the template stands
+spots AS (SELECT DISTINCT doc_id, number, template, size, unnest(range(greatest(0, pos - size + 1), least(pos, n - size) + 1)) AS start
+  FROM placed JOIN known_counted USING (gram) WHERE n >= size AND ({" OR ".join(f"contains(gram, '{w}')" for w in licenses.TELLING)}
+    OR gram IN (SELECT unnest([{", ".join("'" + g + "'" for *_, g in licenses.prefixes(licenses.TEMPLATES, licenses.THRESHOLD))}])))),
+within_spots AS (SELECT doc_id, number, template, size, start, gram, count(*) AS times
+  FROM (SELECT *, unnest(range(start, start + size)) AS pos FROM spots) JOIN placed USING (doc_id, number, pos) GROUP BY ALL),
+marks AS (SELECT w.doc_id, w.number, w.template, k.license, w.size, w.start, 2.0::DOUBLE * sum(least(w.times, held))::DOUBLE / (2 * w.size) AS dice
+  FROM within_spots w JOIN known_counted k ON k.template = w.template AND k.gram = w.gram
+  GROUP BY w.doc_id, w.number, w.template, k.license, w.size, w.start HAVING 2.0::DOUBLE * sum(least(w.times, held))::DOUBLE / (2 * w.size) >= {licenses.THRESHOLD}),
+ranked AS (SELECT doc_id, number, list([{{'start': start, 'size': size, 'license': license, 'dice': dice}}] ORDER BY dice DESC, size DESC, template, start) AS found
+  FROM marks GROUP BY doc_id, number),
+apart AS (SELECT doc_id, number, unnest(list_reduce(found, lambda kept, x: CASE WHEN len(list_filter(kept, lambda a:
+  a.start <= x[1].start + x[1].size AND x[1].start <= a.start + a.size)) > 0 THEN kept ELSE list_concat(kept, x) END)) AS w FROM ranked)
+SELECT * FROM best UNION ALL SELECT doc_id, 'window', number::INTEGER, w.start::BIGINT, w.license, w.dice FROM apart"""
 
 
 @query("op8_license_notices", "documents", SQL_LICENSES)

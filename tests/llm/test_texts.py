@@ -5,6 +5,7 @@ import hashlib
 import math
 import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -20,7 +21,7 @@ TABLES = "/root/testdata/sf0.1"
 
 
 def bag(text: str | None) -> set[tuple[str, int]]:
-    return {(line, k) for line, n in collections.Counter((text or "").split("\n")).items() for k in range(n)}
+    return {(line, k) for line, n in collections.Counter(fingerprints.paragraphs(text or "")).items() for k in range(n)}
 
 
 def test_peeling_gives_the_difference():
@@ -53,6 +54,25 @@ def test_fingerprints(frame):
         assert seen.setdefault(text, r.cells) == r.cells
 
 
+def test_texts_of_one_line_keep_their_likeness(frame):
+    random.seed(9)
+    words = ["".join(random.choices("abcdefghijklmnopq", k=random.randint(2, 9))) for _ in range(3000)]
+    prose = [(i, " ".join(w + (random.choice(". . . ! , ") if random.random() < .1 else " ") for w in random.choices(words, k=900))) for i in range(6)]
+    bare = [(10 + i, " ".join(random.choices(words, k=900))) for i in range(6)]
+    for r in fingerprints.compare_with_next(frame(prose + bare)).collect():
+        # where prose follows bare words or the other way round, what is put in has another number of pieces
+        assert r.near_edited > (0.2 if r.doc_id in (5, 15) else 0.5) and r.near_edited > r.near_next + 0.2, r
+
+
+def test_counts_of_very_many_lines(frame):
+    many, one = "\n".join(map(str, range(150_000))), "\n".join(map(str, range(1, 150_001)))
+    tables = fingerprints.build([fingerprints.digests(many)], 12)
+    cells = np.frombuffer(tables.packed()[0], np.dtype([("count", "<i4"), ("key", "<u8"), ("check", "<u4")]))
+    assert cells["count"][:4].sum() == 150_000 and (cells["count"] > 30_000).all()
+    found = {r.doc_id: r for r in fingerprints.compare_with_next(frame([(1, many), (2, one)])).collect()}
+    assert found[1].cells != found[2].cells and abs(found[1].near_next - 149_999 / 150_001) < 1e-9
+
+
 def test_fingerprints_of_odd_tables(frame):
     assert fingerprints.compare_with_next(frame([])).count() == 0
     assert fingerprints.compare_with_next(frame([(1, "alone\nhere")])).first().near_next == 1
@@ -241,6 +261,75 @@ def test_licenses(frame):
     assert licenses.scan(frame([])).count() == 0
 
 
+def plain_windows(texts: list[str]) -> set:
+    """All windows of all template sizes at all places, and the greedy choice among them."""
+    plain = [(i, name, licenses._words(t)) for i, (name, t) in enumerate(licenses.TEMPLATES)]
+    grams = [(i, name, collections.Counter(zip(w, w[1:])), len(w) - 1) for i, name, w in plain]
+    out = set()
+    for doc, text in enumerate(texts):
+        for number, part in enumerate(re.split(r"\n[ \t]*\n", text), 1):
+            words = licenses._words(part)
+            pairs = list(zip(words, words[1:]))
+            found = []
+            for i, name, held, size in grams:
+                for start in range(len(pairs) - size + 1):
+                    both = sum((collections.Counter(pairs[start:start + size]) & held).values())
+                    if both / size >= licenses.THRESHOLD:
+                        found.append((-both / size, -size, i, start, name))
+            kept = []
+            for d, size, _, start, name in sorted(found):
+                if all(start - size < a or b < start for a, b in kept):
+                    kept.append((start, start - size))
+                    out.add((doc, number, start, name, -d))
+    return out
+
+
+def test_windows_are_those_of_a_plain_search(frame):
+    random.seed(13)
+    filler = "the software of this work is under a license and the public rights reserved version copyright permission to use".split()
+    texts = []
+    for _ in range(60):
+        words = []
+        for _ in range(random.randint(1, 4)):
+            words += random.choices(filler, k=random.randint(0, 15))
+            notice = licenses._words(random.choice(licenses.TEMPLATES)[1])
+            for _ in range(random.choice([0, 0, 1, 3])):
+                notice[random.randrange(len(notice))] = random.choice(filler)
+            words += notice
+        texts.append(" ".join(random.choice([*[""] * 60, "\n", "\n\n"]) + w for w in words))
+    got = {(r.doc_id, r.number, r.start, r.license, r.dice) for r in licenses.windows(frame(list(enumerate(texts)))).collect()}
+    assert got == plain_windows(texts) and len(got) > 80
+
+
+def test_notices_inside_longer_lines(frame):
+    cases = [("GNU", "This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+             ("LGPL", "This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+             ("rights", "Copyright 2024 Foo. All rights reserved.", "Proprietary"),
+             ("MIT", "The tool is free to use. Released under the MIT License.", "MIT"), ("CC", "Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0")]
+    found = collections.defaultdict(set)
+    for r in licenses.scan(frame([(i, t) for i, (_, t, _) in enumerate(cases)])).collect():
+        found[r.doc_id].add(r.license)
+    assert [found[i] for i in range(len(cases))] == [{name} for _, _, name in cases]
+
+
+def test_recall_of_planted_notices(frame):
+    random.seed(14)
+    words = ["".join(random.choices("abcdefghijklm", k=random.randint(2, 8))) for _ in range(500)]
+    rows, want = [], {}
+    for k, (name, notice) in enumerate(licenses.TEMPLATES * 3):
+        parts = notice.split()
+        if len(parts) > 12:
+            parts[random.randrange(3, len(parts) - 3)] = "whatever"
+        at = random.randint(0, 200)
+        rows.append((k, " ".join([*random.choices(words, k=at), *parts, *random.choices(words, k=50)])))
+        want[k] = name
+    found = collections.defaultdict(set)
+    for r in licenses.windows(frame(rows)).collect():
+        found[r.doc_id].add(r.license)
+    assert sum(want[k] in found[k] for k in want) >= 0.98 * len(want)
+    assert sum(found[k] == {want[k]} for k in want) >= 0.9 * len(want)
+
+
 def test_expectation_maximisation_finds_the_accuracies():
     rng = np.random.default_rng(1)
     good = rng.random(20_000) < 0.8
