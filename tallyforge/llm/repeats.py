@@ -115,7 +115,7 @@ def _mark(parts: int):
         for batch in batches:
             octets, offsets = buffers(batch.column("text"))
             rows, docs = batch.column("row").to_numpy(), batch.column("doc_id").to_numpy()
-            for a, b in chunks(offsets, 8 * CHUNK):
+            for a, b in chunks(offsets, PART_BYTES):
                 found = []
                 for at, stop in chunks(offsets[a:b + 1]):
                     cut = offsets[a + at:a + stop + 1]

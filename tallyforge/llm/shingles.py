@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Bytes of text worked on at once; a longer text is worked on alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 WORDS = 5
 #: Bytes of an Arrow batch at most; beyond it a batch is a single row.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

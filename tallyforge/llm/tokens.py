@@ -20,7 +20,7 @@ from tallyforge.llm.shingles import BASE, BYTES, SPACE, _power_table, buffers, c
 #: Bytes of text worked on at once. A longer text is cut before white space.
 PART = 1 << 18
 #: Places for stretches in a worker's table, and ids it keeps for them; a stretch can push out another one.
-PLACES, KEPT_IDS = 1 << 21, 1 << 24
+PLACES, KEPT_IDS = 1 << 20, 1 << 22
 PUNCTUATION = ".,:;!?|$%&*#-"
 #: Letters below are composed already and have lower cases of one letter, but for U+0130.
 PLAIN_LETTERS = "ƀ"

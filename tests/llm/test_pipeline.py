@@ -80,6 +80,25 @@ def test_stages(spark, shingle_set, tmp_path):
     assert placed == {d: len(x) for d, x in ids.items()}
 
 
+@pytest.mark.parametrize("rows", [[], [(None, None), (None, ""), (1, "a few words only"), (1, "a few words only"), (2, None)]], ids=["empty", "odd"])
+def test_stages_of_odd_tables(spark, rows):
+    """No rows, nulls and repeated rows, with columns named like those that stages use, one of them a map."""
+    import corpus_pipeline as pipeline
+    from tallyforge.session import materialise
+
+    schema = ("doc_id bigint, text string, lang string, source string, n_chars bigint, of_id bigint, of_tid string, row int, key string, "
+              "tid bigint, comp map<string,int>")
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), 7, "x", 1, "k", 2, {"a": 1}) for i, t in rows], schema)
+    counts = []
+    for name, stage in pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = materialise(stage(spark, docs, FOLDER), "odd")
+        assert docs.columns == columns and [f.dataType for f in docs.schema] == [f.dataType for f in spark.createDataFrame([], schema).schema]
+        counts.append(docs.count())
+    assert counts == ([5, 4, 4, 4] if rows else [0] * 4)
+    assert pipeline.pack(spark, docs, FOLDER).count() == counts[-1]
+
+
 def test_without_the_subpackage():
     """The entry module imports and keeps its other queries when the subpackage and the pipeline are not there."""
     import subprocess
