@@ -1,137 +1,26 @@
 """Oversampling of a rare class by interpolation between near neighbours.
 
-Neighbours are exact. Equal rows are merged first and keep a multiplicity, so many copies of one row cost no more than
-one. The distinct rows are cut into blocks of fixed size along the numeric feature that varies most. A row's
-neighbours inside its own block bound how far away better ones can be, and only blocks whose interval comes closer than that are
-compared as well. A task holds two blocks at a time and hands on the best ``k`` of each row, never all pairs.
+Equal rows are merged first and keep a multiplicity, so many copies of one row cost no more than one. The neighbours of the distinct rows
+are exact, see ``neighbours``.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyforge.operators.ranking import into_ranges, row_positions
+from tallyforge.operators.neighbours import BLOCK_ROWS, nearest_rows
 from tallyforge.operators.sampling import sample_n
-from tallyforge.session import materialise
 
-BLOCK_ROWS = 2048
-MAX_BLOCKS = 10_000
-CELLS = 4_000_000
 CHUNK = 10_000
-NEAR = "vid long, d2 double, n_vid long, n_mult long, n_num array<double>, n_cat array<string>"
-
-
-def _matrix(column: pd.Series, width: int) -> np.ndarray:
-    return np.array(column.tolist(), dtype=float).reshape(len(column), width)
-
-
-def _nearest(rows: pd.DataFrame, others: pd.DataFrame, k: int, n_num: int, n_cat: int) -> pd.DataFrame:
-    """The ``k`` rows of ``others`` nearest to each of ``rows``, a row never being its own neighbour.
-
-    Distances are worked out for a slice of ``rows`` at a time, so memory does not grow with the square of a block. Ties
-    go to the smaller ``vid``, whatever order the rows arrive in.
-    """
-    others = others.sort_values("vid", ignore_index=True)
-    b, b_cat, b_vid = _matrix(others["num"], n_num), list(others["cat"]), others["vid"].to_numpy()
-    found = []
-    for start in range(0, len(rows), max(1, CELLS // max(1, len(others)))):
-        part = rows.iloc[start:start + max(1, CELLS // max(1, len(others)))]
-        a = _matrix(part["num"], n_num)
-        d2 = np.zeros((len(part), len(others)))
-        for j in range(n_num):
-            d2 += np.subtract.outer(a[:, j], b[:, j]) ** 2
-        for j in range(n_cat):
-            left = np.array([c[j] for c in part["cat"]], dtype=object)
-            d2 += left[:, None] != np.array([c[j] for c in b_cat], dtype=object)[None, :]
-        vid = part["vid"].to_numpy()
-        d2[vid[:, None] == b_vid[None, :]] = np.inf
-        take = min(k, len(others))
-        best = np.argsort(d2, axis=1, kind="stable")[:, :take]
-        at = np.repeat(np.arange(len(part)), take)
-        chosen = others.iloc[best.ravel()]
-        found.append(pd.DataFrame({
-            "vid": vid[at], "d2": d2[at, best.ravel()], "n_vid": chosen["vid"].to_numpy(), "n_mult": chosen["mult"].to_numpy(),
-            "n_num": chosen["num"].to_numpy(), "n_cat": chosen["cat"].to_numpy()}))
-    result = pd.concat(found)
-    return result[np.isfinite(result["d2"])]
-
-
-def _blocks_within_reach(wide: DataFrame, lows: list[float], highs: list[float]) -> DataFrame:
-    """One row per row and other block whose interval is as close as the row's reach or closer.
-
-    Both lists ascend, so the blocks are a run; its ends are looked up like bin numbers.
-    """
-    def count_upto(df: DataFrame, point: Column, values: list[float], out: str) -> DataFrame:
-        edges = sorted(set(values))
-        upto = F.lit([0] + [bisect_right(values, e) for e in edges]).cast("array<int>")
-        found = into_ranges(df.withColumn("_point", point), "_point", edges, "_slot")
-        return found.withColumn(out, F.get(upto, F.col("_slot").cast("int"))).drop("_slot", "_point")
-
-    # a little wider, for blocks that end just at the reach; the exact test follows
-    slack = F.col("reach") * (1 + 1e-9) + 1e-12
-    last = count_upto(wide, F.col("axis") + slack, lows, "_last")
-    run = count_upto(last, F.col("axis") - slack, highs, "_first").where("_last > _first")
-    low, high = (F.lit(v).cast("array<double>") for v in (lows, highs))
-    targets = run.withColumn("target", F.explode(F.sequence("_first", F.col("_last") - 1)))
-    closer = (F.get(low, "target") <= F.col("axis") + slack) & (F.get(high, "target") >= F.col("axis") - slack)
-    return targets.where((F.col("target") != F.col("block")) & closer).drop("reach", "axis", "_first", "_last")
-
-
-def nearest_rows(points: DataFrame, n_num: int, n_cat: int, k: int, block_rows: int = BLOCK_ROWS,
-                 spread_feature: int = 0, **ranking: int) -> DataFrame:
-    """The ``k`` nearest other points of each point, as rows of ``NEAR`` plus their order ``place``.
-
-    ``points`` has ``vid`` (unique), ``mult``, ``num`` and ``cat``. Among equally distant points the smaller ``vid`` comes
-    first, so the blocks make no difference.
-    """
-    axis = F.get(F.col("num"), F.lit(spread_feature)) if n_num else F.lit(0.0)
-    points = points.withColumn("axis", axis)
-    size = points.count()
-    # the number of blocks, and with it the table of their intervals, stays bounded
-    block_rows = max(block_rows, -(-size // MAX_BLOCKS))
-    single = size <= block_rows
-    if single:
-        blocks = points.withColumn("block", F.lit(0))
-    else:
-        placed = row_positions(points, "axis", "vid", False, "_position", **ranking)
-        blocks = materialise(placed.withColumn("block", F.floor((F.col("_position") - 1) / block_rows).cast("int"))
-                             .drop("_position"), "blocks")
-
-    def own(rows: pd.DataFrame) -> pd.DataFrame:
-        return _nearest(rows, rows, k, n_num, n_cat)
-
-    def other(both: pd.DataFrame) -> pd.DataFrame:
-        return _nearest(both[both["asking"]], both[~both["asking"]], k, n_num, n_cat)
-
-    first = blocks.groupBy("block").applyInPandas(own, NEAR)
-    if not single:
-        first = materialise(first, "near")
-        # one row per block: its interval on the axis
-        spans = blocks.groupBy("block").agg(F.min("axis").alias("low"), F.max("axis").alias("high")).orderBy(
-            "block").collect()
-        reach = first.groupBy("vid").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("d2"))).otherwise(
-            F.lit(float("inf"))).alias("reach"))
-        wide = blocks.join(reach, "vid", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
-        asks = _blocks_within_reach(wide, [s["low"] for s in spans], [s["high"] for s in spans])
-        pairs = asks.select("block", "target").distinct()
-        targets = blocks.drop("axis").withColumnRenamed("block", "target").join(pairs, "target")
-        both = asks.withColumn("asking", F.lit(True)).unionByName(targets.withColumn("asking", F.lit(False)))
-        second = both.groupBy("block", "target").applyInPandas(other, NEAR)
-        first = first.unionByName(second)
-    order = W.partitionBy("vid").orderBy("d2", "n_vid")
-    return first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("n_vid")
 
 
 def smote(df: DataFrame, label: str, key: str, numeric: Sequence[str], categorical: Sequence[str] = (),
           over: int = 200, under: int = 200, k: int = 5, seed: int = 0, minority: object = None,
-          block_rows: int = BLOCK_ROWS, **ranking: int) -> DataFrame:
+          block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add ``over`` per cent synthetic rows of the rare class and keep ``under`` per cent of their number of the others.
 
     Distances use features scaled by their range, and 1 for each category that differs. A synthetic row lies at a
@@ -149,12 +38,10 @@ def smote(df: DataFrame, label: str, key: str, numeric: Sequence[str], categoric
     rare, rest = df.where(F.col(label) == F.lit(minority)), df.where(F.col(label) != F.lit(minority))
 
     stats = rare.agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"lo_{c}") for c in numeric],
-                     *[F.max(c).alias(f"hi_{c}") for c in numeric],
-                     *[F.variance(c).alias(f"var_{c}") for c in numeric]).first()
+                     *[F.max(c).alias(f"hi_{c}") for c in numeric]).first()
     if not stats["n"]:
         return df.select(*numeric, *categorical, label).limit(0)
     width = {c: (stats[f"hi_{c}"] - stats[f"lo_{c}"]) or 1.0 for c in numeric}
-    spread = [(stats[f"var_{c}"] or 0.0) / width[c] ** 2 for c in numeric]
     scaled = [(F.col(c) - stats[f"lo_{c}"]) / width[c] for c in numeric]
     vectors = rare.select(
         (F.array(*scaled) if numeric else F.array().cast("array<double>")).alias("num"),
@@ -162,8 +49,7 @@ def smote(df: DataFrame, label: str, key: str, numeric: Sequence[str], categoric
          else F.array().cast("array<string>")).alias("cat"))
     points = vectors.groupBy("num", "cat").agg(F.count(F.lit(1)).alias("mult")).withColumn(
         "vid", F.xxhash64("num", "cat"))
-    axis = int(np.argmax(spread)) if spread else 0
-    near = nearest_rows(points, len(numeric), len(categorical), k, block_rows, axis, **ranking)
+    near = nearest_rows(points, len(numeric), len(categorical), k, block_rows)
     # copies of a row are its nearest neighbours; the others follow, each as often as it occurs
     upto = W.partitionBy("vid").orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow)
     ladder = near.withColumn("upto", F.sum("n_mult").over(upto)).groupBy("vid").agg(

@@ -81,6 +81,19 @@ def register_external(spark: SparkSession, name: str, path: str, schema: str, fm
     return spark.table(name)
 
 
+def write_bucketed(df: DataFrame, name: str, by: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Write a catalogue table hashed into ``buckets`` by a key and sorted by it, and read it back.
+
+    Tables of one number of buckets are joined and grouped by that key where they lie, without moving rows. Rows are dealt once, on
+    writing; a key that fills a bucket alone makes that bucket large, so keys should be many.
+    """
+    spark = df.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    writer = df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).mode("overwrite").format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return spark.table(name)
+
+
 def view(df: DataFrame, name: str) -> DataFrame:
     """Register a temporary view and hand the frame back."""
     df.createOrReplaceTempView(name)

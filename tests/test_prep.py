@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import bands
 from tallyforge.operators import prep, sampling, woe
-from tallyforge.operators.smote import nearest_rows, smote
+from tallyforge.operators.neighbours import nearest_rows, pairs_within, partition
+from tallyforge.operators.smote import smote
 
 
 def test_clamp_keeps_nulls(spark, rows):
@@ -147,6 +148,30 @@ def test_nearest_rows_are_exact(spark, block_rows):
         assert sorted(got[vid]) == pytest.approx(all_d2[:4])
 
 
+def test_blocks_in_many_dimensions_are_pruned(spark):
+    """Clusters in five dimensions, one constant feature, a column that is nearly always the same and rows alike in all numbers."""
+    rng = np.random.default_rng(4)
+    centres = rng.uniform(0, 10, size=(12, 5))
+    num = centres[rng.integers(12, size=600)] + rng.normal(scale=0.05, size=(600, 5))
+    num[:, 3] = 1.0
+    num[rng.random(600) < 0.8, 4] = 0.0
+    num[:60] = num[0]
+    cat = [[f"c{i}" if i < 60 else "x", None if i % 9 == 0 else "y"] for i in range(600)]
+    points = [(i, 1, [float(v) for v in p], c) for i, (p, c) in enumerate(zip(num, cat))]
+    df = spark.createDataFrame(points, "vid long, mult long, num array<double>, cat array<string>").repartition(3)
+    rows, boxes = partition(df, 5, 2, 25)
+    assert rows.count() == 600 and rows.groupBy("node").count().agg(F.max("count")).first()[0] <= 25
+    leaves = boxes.where("leaf").count()
+    pairs = pairs_within(boxes, rows.select("node").distinct().withColumn("reach2", F.lit(0.01)))
+    assert 0 < pairs.count() < 0.3 * leaves * (leaves - 1)
+    got: dict[int, list] = {}
+    for r in nearest_rows(df, 5, 2, 4, 25).collect():
+        got.setdefault(r["vid"], []).append((r["place"], r["n_vid"], r["d2"]))
+    for vid, _, p, c in points:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(p, q)) + sum(x != y for x, y in zip(c, e)), w) for w, _, q, e in points if w != vid)[:4]
+        assert [d for _, _, d in sorted(got[vid])] == pytest.approx([d for d, _ in near], abs=1e-12)
+
+
 def test_smote(spark):
     rng = np.random.default_rng(1)
     data = [(i, 1, float(rng.random()), float(rng.random()), "s") for i in range(40)]
