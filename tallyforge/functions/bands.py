@@ -52,8 +52,10 @@ def quartile_band(value: Column | str, q1: float, q2: float, q3: float,
         value > q3, labels[3])
 
 
-def round_breaks(low: float, high: float, n: int = 5) -> list[float]:
-    """About ``n`` intervals on round steps (1, 2, 5 times a power of ten) that cover ``low`` to ``high``."""
+def round_breaks(low: float | None, high: float | None, n: int = 5) -> list[float]:
+    """About ``n`` intervals on round steps (1, 2, 5 times a power of ten) that cover ``low`` to ``high``; of an empty column, nulls, any."""
+    if low is None or high is None:
+        return [0.0, 1.0]
     if high <= low:
         return [low - 1, low]
     raw = (high - low) / n

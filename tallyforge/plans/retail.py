@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import aggregates, columns, joins, quality, reshape, windows
 from tallyforge.plans.registry import Tables, query
-from tallyforge.session import scratch_path
+from tallyforge.session import materialise, scratch_path
 from tallyforge.sources import files
 
 SQL_PROFIT = "(l_extendedprice * (0.3::DOUBLE - l_discount) - l_quantity * 200)"
@@ -108,8 +108,8 @@ def worst_category_drilldown(t: Tables) -> DataFrame:
     per_part = lines.groupBy("p_partkey").agg(F.sum("profit").alias("profit"))
     totals = per_part.join(brands, "p_partkey").groupBy("p_brand").agg(F.sum("profit").alias("total"))
     # the parts of the worst brand are chosen before any line is moved
-    worst = totals.orderBy("total", "p_brand").limit(1).select("p_brand").first()[0]
-    branded = lines.join(brands.where(F.col("p_brand") == worst), "p_partkey").drop("p_partkey")
+    worst = F.broadcast(totals.orderBy("total", "p_brand").limit(1).select("p_brand"))  # one row
+    branded = lines.join(materialise(brands.join(worst, "p_brand"), "worst-parts"), "p_partkey").drop("p_partkey")
     per_order = branded.groupBy("o_orderkey", "p_brand").agg(F.sum("profit").alias("profit"), F.count(F.lit(1)).alias("n"))
     per_owner = per_order.join(t.orders.select("o_orderkey", "o_custkey"), "o_orderkey").groupBy(
         F.col("o_custkey").alias("c_custkey"), "p_brand").agg(F.sum("profit").alias("profit"), F.sum("n").alias("n"))

@@ -91,7 +91,7 @@ def stored_distinct(t: Tables) -> DataFrame:
 
 
 @query("stored_frequent", f"""
-SELECT {SQL_FISCAL} AS fiscal_year, o_orderpriority AS item, count(*)::BIGINT AS n_rows FROM orders GROUP BY ALL
+SELECT {SQL_FISCAL} AS fiscal_year, o_orderpriority AS item, count(*)::BIGINT AS n_rows FROM orders GROUP BY 1, 2
 QUALIFY row_number() OVER (PARTITION BY fiscal_year ORDER BY count(*) DESC) <= 5""")
 def stored_frequent(t: Tables) -> DataFrame:
     """The most frequent priorities per fiscal year from the sketches of its months; with fewer values than counters, counts are exact."""

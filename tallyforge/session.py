@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,10 +35,16 @@ def build_session(master: str | None = None, **settings: str) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; where that is unset, a folder of the warehouse.
 
-    Both are shared by the driver and all executors.
+    On a cluster both must be shared by the driver and all executors, so a warehouse on a local disk is refused there.
     """
     root = spark.conf.get(CHECKPOINT_SETTING, None)
-    return (root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch").rstrip("/")
+    if root:
+        return root.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    local = re.match(r"local(\[|$)", spark.sparkContext.master)
+    if not local and (warehouse.startswith(("file:", "/")) or "://" not in warehouse):
+        raise ValueError(f"{CHECKPOINT_SETTING} is not set, and the warehouse {warehouse} is a local folder")
+    return f"{warehouse}/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
