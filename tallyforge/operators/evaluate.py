@@ -125,7 +125,7 @@ def gain_lift(df: DataFrame, label: str, score: str, key: str, n: int = 10, digi
               rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """What the best-scored tiles catch: for all rows up to a tile, the share of all events among them (``captured``), and
     their event rate over that of the whole table (``lift``)."""
-    tiled = tiles(df.select(key, label, score), score, key, n, True, "tile", rows_per_range)
+    tiled = tiles(materialise(df.select(key, label, score), "scored"), score, key, n, True, "tile", rows_per_range)
     counts = tiled.groupBy("tile").agg(F.count(F.lit(1)).alias("rows_in"), F.sum(F.col(label).cast("bigint")).alias("events_in"))
     # n rows from here on
     best, whole = W.orderBy("tile").rowsBetween(W.unboundedPreceding, W.currentRow), W.partitionBy()

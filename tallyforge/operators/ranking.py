@@ -75,14 +75,16 @@ def running_totals(df: DataFrame, order_by: str, totals: Mapping[str, Column], b
 
 
 def row_positions(df: DataFrame, score: str, key: str, descending: bool = True, out: str = "position",
-                  rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+                  rows_per_range: int = ROWS_PER_RANGE, rows: int | None = None) -> DataFrame:
     """1-based position of every row in ``score`` order, ties broken by the unique numeric ``key``.
 
-    A score that fills several ranges by itself (hard 0/1 scores, for example) is cut
+    ``rows`` is the number of rows where it is known. With a single range nothing lies before it, so no totals are taken. A score that fills several ranges by itself (hard 0/1 scores, for example) is cut
     further along the key, so no task gets more than about one range.
     """
     order = [F.col(score).desc_nulls_last() if descending else F.col(score).asc_nulls_last(), F.col(key).asc()]
-    ranges = _range_count(df.count(), rows_per_range)
+    ranges = _range_count(df.count() if rows is None else rows, rows_per_range)
+    if ranges == 1:
+        return df.withColumn(out, F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)).cast("bigint"))
     points = percent_points(df, score, ranges)
     edges = sorted(set(points))
     repeats = Counter(points)
@@ -116,7 +118,7 @@ def tiles(df: DataFrame, score: str, key: str, n: int = 10, descending: bool = T
           rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """``ntile(n)`` over the whole table: the first ``rows % n`` tiles get one row more."""
     rows = df.count()
-    placed = row_positions(df, score, key, descending, "_position", rows_per_range)
+    placed = row_positions(df, score, key, descending, "_position", rows_per_range, rows)
     size, extra = divmod(rows, n)
     zero = F.col("_position") - 1
     tile = F.when(zero < extra * (size + 1), F.floor(zero / (size + 1)) + 1)
