@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import shingles
@@ -152,24 +152,29 @@ def _confirm(percent: int):
     return confirm
 
 
-def possible(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """The rows whose hash ``key`` may be among those of ``wanted``: all that are, and few others while those are fewer than ``BITS``.
+def possible(rows: DataFrame, wanted: DataFrame, asked: str, key: str) -> DataFrame:
+    """The rows whose hash ``key`` may be among those in ``asked`` of ``wanted``: all that are, and few others while those are fewer than
+    ``BITS``.
 
     What is broadcast is a bitmap of ``BITS`` bits, as words of 64, however many hashes there are.
     """
-    place, word, bit = F.pmod(key, F.lit(BITS)), "_word", F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(key, F.lit(64)).cast("int"))
-    words = wanted.select(F.floor(place / 64).alias(word), bit.alias("bit")).groupBy(word).agg(F.bit_or("bit").alias("_bits"))
-    marked = rows.withColumns({word: F.floor(place / 64), "_bit": bit}).join(F.broadcast(words), word)
+    def place(c: str) -> list[Column]:
+        return [F.floor(F.pmod(c, F.lit(BITS)) / 64).alias("_word"),
+                F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(c, F.lit(64)).cast("int")).alias("_bit")]
+
+    words = wanted.select(*place(asked)).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    marked = rows.select(*rows.columns, *place(key)).join(F.broadcast(words), "_word")
     return marked.where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select(rows.columns)
 
 
-def texts_of(wanted: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """``set_id, text`` of distinct nodes, from the row picked for each. Other texts are left where they are."""
-    picked = wanted.join(sets.select("set_id", "pick"), "set_id").select(
-        "set_id", F.col("pick.tid").alias("tid"), F.col("pick.doc_id").alias("pick_id"))
-    picked = materialise(picked, "near-picked")
-    own = possible(docs.select("doc_id", "text", F.xxhash64("text").alias("tid")), picked, "tid")
-    return own.join(picked, (own["tid"] == picked["tid"]) & own["doc_id"].eqNullSafe(picked["pick_id"])).select("set_id", "text")
+def with_texts(rows: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows with a ``set_id`` and the ``text`` of the row picked for it. Other texts are left where they are, needed ones move once;
+    copies of a row are one before they do."""
+    place = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("tid").alias("_tid")]
+    picked = materialise(rows.join(sets.select("set_id", "pick.doc_id", "pick.tid"), "set_id").select(*rows.columns, *place), "near-picked")
+    own = possible(docs.select("doc_id", "text", F.xxhash64("text").alias("tid")), picked, "_tid", "tid")
+    own = own.select(*place, "text").groupBy("_tid", "_id", "_none").agg(F.first("text").alias("text"))
+    return picked.join(own, ["_tid", "_id", "_none"]).select(*rows.columns, "text")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -180,8 +185,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int) ->
                           F.col("a").alias("b"))
     rows = dealt.withColumn("role", F.lit(1)).unionByName(heads.withColumn("role", F.lit(0)))
     rows = materialise(rows, "near-portions")
-    texts = texts_of(rows.select(F.col("b").alias("set_id")).distinct(), sets, docs).withColumnRenamed("set_id", "b")
-    return (rows.join(texts, "b").select("a", "salt", "role", "b", "text").repartition("a", "salt")
+    texts = with_texts(rows.withColumnRenamed("b", "set_id"), sets, docs).withColumnRenamed("set_id", "b")
+    return (texts.select("a", "salt", "role", "b", "text").repartition("a", "salt")
             .sortWithinPartitions("a", "salt", "role").mapInArrow(_confirm(percent), "a bigint, b bigint"))
 
 
@@ -306,8 +311,7 @@ def crossings(members: DataFrame, sets: DataFrame, docs: DataFrame, percent: int
     order = ["key", "i", "j", "role"]
     units = minors.unionByName(others).join(about, "set_id").repartition("key", "i", "j").sortWithinPartitions(*order)
     found = materialise(units.mapInArrow(_involved(threshold), UNIT).distinct(), "near-involved")
-    texts = texts_of(found.select("set_id").distinct(), sets, docs)
-    return (found.join(about, "set_id").join(texts, "set_id").repartition("key", "i", "j").sortWithinPartitions(*order)
+    return (with_texts(found.join(about, "set_id"), sets, docs).repartition("key", "i", "j").sortWithinPartitions(*order)
             .mapInArrow(_decide(threshold, percent), "a bigint, b bigint"))
 
 
@@ -331,7 +335,7 @@ def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
                                            F.bit_xor(F.xxhash64("set_id")).alias("mark")).where("size > 1")
     buckets = materialise(full.groupBy("size", "leader", "mark").agg(F.min(F.struct("band", "key")).alias("at")).select(
         "at.key", "leader"), "near-buckets")
-    members = materialise(keys.join(buckets, "key"), "near-members")
+    members = materialise(possible(keys, buckets, "key", "key").join(buckets, "key"), "near-members")
 
     pairs = members.where("set_id != leader").select(F.col("leader").alias("a"), F.col("set_id").alias("b")).distinct()
     links = materialise(confirm(materialise(sift(pairs, sets, threshold), "near-pairs"), sets, docs, percent), "near-links")

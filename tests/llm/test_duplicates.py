@@ -185,8 +185,8 @@ def test_repeats_of_empty_table(frame):
 def test_needed_texts_are_told_apart(spark, monkeypatch):
     rows = spark.range(-500, 500).selectExpr("xxhash64(id) AS h", "id")
     wanted = rows.where("id % 10 = 0").select("h")
-    assert {r["id"] for r in neardup.possible(rows, wanted, "h").collect()} == set(range(-500, 500, 10))
+    assert {r["id"] for r in neardup.possible(rows, wanted, "h", "h").collect()} == set(range(-500, 500, 10))
     monkeypatch.setattr(neardup, "BITS", 128)
-    found = neardup.possible(rows, wanted, "h")
+    found = neardup.possible(rows, wanted, "h", "h")
     assert found.columns == ["h", "id"] and {r["id"] for r in found.collect()} >= set(range(-500, 500, 10))
-    assert neardup.possible(rows, wanted.limit(0), "h").count() == 0
+    assert neardup.possible(rows, wanted.limit(0), "h", "h").count() == 0
