@@ -156,6 +156,9 @@ def nearest_rows(points: DataFrame, n_num: int, n_cat: int, k: int, block_rows:
     """
     rows, boxes = partition(points.select("vid", "mult", "num", "cat"), n_num, n_cat, block_rows)
     first = materialise(rows.groupBy("node").applyInPandas(lambda own: _nearest(own, own, k, n_num, n_cat), NEAR), "near")
+    order = W.partitionBy("vid").orderBy("d2", "n_vid")
+    if boxes.limit(2).count() == 1:  # there is no other block
+        return first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     # a little wider than the distance, which is worked out in another order of additions
     far = F.when(F.count(F.lit(1)) >= k, F.max("d2") * (1 + 1e-9) + 1e-12).otherwise(F.lit(float("inf")))
     reach = first.groupBy("vid").agg(far.alias("reach2"))
@@ -174,5 +177,4 @@ def nearest_rows(points: DataFrame, n_num: int, n_cat: int, k: int, block_rows:
         return _nearest(both[both["asking"]], both[~both["asking"]], k, n_num, n_cat)
 
     second = asks.unionByName(targets).groupBy("block", "target").applyInPandas(other, NEAR)
-    order = W.partitionBy("vid").orderBy("d2", "n_vid")
     return first.unionByName(second).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
