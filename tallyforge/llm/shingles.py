@@ -7,6 +7,7 @@ from one running sum.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,7 +59,8 @@ def _power_table(base: int, n: int) -> np.ndarray:
 def small_batches(df: DataFrame) -> DataFrame:
     """The same frame; Arrow batches of its session are bounded by ``BATCH_BYTES`` if they were larger."""
     conf = df.sparkSession.conf
-    if int(conf.get(BATCH_SETTING).lower().rstrip("b")) > BATCH_BYTES:
+    size = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)b?", conf.get(BATCH_SETTING).strip().lower())
+    if size is None or not 0 < int(size[1]) << 10 * " kmgtp".index(size[2] or " ") <= BATCH_BYTES:
         conf.set(BATCH_SETTING, str(BATCH_BYTES))
     return df
 

@@ -212,8 +212,8 @@ def _long_neighbours(found: DataFrame) -> DataFrame:
 def near_words(found: DataFrame) -> DataFrame:
     """``word, n, n_near, best``: how many words of a table ``word, n`` differ by one letter, and ``(-n, word)`` of that with the largest n.
 
-    Ties go to the smallest word in code-point order; ``best`` is null and ``n_near`` 0 without any. Words are distinct, not null and
-    hold no ``TERMINATOR``. The table is read several times, so it should be a written one.
+    Ties go to the smallest word in code-point order; ``best`` is null and ``n_near`` 0 without any. Words are distinct, neither null nor
+    empty, and hold no ``TERMINATOR``. The table is read several times, so it should be a written one.
     """
     parts = _neighbours(found.where(F.char_length("word") <= LONG)).unionByName(_long_neighbours(found))
     none = F.lit(None).cast(parts.schema["best"].dataType)

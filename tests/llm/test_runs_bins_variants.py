@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.llm import binpack, periodic, tokens, variants
+from tallyforge.llm import binpack, periodic, shingles, tokens, variants
 from tallyforge.llm.shingles import buffers
 
 P = pytest.importorskip("public_tokenizers")
@@ -278,3 +278,11 @@ def test_checksums_of_many_lengths():
     before = np.array([zlib.crc32(b"%d:" % i) for i in range(len(words))], np.uint32)
     found = variants.checksums(np.frombuffer(b"".join(words), np.uint8), np.append(0, ends[:-1]), ends, before)
     assert found.tolist() == [zlib.crc32(b"%d:" % i + w) for i, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("given, after", [("64m", "4194304"), ("67108864b", "4194304"), ("1m", "1m"), ("1 kb", "1 kb"), ("-1", "4194304"), ("2000", "2000")])
+def test_batches_are_only_made_smaller(given, after):
+    conf = {shingles.BATCH_SETTING: given}
+    session = type("Session", (), {"conf": type("Conf", (), {"get": lambda self, k: conf[k], "set": lambda self, k, v: conf.update({k: v})})()})
+    df = type("Frame", (), {"sparkSession": session})()
+    assert shingles.small_batches(df) is df and conf[shingles.BATCH_SETTING] == after
