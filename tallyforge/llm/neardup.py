@@ -337,6 +337,8 @@ def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
         "at.key", "leader"), "near-buckets")
     members = materialise(possible(keys, buckets, "key", "key").join(buckets, "key"), "near-members")
 
+    # only sets in some bucket are met again
+    sets, every = materialise(possible(sets, members, "set_id", "set_id"), "near-open-sets"), sets
     pairs = members.where("set_id != leader").select(F.col("leader").alias("a"), F.col("set_id").alias("b")).distinct()
     links = materialise(confirm(materialise(sift(pairs, sets, threshold), "near-pairs"), sets, docs, percent), "near-links")
     up = links.groupBy("b").agg(F.min("a").alias("a"))
@@ -347,7 +349,7 @@ def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
     more = materialise(crossings(materialise(labelled, "near-labelled"), sets, docs, percent), "near-more-links")
     labels = components(links.unionByName(more))
 
-    named = sets.join(labels, F.col("set_id") == F.col("node"), "left").select(
+    named = every.join(labels, F.col("set_id") == F.col("node"), "left").select(
         "set_id", "first_id", F.coalesce("component", "set_id").alias("comp"))
     names = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     table = materialise(named.join(names, "comp").select("set_id", "comp", "component_id"), "near-components")
