@@ -208,7 +208,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> DataFrame:
     ``vocabulary`` is the path of the tokenizer file on the executors.
     """
     docs = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("row"), "text")
-    ids = materialise(docs.mapInArrow(_encode(vocabulary), "row bigint, ids binary"), "packing-ids")
+    ids = materialise(docs.mapInArrow(_encode(vocabulary), "row bigint, ids binary"), "packing-ids", "zstd")
     corpus = corpus_of(ids)
     tasks = max(1, -(-int(2 * corpus.mean * corpus.documents) // TASK_BYTES))
     keyed = ids.withColumn("salt", F.monotonically_increasing_id()).mapInArrow(_keys(corpus), "row bigint, salt bigint, ids binary, key bigint")
