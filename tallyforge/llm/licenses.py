@@ -158,13 +158,23 @@ def windows(docs: DataFrame, texts: tuple[tuple[str, str], ...] = TEMPLATES, thr
     table = F.broadcast(spark.createDataFrame(first, "template int, license string, size int, bigram string"))  # from a fixed list
     held = F.broadcast(templates(spark, texts).select("template", "bigram", "times"))
     anchors = sorted({min(g.split(), key=lambda w: (TELLING.index(w) if w in TELLING else len(TELLING), -len(w))) for *_, g in first})
-    listed = F.array(*[F.lit(a) for a in anchors])
+    long, short = F.array(*[F.lit(a) for a in anchors if len(a) > 3]), "|".join(a for a in anchors if len(a) <= 3)
+    low = F.transform(F.array(F.lower("text")), lambda t: F.exists(long, lambda a: F.contains(t, a)) | (
+        F.rlike(t, F.lit(rf"(?<![a-z0-9])(?:{short})(?![a-z0-9])")) if short else F.lit(False)))
+    whole = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").where(F.get(low, F.lit(0)))
     parts = F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\n[ \t]*\n", -1)).alias("at", "part")
-    whole = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").where(
-        F.get(F.transform(F.array(F.lower("text")), lambda low: F.exists(listed, lambda a: F.contains(low, a))), F.lit(0)))
-    plain = whole.select("row", "doc_id", parts).select("row", "doc_id", (F.col("at") + 1).alias("number"), F.split(normal(F.col("part")), " ").alias("words"))
-    grams = materialise(plain.where(F.size("words") > 1).select("row", "doc_id", "number", F.posexplode(bigrams(F.col("words"))).alias("pos", "bigram"),
-                                                                (F.size("words") - 1).alias("n")), "license-bigrams")
+    plain = whole.select("row", "doc_id", parts).select("row", "doc_id", (F.col("at") + 1).alias("number"), bigrams(F.split(normal(F.col("part")), " ")).alias("grams"))
+    # places of prefixes, with the size of the largest template they belong to; only what is as near to one is written
+    reach = {}
+    for _, _, size, gram in first:
+        reach[gram] = max(size, reach.get(gram, 0))
+    sizes = F.create_map(*[F.lit(x) for pair in reach.items() for x in pair])
+    placed = F.filter(F.transform("grams", lambda g, i: F.struct(i.alias("pos"), g.alias("gram"))), lambda x: x["gram"].isin(list(reach)))
+    spots = F.transform(placed, lambda x: F.struct(x["pos"], F.element_at(sizes, x["gram"]).alias("size")))
+    met = plain.withColumn("spots", spots).where(F.size("spots") > 0)
+    near = F.filter(F.transform("grams", lambda g, i: F.struct(i.alias("pos"), g.alias("bigram"))), lambda x: F.exists(
+        "spots", lambda y: F.abs(x["pos"] - y["pos"]) < y["size"]))
+    grams = materialise(met.select("row", "doc_id", "number", F.size("grams").alias("n"), F.inline(near)), "license-bigrams")
     hits = grams.join(table, "bigram").where("n >= size")
     starts = hits.select("row", "number", "template", "size", F.explode(F.sequence(
         F.greatest(F.lit(0), F.col("pos") - F.col("size") + 1), F.least(F.col("pos"), F.col("n") - F.col("size")))).alias("start")).distinct()
@@ -185,7 +195,7 @@ def windows(docs: DataFrame, texts: tuple[tuple[str, str], ...] = TEMPLATES, thr
     names = F.lit([name for name, _ in texts]).cast("array<string>")
     named = ranked.select("row", "number", F.explode(kept).alias("w")).select(
         "row", "number", F.col("w.start").cast("bigint").alias("start"), F.get(names, F.col("w.template")).alias("license"), F.col("w.dice").alias("dice"))
-    return named.join(grams.where("pos = 0").select("row", "number", "doc_id"), ["row", "number"]).select("doc_id", "number", "start", "license", "dice")
+    return named.join(grams.select("row", "number", "doc_id").distinct(), ["row", "number"]).select("doc_id", "number", "start", "license", "dice")
 
 
 def scan(docs: DataFrame, texts: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
