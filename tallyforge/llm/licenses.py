@@ -171,7 +171,8 @@ def windows(docs: DataFrame, texts: tuple[tuple[str, str], ...] = TEMPLATES, thr
     sizes = F.create_map(*[F.lit(x) for pair in reach.items() for x in pair])
     placed = F.filter(F.transform("grams", lambda g, i: F.struct(i.alias("pos"), g.alias("gram"))), lambda x: x["gram"].isin(list(reach)))
     spots = F.transform(placed, lambda x: F.struct(x["pos"], F.element_at(sizes, x["gram"]).alias("size")))
-    met = plain.withColumn("spots", spots).where(F.size("spots") > 0)
+    # written, as a column of a frame is worked out anew for every element of a function over another one
+    met = materialise(plain.withColumn("spots", spots).where(F.size("spots") > 0), "license-paragraphs")
     near = F.filter(F.transform("grams", lambda g, i: F.struct(i.alias("pos"), g.alias("bigram"))), lambda x: F.exists(
         "spots", lambda y: F.abs(x["pos"] - y["pos"]) < y["size"]))
     grams = materialise(met.select("row", "doc_id", "number", F.size("grams").alias("n"), F.inline(near)), "license-bigrams")
