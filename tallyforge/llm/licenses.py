@@ -163,7 +163,8 @@ def windows(docs: DataFrame, texts: tuple[tuple[str, str], ...] = TEMPLATES, thr
         F.rlike(t, F.lit(rf"(?<![a-z0-9])(?:{short})(?![a-z0-9])")) if short else F.lit(False)))
     whole = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").where(F.get(low, F.lit(0)))
     parts = F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\n[ \t]*\n", -1)).alias("at", "part")
-    plain = whole.select("row", "doc_id", parts).select("row", "doc_id", (F.col("at") + 1).alias("number"), bigrams(F.split(normal(F.col("part")), " ")).alias("grams"))
+    plain = whole.select("row", "doc_id", parts).select("row", "doc_id", (F.col("at") + 1).alias("number"), F.get(
+        F.transform(F.array(F.split(normal(F.col("part")), " ")), bigrams), F.lit(0)).alias("grams"))
     # places of prefixes, with the size of the largest template they belong to; only what is as near to one is written
     reach = {}
     for _, _, size, gram in first:
