@@ -212,3 +212,22 @@ def test_cut_edges(spark):
 def test_round_breaks_cover(low, high):
     breaks = bands.round_breaks(low, high)
     assert breaks[0] <= low and breaks[-1] >= high and breaks == sorted(set(breaks)) and 2 <= len(breaks) <= 12
+
+
+def test_blocks_follow_categories_and_no_cut_is_a_block(spark):
+    """Rows of many pairs of categories: blocks hold few of them, none is a single value on a cut, and hardly any other block is asked."""
+    rng = np.random.default_rng(8)
+    points = [(i, 1, [float(v) for v in rng.random(2)], [f"a{i % 5}", f"b{i // 5 % 8}"]) for i in range(1600)]
+    df = spark.createDataFrame(points, "vid long, mult long, num array<double>, cat array<string>")
+    rows, boxes = partition(df, 2, 2, 25)
+    sizes = [r["count"] for r in rows.groupBy("node").count().collect()]
+    assert sum(sizes) == 1600 and 5 < min(sizes) and max(sizes) <= 25
+    pairs = pairs_within(boxes, rows.select("node").distinct().withColumn("reach2", F.lit(0.5))).count()
+    assert pairs <= 4 * len(sizes)
+    few = [p for p in points if p[0] < 200] + [(5000 + i, 1, [0.5, 0.5], ["rare", None]) for i in range(2)]
+    got: dict[int, list] = {}
+    for r in nearest_rows(spark.createDataFrame(few, df.schema), 2, 2, 4, 25).collect():
+        got.setdefault(r["vid"], []).append((r["place"], r["d2"], r["n_vid"]))
+    for vid, _, p, c in few:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(p, q)) + sum(x != y for x, y in zip(c, e)), w) for w, _, q, e in few if w != vid)[:4]
+        assert [d for _, d, _ in sorted(got[vid])] == pytest.approx([d for d, _ in near], abs=1e-12)
