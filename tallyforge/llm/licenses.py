@@ -13,6 +13,7 @@ import math
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyforge.session import materialise
@@ -155,8 +156,7 @@ def windows(docs: DataFrame, texts: tuple[tuple[str, str], ...] = TEMPLATES, thr
     """
     first = prefixes(texts, threshold)
     spark = docs.sparkSession
-    table = F.broadcast(spark.createDataFrame(first, "template int, license string, size int, bigram string"))  # from a fixed list
-    held = F.broadcast(templates(spark, texts).select("template", "bigram", "times"))
+    held = F.broadcast(templates(spark, texts).select("template", "size", "bigram", "times"))
     anchors = sorted({min(g.split(), key=lambda w: (TELLING.index(w) if w in TELLING else len(TELLING), -len(w))) for *_, g in first})
     long, short = F.array(*[F.lit(a) for a in anchors if len(a) > 3]), "|".join(a for a in anchors if len(a) <= 3)
     low = F.transform(F.array(F.lower("text")), lambda t: F.exists(long, lambda a: F.contains(t, a)) | (
@@ -176,16 +176,26 @@ def windows(docs: DataFrame, texts: tuple[tuple[str, str], ...] = TEMPLATES, thr
     met = materialise(plain.withColumn("spots", spots).where(F.size("spots") > 0), "license-paragraphs")
     near = F.filter(F.transform("grams", lambda g, i: F.struct(i.alias("pos"), g.alias("bigram"))), lambda x: F.exists(
         "spots", lambda y: F.abs(x["pos"] - y["pos"]) < y["size"]))
-    grams = materialise(met.select("row", "doc_id", "number", F.size("grams").alias("n"), F.inline(near)), "license-bigrams")
-    hits = grams.join(table, "bigram").where("n >= size")
-    starts = hits.select("row", "number", "template", "size", F.explode(F.sequence(
-        F.greatest(F.lit(0), F.col("pos") - F.col("size") + 1), F.least(F.col("pos"), F.col("n") - F.col("size")))).alias("start")).distinct()
-    cells = starts.withColumn("pos", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)))
-    counted = cells.join(grams.select("row", "number", "pos", "bigram"), ["row", "number", "pos"]).groupBy(
-        "row", "number", "template", "size", "start", "bigram").agg(F.count("*").alias("found"))
-    shared = counted.join(held, ["template", "bigram"]).groupBy("row", "number", "template", "size", "start").agg(
-        F.sum(F.least("found", "times")).alias("both"))
-    good = shared.withColumn("dice", 2.0 * F.col("both") / (2 * F.col("size"))).where(F.col("dice") >= threshold)
+    grams = met.select("row", "number", F.size("grams").alias("n"), F.inline(near))
+    window = ["row", "number", "n", "template", "size"]
+    dice = lambda both: 2.0 * F.col(both) / (2 * F.col("size"))
+    # of every bigram of a template its places, in order; a place counts for the windows that hold it, but not so many earlier ones of the
+    # same bigram as the template has
+    places = grams.join(F.broadcast(held.select("bigram").distinct()), "bigram").groupBy("row", "number", "n", "bigram").agg(
+        F.array_sort(F.collect_list("pos")).alias("places"))
+    shared = places.join(held, "bigram").where("n >= size").withColumn("times", F.col("times").cast("int"))
+    spans = F.transform("places", lambda p, i: F.struct(
+        F.greatest(F.lit(0), p - F.col("size") + 1, F.coalesce(F.get("places", i - F.col("times")) + 1, F.lit(0))).alias("first"),
+        F.least(p, F.col("n") - F.col("size")).alias("last")))
+    spanned = shared.select(*window, F.least(F.size("places"), F.col("times")).alias("most"), spans.alias("spans")).groupBy(*window).agg(
+        F.sum("most").alias("most"), F.collect_list("spans").alias("spans")).where(dice("most") >= threshold)
+    steps = spanned.select(*window, F.explode(F.flatten("spans")).alias("span")).where("span.first <= span.last").select(*window, F.inline(F.array(
+        F.struct(F.col("span.first").alias("start"), F.lit(1).alias("step")), F.struct((F.col("span.last") + 1).alias("start"), F.lit(-1).alias("step")))))
+    along = W.partitionBy(*window).orderBy("start")
+    level = steps.groupBy(*window, "start").agg(F.sum("step").alias("step")).withColumn("both", F.sum("step").over(along)).withColumn(
+        "until", F.lead("start").over(along))
+    good = level.withColumn("dice", dice("both")).where(F.col("dice") >= threshold).withColumn(
+        "start", F.explode(F.sequence(F.col("start"), F.col("until") - 1)))
     # per paragraph as many windows as there are places in it for notices
     ranked = good.groupBy("row", "number").agg(F.array_sort(F.collect_list(F.struct(
         (-F.col("dice")).alias("order"), (-F.col("size")).alias("less"), "template", "start", "size", "dice"))).alias("found"))
@@ -197,7 +207,7 @@ def windows(docs: DataFrame, texts: tuple[tuple[str, str], ...] = TEMPLATES, thr
     names = F.lit([name for name, _ in texts]).cast("array<string>")
     named = ranked.select("row", "number", F.explode(kept).alias("w")).select(
         "row", "number", F.col("w.start").cast("bigint").alias("start"), F.get(names, F.col("w.template")).alias("license"), F.col("w.dice").alias("dice"))
-    return named.join(grams.select("row", "number", "doc_id").distinct(), ["row", "number"]).select("doc_id", "number", "start", "license", "dice")
+    return named.join(met.select("row", "number", "doc_id"), ["row", "number"]).select("doc_id", "number", "start", "license", "dice")
 
 
 def scan(docs: DataFrame, texts: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
