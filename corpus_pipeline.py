@@ -34,12 +34,18 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     first = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("tid") == F.col("best.tid"))
     marked = found.join(best, "comp").select(F.col("doc_id").alias("of_id"), F.col("tid").alias("of_tid"), first.alias("first"), "times")
     marked = materialise(marked.where(~F.col("first") | (F.col("times") > 1)), "pipeline-extra")
-    extra, several = (marked.where(c).select("of_id", "of_tid") for c in (~F.col("first"), F.col("first")))
+    key = F.xxhash64("of_id", "of_tid").alias("of_key")
+    extra, several = (marked.where(c).select("of_id", "of_tid", key) for c in (~F.col("first"), F.col("first")))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(row.alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("tid"))
+    rows = rows.withColumn("key", F.xxhash64("id", "tid"))
     same = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("tid") == F.col("of_tid"))
-    alone = rows.join(extra.unionByName(several), same, "left_anti").select("row")
-    once = rows.join(several, same, "left_semi").groupBy("id", "tid").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    # only rows that a bitmap of the others leaves open are shuffled; anti and semi joins would be pushed below the bitmap
+    gone = extra.unionByName(several).withColumn("gone", F.lit(True))
+    alone = neardup.impossible(rows, gone, "of_key", "key").select("row").unionByName(
+        neardup.possible(rows, gone, "of_key", "key").join(gone, same, "left").where("gone is null").select("row"))
+    rows = neardup.possible(rows, several, "of_key", "key")
+    once = rows.join(several, same).groupBy("id", "tid").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
     return alone.unionByName(once).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 

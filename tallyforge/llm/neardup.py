@@ -152,21 +152,30 @@ def _confirm(percent: int):
     return confirm
 
 
-def possible(rows: DataFrame, wanted: DataFrame, asked: str, key: str) -> DataFrame:
-    """The rows whose hash ``key`` may be among those in ``asked`` of ``wanted``: all that are, and few others while those are fewer than
-    ``BITS``.
-
-    What is broadcast is a bitmap of ``BITS`` bits, as words of 64, however many hashes there are.
-    """
+def _marked(rows: DataFrame, wanted: DataFrame, asked: str, key: str, how: str) -> DataFrame:
+    """The rows with ``_bit``, the place of their hash ``key`` in a bitmap of the hashes ``asked`` of ``wanted``, and ``_bits``, the word that
+    the place is in. What is broadcast is a bitmap of ``BITS`` bits, as words of 64, however many hashes there are."""
     def place(c: str) -> list[Column]:
         return [F.floor(F.pmod(c, F.lit(BITS)) / 64).alias("_word"),
                 F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(c, F.lit(64)).cast("int")).alias("_bit")]
 
     words = wanted.select(*place(asked)).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    marked = rows.select(*rows.columns, *place(key)).join(F.broadcast(words), "_word")
+    return rows.select(*rows.columns, *place(key)).join(F.broadcast(words), "_word", how)
+
+
+def possible(rows: DataFrame, wanted: DataFrame, asked: str, key: str) -> DataFrame:
+    """The rows whose hash ``key`` may be among those in ``asked`` of ``wanted``: all that are, and few others while those are fewer than
+    ``BITS``."""
+    marked = _marked(rows, wanted, asked, key, "inner")
     return marked.where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select(rows.columns)
 
 
+def impossible(rows: DataFrame, wanted: DataFrame, asked: str, key: str) -> DataFrame:
+    """The rows that ``possible`` leaves out. No ``key`` is null."""
+    marked = _marked(rows, wanted, asked, key, "left")
+    return marked.where(F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")), F.lit(0)) == 0).select(rows.columns)
+
+
 def with_texts(rows: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """Rows with a ``set_id`` and the ``text`` of the row picked for it. Other texts are left where they are, needed ones move once;
     copies of a row are one before they do."""

@@ -9,7 +9,7 @@ is fitted, on a bounded sample; it then scores every text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +26,8 @@ SAMPLE = 5000
 #: Shares of the sample are counted in so many parts.
 GRAIN = 1 << 30
 FEATURE_BITS = 21
+#: Slots of the sample that are summed up at once.
+PART = 1 << 18
 #: Sample texts a feature must occur in to get a weight.
 LEAST_TEXTS = 6
 
@@ -201,6 +203,12 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, labellers
     return model
 
 
+def _parts(first: np.ndarray) -> list[tuple[int, int, Callable[[], np.ndarray]]]:
+    """Where the slots of some texts begin and end, and, when asked, the text of each; a part is as few texts as have ``PART`` slots."""
+    cuts = np.unique(np.concatenate([np.searchsorted(first, np.arange(0, first[-1], PART)), [len(first) - 1]]))
+    return [(int(first[i]), int(first[j]), lambda i=i, j=j: np.repeat(np.arange(i, j), np.diff(first[i:j + 1]))) for i, j in zip(cuts[:-1], cuts[1:])]
+
+
 def fit_scorer(slots: np.ndarray, first: np.ndarray, target: np.ndarray, rounds: int = 80, ridge: float = 2e-4,
                times: np.ndarray | None = None) -> np.ndarray:
     """Weights of a logistic scorer by slot, the last being the constant; soft targets, every slot counted once per text.
@@ -212,16 +220,37 @@ def fit_scorer(slots: np.ndarray, first: np.ndarray, target: np.ndarray, rounds:
     if not texts:
         return weights
     times = np.ones(texts) if times is None else times.astype(float)
-    used, column = np.unique(slots, return_inverse=True)
-    owner = np.repeat(np.arange(texts), np.diff(first))
-    keep = np.bincount(column, times[owner])[column] >= min(LEAST_TEXTS, times.sum())
-    owner, column = owner[keep], column[keep]
+    # sums run over some texts at a time, in the same order as over all, so that nothing but the slots is as long as they are
+    parts = _parts(first)
+    number = np.zeros(1 << FEATURE_BITS, np.int32)
+    for a, z, _ in parts:
+        number[slots[a:z]] = 1
+    used = np.flatnonzero(number)
+    number[used] = np.arange(len(used), dtype=np.int32)
+    held = np.zeros(len(used))
+    for a, z, owner in parts:
+        np.add.at(held, number[slots[a:z]], times[owner()])
+    keep = held >= min(LEAST_TEXTS, times.sum())
+    number[used] = np.where(keep, np.cumsum(keep) - 1, -1)
+    used = used[keep]
+    column, owners = [], []
+    for a, z, owner in parts:
+        found = number[slots[a:z]]
+        column.append(found[found >= 0])
+        owners.append(owner().astype(np.int32)[found >= 0])
+    del number, held, keep
     w, b = np.zeros(len(used)), 0.0
     mean, square = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, rounds + 1):
-        margin = np.bincount(owner, w[column], minlength=texts) + b
+        margin = np.zeros(texts)
+        for c, o in zip(column, owners):
+            margin += np.bincount(o, w[c], minlength=texts)
+        margin += b
         slope = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - target) * times / times.sum()
-        gradient = np.append(np.bincount(column, slope[owner], minlength=len(used)) + ridge * w, slope.sum())
+        sums = np.zeros(len(used))
+        for c, o in zip(column, owners):
+            np.add.at(sums, c, slope[o])
+        gradient = np.append(sums + ridge * w, slope.sum())
         mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient ** 2
         move = 0.1 * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.99 ** step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -332,13 +361,13 @@ def train(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE
         _sample, "quality bigint, abuse bigint, people_quality bigint, people_abuse bigint, times bigint, slots binary")
     rows = sorted(found.collect())  # sums do not depend on the order of tasks
     times = np.array([r["times"] for r in rows], np.int64)
-    slots = [np.frombuffer(r["slots"], np.int32) for r in rows]
-    first = np.concatenate([[0], np.cumsum([len(s) for s in slots])]).astype(np.int64)
-    flat = np.concatenate(slots) if slots else np.zeros(0, np.int32)
+    first = np.concatenate([[0], np.cumsum([len(r["slots"]) // 4 for r in rows])]).astype(np.int64)
+    flat = np.frombuffer(b"".join(r["slots"] for r in rows), np.int32)
     goods = []
     for m, k in ((quality, "quality"), (abuse, "abuse")):
         patterns = np.array([r[k] + r[f"people_{k}"] * 3 ** (len(m.rates) - 1) for r in rows], np.int64)
         goods.append(anchored(m.posterior(patterns), votes_of(patterns, len(m.rates))))
+    del rows
     return Classifier(quality, abuse, *[fit_scorer(flat, first, g, times=times) for g in goods])
 
 

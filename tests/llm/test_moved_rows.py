@@ -1,8 +1,12 @@
-"""What is shuffled stays near what is needed."""
+"""What is shuffled, and what the driver holds, stays near what is needed."""
 
 from __future__ import annotations
 
-from tallyforge.llm import licenses
+import tracemalloc
+
+import numpy as np
+
+from tallyforge.llm import licenses, quality
 
 
 def shuffled(df) -> tuple[list, int]:
@@ -30,3 +34,31 @@ def test_windows_do_not_shuffle_their_cells(frame):
     rows, moved = shuffled(licenses.windows(frame([(1, f"see {notice} and {notice} so {mit} free of charge to any person"), (2, "no license")])))
     assert [r.license for r in rows].count("GPL-3.0") == 2 and [r.license for r in rows].count("MIT") == 1
     assert words < moved < 40 * words
+
+
+def test_rows_of_no_group_are_not_shuffled(spark):
+    """Where no side is small enough to be broadcast, only rows that share a group move."""
+    import corpus_pipeline as pipeline
+
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(20))
+    docs = spark.createDataFrame([(i, text(i % 390), "en", "a", 9) for i in range(400)], "doc_id bigint, text string, lang string, source string, n_chars int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, moved = shuffled(pipeline.keep_one_of_group(spark, docs.repartition(3).localCheckpoint(), ""))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(r.doc_id for r in rows) == list(range(390)) and moved < 200
+
+
+def test_memory_of_the_fit():
+    """Besides the slots, eight bytes for each of them and what does not grow with their number."""
+    rng = np.random.default_rng(1)
+    first = np.concatenate([[0], np.cumsum(rng.integers(900, 1100, 2500))]).astype(np.int64)
+    slots = rng.integers(0, 50_000, first[-1]).astype(np.int32)
+    target = rng.random(2500)
+    tracemalloc.start()
+    quality.fit_scorer(slots, first, target, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(slots) + (1 << 25)
