@@ -197,10 +197,12 @@ def nearest_rows(points: DataFrame, n_num: int, n_cat: int, k: int, block_rows:
     wider = lambda d2: d2 * (1 + 1e-9) + 1e-12
     reach = first.groupBy("vid").agg(F.when(F.count(F.lit(1)) >= k, wider(F.max("d2"))).alias("reach2"))
     known = materialise(rows.join(reach, "vid", "left"), "reach")
-    # in a small block: no farther than the far side of the smallest part around it that holds k others
-    around = boxes.where(F.col("n") > k).select("node", F.struct("low", "high", "levels").alias("box"))
-    short = known.where("reach2 is null").select("vid", "num", F.explode(_above("node")).alias("node")).join(around, "node").groupBy("vid").agg(
-        wider(F.min(_far("box"))).alias("bound"))
+    # in a small block: no farther than the far side of the smallest part around it that holds k others; rows may repeat a vid
+    around = boxes.select(F.col("node").alias("part"), F.col("n").alias("held"), F.struct("low", "high", "levels").alias("box"))
+    alone = known.where("reach2 is null").select("vid", "num", "node")
+    alone = alone.join(alone.groupBy("vid").agg(F.count(F.lit(1)).alias("copies")), "vid")
+    short = alone.select("*", F.explode(_above("node")).alias("part")).join(around, "part").where(F.col("held") >= F.col("copies") + k).groupBy(
+        "vid", "node", "num").agg(wider(F.min(_far("box"))).alias("bound")).groupBy("vid").agg(F.max("bound").alias("bound"))
     asking = materialise(known.join(short, "vid", "left").withColumn("reach2", F.coalesce("reach2", "bound", F.lit(float("inf")))).drop("bound"),
                          "asking")
     pairs = pairs_within(boxes, asking.groupBy("node").agg(F.max("reach2").alias("reach2")))
@@ -218,7 +220,8 @@ def nearest_rows(points: DataFrame, n_num: int, n_cat: int, k: int, block_rows:
     def other(both: pd.DataFrame) -> pd.DataFrame:
         own = both["reach2"].notna()
         found = _nearest(both[own], both[~own], k, n_num, n_cat)
-        return found[found["d2"].to_numpy() <= found["vid"].map(both[own].set_index("vid")["reach2"]).to_numpy()]
+        reach2 = both[own].drop_duplicates("vid").set_index("vid")["reach2"]
+        return found[~(found["d2"].to_numpy() > found["vid"].map(reach2).to_numpy())]
 
     groups = asked.agg(F.sum("portions")).first()[0] or 0
     second = _dealt(dealt.unionByName(targets), groups, "target", "portion").applyInPandas(other, NEAR)

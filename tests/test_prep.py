@@ -231,3 +231,18 @@ def test_blocks_follow_categories_and_no_cut_is_a_block(spark):
     for vid, _, p, c in few:
         near = sorted((sum((a - b) ** 2 for a, b in zip(p, q)) + sum(x != y for x, y in zip(c, e)), w) for w, _, q, e in few if w != vid)[:4]
         assert [d for _, d, _ in sorted(got[vid])] == pytest.approx([d for d, _ in near], abs=1e-12)
+
+
+def test_neighbours_of_repeated_keys(spark):
+    """Rows that share a key are no neighbours of each other, and the key has the best of them all; blocks make no difference."""
+    rng = np.random.default_rng(3)
+    points = [(i % 150, 1, [float(v) for v in rng.random(2)], [f"a{rng.integers(6)}", None if i % 5 else "q"]) for i in range(210)]
+    points += [(7, 1, [0.1, 0.1], ["z", "q"])] * 3 + [(900, 1, [0.9, 0.1], ["y", "q"])] * 8 + points[:40]
+    df = spark.createDataFrame(points, "vid long, mult long, num array<double>, cat array<string>")
+    got: dict[int, list] = {}
+    for r in nearest_rows(df, 2, 2, 5, 16).collect():
+        got.setdefault(r["vid"], []).append((r["place"], r["d2"]))
+    for vid in {p[0] for p in points}:
+        every = [sorted(sum((a - b) ** 2 for a, b in zip(x[2], y[2])) + sum(c != d for c, d in zip(x[3], y[3])) for y in points if y[0] != vid)[:5]
+                 for x in points if x[0] == vid]
+        assert [d for _, d in sorted(got[vid])] == pytest.approx(sorted(sum(every, []))[:5], abs=1e-12)
